@@ -83,3 +83,25 @@ def min_max(df: DataFrame, col: str) -> tuple[float, float]:
     """Two scalars to the driver (size independent of the data)."""
     r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     return (r["lo"], r["hi"])
+
+
+def rank_lookup(values: DataFrame, probes: DataFrame, col: str, group_cols: Sequence[str] = (),
+                n_buckets: int = 4096) -> DataFrame:
+    """wn01: for each probe row, ``count_le`` = #values <= probe and
+    ``count_lt`` = #values < probe (searchsorted right / left), per group.
+
+    Probe values are unioned in with weight 0, the per-value table is
+    aggregated (a hot value collapses to one row) and running-summed with
+    buckets; each probe then joins on its exact value.
+    """
+    g = list(group_cols)
+    pts = (values.select(*g, F.col(col).alias("v"), F.lit(1).alias("w"))
+           .unionByName(probes.select(*g, F.col(col).alias("v"), F.lit(0).alias("w"))))
+    per_v = pts.groupBy(*g, "v").agg(F.sum("w").cast("long").alias("w"))
+    lo, hi = min_max(per_v, "v")
+    if lo is None:
+        lo, hi = 0.0, 0.0
+    table = prefix_sum(per_v, ["v"], ["w"], range_bucket("v", float(lo), float(hi), n_buckets), g)
+    table = table.select(*g, F.col("v").alias(col), F.col("w_cum").alias("count_le"),
+                         (F.col("w_cum") - F.col("w")).alias("count_lt"))
+    return probes.join(table, [*g, col], "left")

@@ -146,7 +146,7 @@ QS = ", ".join(str(i / 100) for i in range(1, 100))
 
 @query("ag07_quantiles_log_goal_by_label", with_ctes(f"""
 SELECT final_status, round(q, 6) AS q, round(value, 6) AS value FROM (
-  SELECT final_status, unnest([{QS}]) AS q, unnest(quantile_cont(x, [{QS}])) AS value
+  SELECT final_status, unnest(CAST([{QS}] AS DOUBLE[])) AS q, unnest(quantile_cont(x, [{QS}])) AS value
   FROM (SELECT final_status, ln(1 + goal) AS x FROM projects) v GROUP BY final_status) t""", "projects"))
 def ag07(spark, sf):
     p = projects(spark, sf).withColumn("x", F.log1p("goal"))
@@ -155,7 +155,7 @@ def ag07(spark, sf):
 
 @query("ag07_quantiles_train_vs_test", with_ctes(f"""
 SELECT split, round(q, 6) AS q, round(value, 6) AS value FROM (
-  SELECT split, unnest([{QS}]) AS q, unnest(quantile_cont(CAST(goal AS DOUBLE), [{QS}])) AS value
+  SELECT split, unnest(CAST([{QS}] AS DOUBLE[])) AS q, unnest(quantile_cont(CAST(goal AS DOUBLE), [{QS}])) AS value
   FROM projects GROUP BY split) t""", "projects"))
 def ag07b(spark, sf):
     return P.quantile_pairs(projects(spark, sf), "goal", "split")
