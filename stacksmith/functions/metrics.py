@@ -53,10 +53,10 @@ def f1_sql(tp="tp", fp="fp", fn="fn") -> str:
 
 
 def confusion_sql(label: str, pred: str) -> str:
-    return (f"sum(CASE WHEN {label}=1 AND {pred}=1 THEN 1 ELSE 0 END) AS tp, "
-            f"sum(CASE WHEN {label}=0 AND {pred}=1 THEN 1 ELSE 0 END) AS fp, "
-            f"sum(CASE WHEN {label}=1 AND {pred}=0 THEN 1 ELSE 0 END) AS fn, "
-            f"sum(CASE WHEN {label}=0 AND {pred}=0 THEN 1 ELSE 0 END) AS tn")
+    return (f"CAST(sum(CASE WHEN {label}=1 AND {pred}=1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, "
+            f"CAST(sum(CASE WHEN {label}=0 AND {pred}=1 THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+            f"CAST(sum(CASE WHEN {label}=1 AND {pred}=0 THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+            f"CAST(sum(CASE WHEN {label}=0 AND {pred}=0 THEN 1 ELSE 0 END) AS BIGINT) AS tn")
 
 
 def metrics_sql(digits: int = 6) -> str:

@@ -1 +1,87 @@
-"""Queries registered by this module."""
+"""Pseudo-label queries (pl01, pl03, pl06, pl07, wn06)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stacksmith.functions.metrics import binary_report, confusion_sql, metrics_sql
+from stacksmith.operators import scores as SC
+from stacksmith.operators import selftrain as ST
+from stacksmith.plans.inputs import projects, scores, with_ctes
+from stacksmith.plans.registry import query
+
+LO, HI = 0.30, 0.70
+ROW_MEAN_SQL = "(SELECT row_id, final_status, avg(proba) AS p FROM scores WHERE split = 'test' GROUP BY 1, 2)"
+
+
+def row_mean(spark, sf):
+    s = scores(spark, sf).filter(F.col("split") == "test")
+    return SC.mean_score(s, ["row_id", "final_status"])
+
+
+def _train(spark, sf):
+    return projects(spark, sf).filter(F.col("split") == "train").select("row_id", "final_status")
+
+
+PL01_SQL = f"""(SELECT row_id, final_status, 'train' AS origin FROM projects WHERE split = 'train'
+UNION ALL SELECT row_id, CAST(p > 0.5 AS INTEGER), 'pseudo' FROM {ROW_MEAN_SQL} m WHERE p < 0.30 OR p > 0.70)"""
+
+
+@query("pl01_one_shot_pseudo_labels", with_ctes(f"SELECT * FROM {PL01_SQL} u", "scores"))
+def pl01(spark, sf):
+    return ST.one_shot(_train(spark, sf), row_mean(spark, sf).select("row_id", "p"), LO, HI)
+
+
+@query("pl06_pseudo_label_audit", with_ctes(f"""
+SELECT tp, fp, fn, tn, {metrics_sql()} FROM (
+  SELECT {confusion_sql('m.final_status', 'CAST(m.p > 0.5 AS INTEGER)')} FROM {ROW_MEAN_SQL} m
+  WHERE m.p < 0.30 OR m.p > 0.70) c""", "scores"))
+def pl06(spark, sf):
+    picked = ST.one_shot(_train(spark, sf), row_mean(spark, sf).select("row_id", "p"), LO, HI).filter(F.col("origin") == "pseudo")
+    truth = projects(spark, sf).select("row_id", F.col("final_status").alias("truth"))
+    j = picked.join(truth, "row_id")
+    return binary_report(j, "truth", "final_status", threshold=0.5)
+
+
+POS_T, NEG_T, RATIO, TAKEN_T = 0.7 * 1.01, 0.3, 4, 0.74
+
+
+@query("pl03_selection_step", with_ctes(f"""
+, cand AS (SELECT row_id, p FROM {ROW_MEAN_SQL} m WHERE p <= {TAKEN_T}),
+ pos AS (SELECT row_id, p FROM cand WHERE p > {POS_T}),
+ neg AS (SELECT row_id, p, row_number() OVER (ORDER BY p, row_id) AS rk FROM cand WHERE p < {NEG_T})
+SELECT row_id, p, 1 AS pseudo_label FROM pos
+UNION ALL
+SELECT row_id, p, 0 FROM neg WHERE rk <= {RATIO} * (SELECT count(*) FROM pos)""", "scores").replace(")\n, cand", "),\n cand"))
+def pl03(spark, sf):
+    m = row_mean(spark, sf).select("row_id", "p")
+    taken = m.filter(F.col("p") > TAKEN_T).select("row_id")
+    out = ST.select_step(m, taken, POS_T, NEG_T, RATIO)
+    return out.select("row_id", "p", F.col("pseudo_label").cast("int").alias("pseudo_label"))
+
+
+@query("wn06_capped_lowest_negatives", with_ctes(f"""
+SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY p, row_id) AS rk FROM {ROW_MEAN_SQL} m WHERE p < 0.35) r
+WHERE rk <= 2 * (SELECT count(*) FROM {ROW_MEAN_SQL} m2 WHERE p > 0.68)""", "scores"))
+def wn06(spark, sf):
+    m = row_mean(spark, sf).select("row_id", "p")
+    out = ST.select_step(m, None, 0.68, 0.35, 2)
+    return out.filter(F.col("pseudo_label") == 0).select("row_id")
+
+
+@query("pl07_before_after", with_ctes(f"""
+SELECT 'm1' AS which, precision, recall, f1 FROM (
+  SELECT {confusion_sql('final_status', 'CAST(proba > 0.5 AS INTEGER)')} FROM scores WHERE split = 'train' AND model_id = 'm1') a,
+  LATERAL (SELECT {metrics_sql()}) x
+UNION ALL
+SELECT 'mean', precision, recall, f1 FROM (
+  SELECT {confusion_sql('final_status', 'CAST(p > 0.5 AS INTEGER)')} FROM (
+    SELECT row_id, final_status, avg(proba) AS p FROM scores WHERE split = 'train' GROUP BY 1, 2) b) c,
+  LATERAL (SELECT {metrics_sql()}) y""", "scores"))
+def pl07(spark, sf):
+    s = scores(spark, sf).filter(F.col("split") == "train")
+    before = binary_report(s.filter(F.col("model_id") == "m1"), "final_status", "proba")
+    after = binary_report(SC.mean_score(s, ["row_id", "final_status"]), "final_status", "p")
+    cols = ["which", "precision", "recall", "f1"]
+    return (before.withColumn("which", F.lit("m1")).select(cols)
+            .unionByName(after.withColumn("which", F.lit("mean")).select(cols)))

@@ -22,6 +22,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     cores = os.cpu_count() or 8
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
