@@ -184,13 +184,15 @@ class ProjectFeatures:
                 + ["f04__after_date", "f04__datetime"] + self.year_quarter.names()
                 + ["f05__disable_communication"])
 
-    def transform(self, df: DataFrame, is_train: bool) -> DataFrame:
-        base = df
-        if is_train:
-            base = overlap_count(base, "launched_at", "deadline", "f07__concurrent_projects")
-        else:
-            base = overlap_count(base, "launched_at", "deadline", "f07__concurrent_projects",
-                                 reference=self.train_intervals)
+    def transform(self, df: DataFrame, is_train: bool | Column) -> DataFrame:
+        """``is_train``: bool for the whole frame, or a boolean column when train
+        and test rows are transformed together (one concurrency pass: every
+        row is counted against the training intervals; a training row's own
+        interval is then taken off)."""
+        own = F.lit(bool(is_train)) if isinstance(is_train, bool) else is_train
+        base = overlap_count(df, "launched_at", "deadline", "_conc", reference=self.train_intervals)
+        base = base.withColumn("f07__concurrent_projects",
+                               F.col("_conc") - F.when(own, 1).otherwise(0).cast("long")).drop("_conc")
         base = (base.join(F.broadcast(self.rates), "currency", "left")
                     .withColumn("f01__goal", F.log1p(F.col("goal") * F.coalesce(F.col("usd_rate"), F.lit(1.0)))))
         launched = S.ntz_from_epoch("launched_at")

@@ -34,15 +34,16 @@ def select_step(scores: DataFrame, taken: DataFrame | None, pos_threshold: float
     """
     cand = scores if taken is None else scores.join(taken.select(key), key, "left_anti")
     pos = cand.filter(F.col(proba) > pos_threshold).select(key, proba, F.lit(1).alias("pseudo_label"))
-    n_pos = pos.count()
+    # #positives as a one-row table joined on a constant key: no driver
+    # round trip, the whole step stays one lazy plan.
+    n_pos = pos.agg(F.count(F.lit(1)).alias("_npos")).withColumn("_k", F.lit(1))
     neg = cand.filter(F.col(proba) < neg_threshold)
-    if n_pos == 0:
-        if negatives_without_positives == "all":
-            return neg.select(key, proba, F.lit(0).alias("pseudo_label"))
-        return pos
-    cap = int(ratio * n_pos)
     ranked = rank_within(neg, proba, key, [], bucket=unit_bucket(proba), out="_rk")
-    neg = ranked.filter(F.col("_rk") <= cap).select(key, proba, F.lit(0).alias("pseudo_label"))
+    ranked = ranked.withColumn("_k", F.lit(1)).join(F.broadcast(n_pos), "_k")
+    keep = (F.col("_npos") > 0) & (F.col("_rk") <= F.floor(F.lit(float(ratio)) * F.col("_npos")))
+    if negatives_without_positives == "all":
+        keep = keep | (F.col("_npos") == 0)
+    neg = ranked.filter(keep).select(key, proba, F.lit(0).alias("pseudo_label"))
     return pos.unionByName(neg)
 
 

@@ -156,7 +156,7 @@ def build_features(spark, sf):
     p = projects(spark, sf)
     train, test = _train(p), p.filter(F.col("split") == "test")
     model = FE.ProjectFeatures.fit(train, rates_frame(spark))
-    return model.transform(train, True).unionByName(model.transform(test, False)), model
+    return model.transform(p, F.col("split") == "train"), model
 
 
 def _fe17_sql() -> str:
