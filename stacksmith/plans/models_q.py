@@ -396,3 +396,47 @@ def pl05(spark, sf):
     added, steps = _self_train(spark, sf, max_steps=3, pos_schedule=[0.53, 0.525, 0.52], neg_threshold=0.5,
                                ratio=5, patience=2)
     return steps
+
+
+# ---------------------------------------------------------------- exact KNN (jn09, ml07)
+
+from stacksmith.functions.seeded import seeded_key_sql  # noqa: E402
+from stacksmith.operators.knn import knn_classify, knn_join  # noqa: E402
+
+K_NEIGHBOURS = 141
+
+
+def _knn_sides(spark, sf):
+    e = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"),
+                                             (F.col("label") >= 5).cast("double").alias("label"))
+    e = stratified_holdout(e, 0.25, SEED, "label", key="vec_id")
+    q = e.filter(F.col("is_holdout")).select(F.col("vec_id").alias("qid"), "vec")
+    r = e.filter(~F.col("is_holdout")).select(F.col("vec_id").alias("rid"), "vec", "label")
+    return q, r
+
+
+_KNN_BASE = f"""
+WITH e AS (SELECT vec_id, embedding, CAST(label >= 5 AS DOUBLE) AS label,
+             row_number() OVER (PARTITION BY label >= 5 ORDER BY {seeded_key_sql(SEED, 'vec_id')}, vec_id)
+               <= round(count(*) OVER (PARTITION BY label >= 5) * 0.25) AS is_holdout
+           FROM embeddings),
+ pairs AS (
+   SELECT q.vec_id AS qid, r.vec_id AS rid, r.label,
+          list_reduce(list_transform(list_zip(q.embedding, r.embedding),
+                      lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))),
+                      lambda a, b: a + b) AS d2
+   FROM (SELECT * FROM e WHERE is_holdout) q, (SELECT * FROM e WHERE NOT is_holdout) r),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, rid) AS rk FROM pairs)
+"""
+
+
+@query("jn09_exact_knn_join", _KNN_BASE + f"SELECT qid, rid, CAST(rk AS INTEGER) AS rank FROM ranked WHERE rk <= {K_NEIGHBOURS}")
+def jn09(spark, sf):
+    q, r = _knn_sides(spark, sf)
+    return knn_join(q, r, K_NEIGHBOURS).select("qid", "rid", F.col("rank").cast("int").alias("rank"))
+
+
+@query("ml07_knn_classifier", _KNN_BASE + f"SELECT qid, round(avg(label), 6) AS proba FROM ranked WHERE rk <= {K_NEIGHBOURS} GROUP BY qid")
+def ml07(spark, sf):
+    q, r = _knn_sides(spark, sf)
+    return knn_classify(q, r, K_NEIGHBOURS).select("qid", F.round("proba", 6).alias("proba"))
