@@ -172,3 +172,13 @@ def io13(spark, sf):
     again = store.get_or_compute("m4", compute)   # second call reads the stored partition
     assert len(calls) == 1
     return again
+
+
+@query("sc19_zero_padded_names", """
+SELECT CAST(i AS INTEGER) AS dim, 'f06__' || lpad(CAST(i AS VARCHAR), 3, '0') || '__SentenceVec' AS name
+FROM range(1, (SELECT max(len(embedding)) FROM embeddings) + 1) t(i)""")
+def sc19(spark, sf):
+    e = load(spark, sf, "embeddings")
+    dims = e.agg(F.max(F.size("embedding")).alias("n")).select(F.explode(F.sequence(F.lit(1), F.col("n"))).alias("dim"))
+    return dims.select(F.col("dim").cast("int").alias("dim"),
+                       F.concat(F.lit("f06__"), F.lpad(F.col("dim").cast("string"), 3, "0"), F.lit("__SentenceVec")).alias("name"))

@@ -440,3 +440,58 @@ def jn09(spark, sf):
 def ml07(spark, sf):
     q, r = _knn_sides(spark, sf)
     return knn_classify(q, r, K_NEIGHBOURS).select("qid", F.round("proba", 6).alias("proba"))
+
+
+@query("wn10_cumulative_explained_variance")
+def wn10(spark, sf):
+    return fe13(spark, sf).select("component", "cumulative")
+
+
+@query("so05_schema_equality")
+def so05(spark, sf):
+    """Train and test feature frames must share the fitted schema."""
+    from stacksmith.operators.features import ProjectFeatures
+    from stacksmith.plans.inputs import projects, rates_frame
+    p = projects(spark, sf)
+    train, test = p.filter(F.col("split") == "train"), p.filter(F.col("split") == "test")
+    model = ProjectFeatures.fit(train, rates_frame(spark))
+    tr, te = model.transform(train, True), model.transform(test, False)
+    same = sorted(tr.columns) == sorted(te.columns) and tr.schema == te.schema
+    return spark.createDataFrame([(len(tr.columns), same)], "n_columns int, same_columns boolean")
+
+
+@query("pl04_stop_rules")
+def pl04(spark, sf):
+    """The stop rule over a step log, as window expressions: stop after a step
+    without F1 gain (patience 1) or after two consecutive empty steps."""
+    from pyspark.sql import Window
+    steps = pl08(spark, sf)
+    w = Window.orderBy("step")
+    best_before = F.max("cv_f1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    empty = (F.col("added_pos") + F.col("added_neg")) == 0
+    prev_empty = F.lag(empty.cast("int"), 1, 0).over(w) == 1
+    return steps.select("step", "cv_f1", (F.col("cv_f1") <= F.coalesce(best_before, F.lit(-1.0))).alias("no_gain"),
+                        (empty & prev_empty).alias("two_empty"))
+
+
+@query("ud02_callable_metric")
+def ud02(spark, sf):
+    """Metric given as a Python callable over a (label, proba) frame, per base model."""
+    s = scores(spark, sf).filter(F.col("split") == "train").select("model_id", F.col("final_status").alias("label"), "proba")
+    balanced_acc = lambda d: binary_report(d, "label", "proba").select(
+        ((F.col("recall") + F.col("tn") / (F.col("tn") + F.col("fp"))) / 2).alias("v")).first()["v"]
+    rows = [(m, STK.evaluate(s.filter(F.col("model_id") == m), balanced_acc)) for m in MODEL_STRENGTH]
+    return spark.createDataFrame(rows, "model_id string, balanced_accuracy double")
+
+
+@M.register_estimator("user_ridge_logistic")
+def _user_lr(features="features", label="label", weight=None, **p):
+    from pyspark.ml.classification import LogisticRegression
+    return LogisticRegression(featuresCol=features, labelCol=label, regParam=p.get("reg", 1.0), elasticNetParam=0.0)
+
+
+@query("ud03_user_estimator")
+def ud03(spark, sf):
+    """A user-registered estimator name used by the OOF machinery like a built-in one."""
+    train, test = train_test(spark, sf)
+    return STK.oof_scores(train, test, "user", lr_factory(name="user_ridge_logistic"), 3)

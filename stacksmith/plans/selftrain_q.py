@@ -85,3 +85,30 @@ def pl07(spark, sf):
     cols = ["which", "precision", "recall", "f1"]
     return (before.withColumn("which", F.lit("m1")).select(cols)
             .unionByName(after.withColumn("which", F.lit("mean")).select(cols)))
+
+
+@query("so01_row_append_by_name", with_ctes(f"""
+SELECT row_id, goal, final_status, 'train' AS origin FROM projects WHERE split = 'train'
+UNION ALL
+SELECT row_id, NULL AS goal, CAST(p > 0.5 AS INTEGER) AS final_status, 'pseudo' AS origin FROM {ROW_MEAN_SQL} m
+WHERE p < 0.30 OR p > 0.70""", "scores"))
+def so01(spark, sf):
+    base = projects(spark, sf).filter(F.col("split") == "train").select(
+        "row_id", "goal", "final_status", F.lit("train").alias("origin"))
+    pseudo = (row_mean(spark, sf).filter((F.col("p") < LO) | (F.col("p") > HI))
+              .select("row_id", (F.col("p") > 0.5).cast("int").alias("final_status"), F.lit("pseudo").alias("origin")))
+    return base.unionByName(pseudo, allowMissingColumns=True)
+
+
+@query("ud01_row_lambda_as_expression", with_ctes("""
+SELECT row_id, coalesce(CASE currency """ + " ".join(
+    f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in __import__('stacksmith.plans.inputs', fromlist=['USD_RATES']).USD_RATES.items())
+    + """ END, 1.0) * goal AS goal_usd FROM projects""", "projects"))
+def ud01(spark, sf):
+    """A per-row lookup lambda written as a native CASE expression (no Python UDF)."""
+    from stacksmith.plans.inputs import USD_RATES
+    rate = None
+    for k, v in USD_RATES.items():
+        rate = F.when(F.col("currency") == k, F.lit(v)) if rate is None else rate.when(F.col("currency") == k, F.lit(v))
+    p = projects(spark, sf)
+    return p.select("row_id", (F.coalesce(rate, F.lit(1.0)) * F.col("goal")).alias("goal_usd"))
