@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference reads only finite files: no watermark, window, trigger or
+state appears anywhere, so no streaming operator is claimed here.  The fitted
+feature transforms in ``stacksmith.operators.features`` are pure column
+expressions and apply to a streaming DataFrame unchanged.
+"""
