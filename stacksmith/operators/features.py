@@ -43,6 +43,23 @@ class OneHot:
             raise ValueError(f"{col}: more than {MAX_CATEGORIES} categories; use a hashed/indexed encoding")
         return cls(col, prefix, sorted(r["v"] for r in vals))
 
+    @classmethod
+    def fit_many(cls, train: DataFrame, specs: Sequence[tuple[str, Column, str]]) -> list["OneHot"]:
+        """Fit several vocabularies in one job: (name, value, prefix) pairs are
+        unioned and de-duplicated on the cluster; only the vocabularies return."""
+        pairs = None
+        for name, value, _ in specs:
+            part = train.select(F.lit(name).alias("c"), value.cast("string").alias("v"))
+            pairs = part if pairs is None else pairs.unionByName(part)
+        rows = pairs.filter(F.col("v").isNotNull()).distinct().limit(MAX_CATEGORIES * len(specs) + 1).collect()
+        out = []
+        for name, _, prefix in specs:
+            vocab = sorted(r["v"] for r in rows if r["c"] == name)
+            if len(vocab) > MAX_CATEGORIES:
+                raise ValueError(f"{name}: more than {MAX_CATEGORIES} categories")
+            out.append(cls(name, prefix, vocab))
+        return out
+
     def names(self) -> list[str]:
         return [f"{self.prefix}__{self.col}__{v}" for v in self.vocab]
 
@@ -169,10 +186,10 @@ class ProjectFeatures:
 
     @classmethod
     def fit(cls, train: DataFrame, rates: DataFrame, after_date: str = "1998-07-01") -> "ProjectFeatures":
-        yq = train.select(S.year_quarter(S.ntz_from_epoch("created_at")).alias("year_quarter"))
-        return cls(train.select("launched_at", "deadline"), rates,
-                   OneHot.fit(yq, "year_quarter", "f04"),
-                   OneHot.fit(train, "country", "f03"), OneHot.fit(train, "currency", "f03"), after_date)
+        yq, country, currency = OneHot.fit_many(train, [
+            ("year_quarter", S.year_quarter(S.ntz_from_epoch("created_at")), "f04"),
+            ("country", F.col("country"), "f03"), ("currency", F.col("currency"), "f03")])
+        return cls(train.select("launched_at", "deadline"), rates, yq, country, currency, after_date)
 
     def feature_names(self) -> list[str]:
         diffs = [f"f02__diff__{a}__and__{b}" for a, b in time_pairs()]
@@ -190,7 +207,8 @@ class ProjectFeatures:
         row is counted against the training intervals; a training row's own
         interval is then taken off)."""
         own = F.lit(bool(is_train)) if isinstance(is_train, bool) else is_train
-        base = overlap_count(df, "launched_at", "deadline", "_conc", reference=self.train_intervals)
+        base = overlap_count(df, "launched_at", "deadline", "_conc", reference=self.train_intervals,
+                             bucket_width=86400)
         base = base.withColumn("f07__concurrent_projects",
                                F.col("_conc") - F.when(own, 1).otherwise(0).cast("long")).drop("_conc")
         base = (base.join(F.broadcast(self.rates), "currency", "left")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacksmith.operators.rank import min_max, prefix_sum, range_bucket
+from stacksmith.operators.rank import cut, fixed_bucket, min_max, prefix_sum, range_bucket
 
 
 def _normalised(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -28,11 +28,12 @@ def _normalised(df: DataFrame, start: str, end: str) -> DataFrame:
               .withColumn("_e", F.greatest(F.col(start), F.col(end))))
 
 
-def _endpoint_table(ref: DataFrame, n_buckets: int) -> DataFrame:
+def _endpoint_table(pts: DataFrame, n_buckets: int, bucket_width: float | None) -> DataFrame:
     """Per distinct endpoint value v: starts_le(v), ends_le(v), starts_at(v), ends_at(v)."""
-    pts = (ref.select(F.col("_s").alias("v"), F.lit(1).alias("ns"), F.lit(0).alias("ne"))
-              .unionByName(ref.select(F.col("_e").alias("v"), F.lit(0).alias("ns"), F.lit(1).alias("ne"))))
     per_v = pts.groupBy("v").agg(F.sum("ns").cast("long").alias("ns"), F.sum("ne").cast("long").alias("ne"))
+    if bucket_width:
+        return prefix_sum(per_v, ["v"], ["ns", "ne"], fixed_bucket("v", bucket_width))
+    per_v = cut(per_v)
     lo, hi = min_max(per_v, "v")
     if lo is None:
         lo, hi = 0, 0
@@ -64,32 +65,28 @@ def _attach(rows: DataFrame, table: DataFrame, at: str, tag: str) -> DataFrame:
 
 def overlap_count(df: DataFrame, start: str, end: str, out: str = "n_overlap",
                   closed: bool = True, reference: DataFrame | None = None,
-                  n_buckets: int = 4096) -> DataFrame:
+                  n_buckets: int = 4096, bucket_width: float | None = None) -> DataFrame:
     """Count, for each row of ``df``, the intervals overlapping it.
 
     ``reference=None``: against the other rows of ``df`` (self excluded, jn03).
     Otherwise: against the rows of ``reference`` (jn04); ``df``'s own rows do
     not count.  ``start``/``end`` name the columns in both frames.
+    ``bucket_width`` (e.g. 86400 for epoch seconds) fixes the running-sum
+    buckets and skips the min/max pass.
     """
     rows = _normalised(df, start, end)
     self_mode = reference is None
     ref = rows if self_mode else _normalised(reference, start, end)
     if not closed:
         ref = ref.filter(F.col("_s") < F.col("_e"))
-    if not self_mode:
+    pts = (ref.select(F.col("_s").alias("v"), F.lit(1).alias("ns"), F.lit(0).alias("ne"))
+           .unionByName(ref.select(F.col("_e").alias("v"), F.lit(0).alias("ns"), F.lit(1).alias("ne"))))
+    if not self_mode or not closed:
         # Probe values that are not endpoints of the reference set get a
         # zero-weight point so that the exact-value join always finds them.
-        probes = (rows.select(F.col("_s").alias("v")).unionByName(rows.select(F.col("_e").alias("v")))
-                  .withColumn("ns", F.lit(0)).withColumn("ne", F.lit(0)))
-        ref_pts = (ref.select(F.col("_s").alias("v"), F.lit(1).alias("ns"), F.lit(0).alias("ne"))
-                   .unionByName(ref.select(F.col("_e").alias("v"), F.lit(0).alias("ns"), F.lit(1).alias("ne"))))
-        pts = ref_pts.unionByName(probes)
-        per_v = pts.groupBy("v").agg(F.sum("ns").cast("long").alias("ns"), F.sum("ne").cast("long").alias("ne"))
-        lo, hi = min_max(per_v, "v")
-        table = prefix_sum(per_v, ["v"], ["ns", "ne"],
-                           range_bucket("v", float(lo or 0), float(hi or 0), n_buckets))
-    else:
-        table = _endpoint_table(ref, n_buckets)
+        pts = pts.unionByName(rows.select(F.col("_s").alias("v"), F.lit(0).alias("ns"), F.lit(0).alias("ne")))
+        pts = pts.unionByName(rows.select(F.col("_e").alias("v"), F.lit(0).alias("ns"), F.lit(0).alias("ne")))
+    table = _endpoint_table(pts, n_buckets, bucket_width)
     counted = _counts(rows, table, closed)
     cnt = F.col("_cnt")
     if self_mode:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacksmith.operators.rank import min_max, prefix_sum, range_bucket
+from stacksmith.operators.rank import cut, min_max, prefix_sum, range_bucket
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -80,8 +80,8 @@ def exact_quantiles(df: DataFrame, x: str, group_cols: Sequence[str] = (),
         df, g = df.withColumn("_g", F.lit(0)), ["_g"]
     probs = list(probs) if probs is not None else [i / 100 for i in range(1, 100)]
     xv = F.col(x).cast("double")
-    vals = (df.select(*g, xv.alias("_x")).filter(F.col("_x").isNotNull())
-              .groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    vals = cut(df.select(*g, xv.alias("_x")).filter(F.col("_x").isNotNull())
+                 .groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c")))
     lo, hi = min_max(vals, "_x")
     if lo is None:
         lo, hi = 0.0, 0.0

@@ -32,21 +32,22 @@ def prefix_sum(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str]
     """
     group_cols = list(group_cols)
     b = df.withColumn("_bkt", bucket)
-    totals = b.groupBy(*group_cols, "_bkt").agg(
-        *[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    before = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *group_cols, "_bkt",
-        *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}")
-          for c in sum_cols])
+    # 1) running sum inside each bucket: the only shuffle of the full data
     within = Window.partitionBy(*group_cols, "_bkt").orderBy(*_cols(order_cols)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = b.join(offsets, [*group_cols, "_bkt"], "inner")
-    out = out.select(
-        *df.columns,
-        *[(F.sum(c).over(within) + F.col(f"_off_{c}")).alias(f"{c}{suffix}") for c in sum_cols])
-    return out
+    w = b.select("*", *[F.sum(c).over(within).alias(f"_in_{c}") for c in sum_cols])
+    # 2) bucket totals from the windowed rows (already partitioned by bucket:
+    #    no new exchange), then offsets over the bucket table (one row per
+    #    bucket, so its size is set by the bucketing, not by the data)
+    totals = w.groupBy(*group_cols, "_bkt").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    before = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *group_cols, "_bkt",
+        *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
+    # 3) add the offsets back (the big side keeps its partitioning)
+    out = w.join(offsets, [*group_cols, "_bkt"], "inner")
+    return out.select(*df.columns,
+                      *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"{c}{suffix}") for c in sum_cols])
 
 
 def hex_bucket(col: str, digits: int) -> Column:
@@ -79,6 +80,21 @@ def rank_within(df: DataFrame, order_col: str, tie_col: str, group_cols: Sequenc
     return ranked.withColumnRenamed("_one_cum", out).drop("_one")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives
+    executor loss).  Used where one aggregated table feeds both a scalar pass
+    (min/max) and the main pass, so the upstream is computed once."""
+    from stacksmith.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def fixed_bucket(col: str, width: float) -> Column:
+    """Fixed-width bucket (e.g. one day of epoch seconds): monotone, needs no
+    min/max pass, and an integer domain bounds the rows per bucket."""
+    return F.floor(F.col(col) / F.lit(width)).cast("long")
+
+
 def min_max(df: DataFrame, col: str) -> tuple[float, float]:
     """Two scalars to the driver (size independent of the data)."""
     r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
@@ -97,7 +113,7 @@ def rank_lookup(values: DataFrame, probes: DataFrame, col: str, group_cols: Sequ
     g = list(group_cols)
     pts = (values.select(*g, F.col(col).alias("v"), F.lit(1).alias("w"))
            .unionByName(probes.select(*g, F.col(col).alias("v"), F.lit(0).alias("w"))))
-    per_v = pts.groupBy(*g, "v").agg(F.sum("w").cast("long").alias("w"))
+    per_v = cut(pts.groupBy(*g, "v").agg(F.sum("w").cast("long").alias("w")))
     lo, hi = min_max(per_v, "v")
     if lo is None:
         lo, hi = 0.0, 0.0

@@ -49,11 +49,17 @@ def jn01(spark, sf):
 
 def rate_by_currency(spark, sf):
     g = goal_usd(spark, sf)
-    rt = P.rate_table(g, "currency", "final_status")
-    mean_goal = g.groupBy("currency").agg(F.round(F.avg("f01__goal"), 6).alias("mean_log_goal"))
+    # one aggregation: counts, rate, SE and the mean log goal together
+    agg = g.groupBy("currency").agg(F.count(F.lit(1)).alias("n"),
+                                    F.sum(F.col("final_status").cast("long")).alias("n_pos"),
+                                    F.avg("f01__goal").alias("_mg"))
+    p = F.col("n_pos") / F.col("n")
+    out = agg.select("currency", "n", "n_pos", F.round(p, 6).alias("rate"),
+                     F.round(F.sqrt(p * (1 - p) / F.col("n")), 6).alias("se"),
+                     F.round("_mg", 6).alias("mean_log_goal"))
     # one row per currency: sorting inside a single partition avoids the
     # sampling job of a global range sort.
-    return rt.join(mean_goal, "currency").coalesce(1).sortWithinPartitions(F.desc("rate"), "currency")
+    return out.coalesce(1).sortWithinPartitions(F.desc("rate"), "currency")
 
 
 @query("ag03_rate_se_by_currency", _g("""

@@ -153,7 +153,10 @@ def pf03(spark, sf):
 
 
 def build_features(spark, sf):
-    p = projects(spark, sf)
+    # The build reads the projects several times (vocabularies, training
+    # intervals, the rows themselves): write them once to the shared folder.
+    from stacksmith.operators.rank import cut
+    p = cut(projects(spark, sf))
     train, test = _train(p), p.filter(F.col("split") == "test")
     model = FE.ProjectFeatures.fit(train, rates_frame(spark))
     return model.transform(p, F.col("split") == "train"), model

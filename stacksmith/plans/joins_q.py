@@ -28,7 +28,7 @@ GROUP BY a.uid, a.row_id, a.l_linenumber, a.start_ts, a.end_ts""", "intervals").
 @query("jn03_overlap_self_closed", _ov_sql("b.s <= a.e AND b.e >= a.s", "- 1"))
 def jn03(spark, sf):
     iv = intervals(spark, sf).select("row_id", "l_linenumber", "start_ts", "end_ts")
-    return overlap_count(iv, "start_ts", "end_ts", closed=True)
+    return overlap_count(iv, "start_ts", "end_ts", closed=True, bucket_width=86400)
 
 
 @query("jn03_overlap_self_open", with_ctes(f""", {_NORM}
@@ -38,7 +38,7 @@ FROM n a LEFT JOIN n b ON b.s < a.e AND b.e > a.s AND b.s < b.e
 GROUP BY a.uid, a.row_id, a.l_linenumber, a.start_ts, a.end_ts, a.s, a.e""", "intervals").replace(")\n, n AS", "),\n n AS"))
 def jn03_open(spark, sf):
     iv = intervals(spark, sf).select("row_id", "l_linenumber", "start_ts", "end_ts")
-    return overlap_count(iv, "start_ts", "end_ts", closed=False)
+    return overlap_count(iv, "start_ts", "end_ts", closed=False, bucket_width=86400)
 
 
 @query("jn04_overlap_test_vs_train", with_ctes(f""", {_NORM}
@@ -50,7 +50,7 @@ def jn04(spark, sf):
     iv = intervals(spark, sf)
     test = iv.filter(F.col("split") == "test").select("row_id", "l_linenumber", "start_ts", "end_ts")
     train = iv.filter(F.col("split") == "train").select("start_ts", "end_ts")
-    return overlap_count(test, "start_ts", "end_ts", closed=True, reference=train)
+    return overlap_count(test, "start_ts", "end_ts", closed=True, reference=train, bucket_width=86400)
 
 
 @query("wn01_sorted_rank_lookup", with_ctes("""
