@@ -30,6 +30,17 @@ def sq_dist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
 
 
+def top_k_per_key(pairs: DataFrame, key: str, k: int, order: list[str], salt: int = 32) -> DataFrame:
+    """k smallest rows per ``key`` by ``order`` in two rounds: top-k inside
+    (key, salt) sub-groups, then top-k of the at most salt*k survivors, so
+    a query with a huge candidate set is never sorted in one task."""
+    s = pairs.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salt)))
+    r1 = s.withColumn("_r1", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order)))
+    r1 = r1.filter(F.col("_r1") <= k).drop("_r1", "_salt")
+    r2 = r1.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return r2.filter(F.col("rank") <= k)
+
+
 def knn_join(queries: DataFrame, reference: DataFrame, k: int, qkey: str = "qid", rkey: str = "rid",
              vec: str = "vec", n_pivots: int = 16, seed: int = 42, keep_ref: tuple[str, ...] = ()) -> DataFrame:
     """For every query row, its k nearest reference rows: (qkey, rkey, rank, d2, *keep_ref).
@@ -65,15 +76,12 @@ def knn_join(queries: DataFrame, reference: DataFrame, k: int, qkey: str = "qid"
 
     first = qc.filter(F.col("_before") < k)
     p1 = pairs(first)
-    rank1 = Window.partitionBy(qkey).orderBy("d2", rkey)
-    tau = (p1.withColumn("_rk", F.row_number().over(rank1))
-             .groupBy(qkey).agg(F.max(F.when(F.col("_rk") <= k, F.col("d2"))).alias("_tau2")))
+    tau = top_k_per_key(p1, qkey, k, ["d2", rkey]).groupBy(qkey).agg(F.max("d2").alias("_tau2"))
     second = (qc.filter(F.col("_before") >= k).join(tau, qkey)
                 .filter(F.col("_dq") - F.col("_R") <= F.sqrt("_tau2") * (1 + SLACK) + SLACK))
     p2 = pairs(second)
     allp = p1.unionByName(p2)
-    ranked = allp.withColumn("rank", F.row_number().over(rank1))
-    return ranked.filter(F.col("rank") <= k).select(qkey, rkey, "rank", "d2", *keep_ref)
+    return top_k_per_key(allp, qkey, k, ["d2", rkey]).select(qkey, rkey, "rank", "d2", *keep_ref)
 
 
 def knn_classify(queries: DataFrame, reference: DataFrame, k: int, label: str = "label", **kw) -> DataFrame:

@@ -121,3 +121,29 @@ def rank_lookup(values: DataFrame, probes: DataFrame, col: str, group_cols: Sequ
     table = table.select(*g, F.col("v").alias(col), F.col("w_cum").alias("count_le"),
                          (F.col("w_cum") - F.col("w")).alias("count_lt"))
     return probes.join(table, [*g, col], "left")
+
+
+def rank_by_value(df: DataFrame, order_col: str, tie_col: str, group_cols: Sequence[str] = (),
+                  order_bucket: Column | None = None, tie_width: int = 1 << 16,
+                  out: str = "rank") -> DataFrame:
+    """1-based rank by (order, tie) that stays split when one order value is hot.
+
+    rank = #{order < v} + rank of the tie key among rows with order == v.
+    The first term comes from the (order value, count) table, where a hot
+    value is a single row; the second is a running count per order value,
+    bucketed on the (integer) tie key in fixed-width ranges, so even a value
+    holding a third of all rows is spread over many window partitions.
+    """
+    g = list(group_cols)
+    per_v = df.groupBy(*g, order_col).agg(F.count(F.lit(1)).cast("long").alias("_n"))
+    ob = order_bucket if order_bucket is not None else unit_bucket(order_col)
+    lt = prefix_sum(per_v, [order_col], ["_n"], ob, g).select(
+        *g, order_col, (F.col("_n_cum") - F.col("_n")).alias("_lt"))
+    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    from pyspark.sql.types import StringType
+    tie_bucket = (F.substring(F.col(tie_col), 1, 3) if isinstance(df.schema[tie_col].dataType, StringType)
+                  else fixed_bucket(tie_col, tie_width))     # both monotone in the tie order
+    within = prefix_sum(ones, [tie_col], ["_one"], tie_bucket, [*g, order_col])
+    return (within.join(lt, [*g, order_col])
+                  .withColumn(out, F.col("_lt") + F.col("_one_cum"))
+                  .drop("_one", "_one_cum", "_lt"))

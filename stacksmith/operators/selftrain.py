@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacksmith.operators.rank import rank_within, unit_bucket
+from stacksmith.operators.rank import rank_by_value
 
 
 def one_shot(train: DataFrame, test_scores: DataFrame, lo: float = 0.08, hi: float = 0.80,
@@ -30,7 +30,7 @@ def select_step(scores: DataFrame, taken: DataFrame | None, pos_threshold: float
     ``ratio`` x #positives, lowest p first (ties by key).  Rows already in
     ``taken`` are skipped.  With no positive, negatives are added only when
     ``negatives_without_positives == 'all'``.  The cap is a rank filter
-    (bucketed rank), never a one-task top-k, because it grows with the data.
+    (a rank that splits tied values), never a one-task top-k: it grows with the data.
     """
     cand = scores if taken is None else scores.join(taken.select(key), key, "left_anti")
     pos = cand.filter(F.col(proba) > pos_threshold).select(key, proba, F.lit(1).alias("pseudo_label"))
@@ -38,7 +38,9 @@ def select_step(scores: DataFrame, taken: DataFrame | None, pos_threshold: float
     # round trip, the whole step stays one lazy plan.
     n_pos = pos.agg(F.count(F.lit(1)).alias("_npos")).withColumn("_k", F.lit(1))
     neg = cand.filter(F.col(proba) < neg_threshold)
-    ranked = rank_within(neg, proba, key, [], bucket=unit_bucket(proba), out="_rk")
+    # ranks by (p, key): tied probabilities (common with tree models) are
+    # ranked by key inside their value, never gathered in one task
+    ranked = rank_by_value(neg, proba, key, out="_rk")
     ranked = ranked.withColumn("_k", F.lit(1)).join(F.broadcast(n_pos), "_k")
     keep = (F.col("_npos") > 0) & (F.col("_rk") <= F.floor(F.lit(float(ratio)) * F.col("_npos")))
     if negatives_without_positives == "all":

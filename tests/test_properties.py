@@ -108,3 +108,12 @@ def test_schema_equality_helper(spark):
     a = spark.createDataFrame([(1, 2)], "x int, y int")
     b = spark.createDataFrame([(1, 2)], "y int, x int")
     assert sorted(a.columns) == sorted(b.columns)
+
+
+def test_rank_by_value_with_hot_ties(spark):
+    from stacksmith.operators.rank import rank_by_value
+    rows = [(i, 0.25) for i in range(500)] + [(1000 + i, round(0.001 * (i % 97), 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, p double")
+    got = {r.row_id: r.rank for r in rank_by_value(df, "p", "row_id", tie_width=16).collect()}
+    exp = {rid: i + 1 for i, (p, rid) in enumerate(sorted((p, rid) for rid, p in rows))}
+    assert got == exp
