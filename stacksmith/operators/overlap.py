@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacksmith.operators.rank import cut, fixed_bucket, min_max, prefix_sum, range_bucket
+from stacksmith.operators.rank import fixed_bucket, log_bucket, prefix_sum
 
 
 def _normalised(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -31,13 +31,8 @@ def _normalised(df: DataFrame, start: str, end: str) -> DataFrame:
 def _endpoint_table(pts: DataFrame, n_buckets: int, bucket_width: float | None) -> DataFrame:
     """Per distinct endpoint value v: starts_le(v), ends_le(v), starts_at(v), ends_at(v)."""
     per_v = pts.groupBy("v").agg(F.sum("ns").cast("long").alias("ns"), F.sum("ne").cast("long").alias("ne"))
-    if bucket_width:
-        return prefix_sum(per_v, ["v"], ["ns", "ne"], fixed_bucket("v", bucket_width))
-    per_v = cut(per_v)
-    lo, hi = min_max(per_v, "v")
-    if lo is None:
-        lo, hi = 0, 0
-    return prefix_sum(per_v, ["v"], ["ns", "ne"], range_bucket("v", float(lo), float(hi), n_buckets))
+    bucket = fixed_bucket("v", bucket_width) if bucket_width else log_bucket("v")
+    return prefix_sum(per_v, ["v"], ["ns", "ne"], bucket)
 
 
 def _counts(rows: DataFrame, table: DataFrame, closed: bool) -> DataFrame:
@@ -71,8 +66,9 @@ def overlap_count(df: DataFrame, start: str, end: str, out: str = "n_overlap",
     ``reference=None``: against the other rows of ``df`` (self excluded, jn03).
     Otherwise: against the rows of ``reference`` (jn04); ``df``'s own rows do
     not count.  ``start``/``end`` name the columns in both frames.
-    ``bucket_width`` (e.g. 86400 for epoch seconds) fixes the running-sum
-    buckets and skips the min/max pass.
+    ``bucket_width`` (e.g. 86400 for epoch seconds) gives fixed-width
+    running-sum buckets; otherwise log-scale buckets are used.  Neither needs
+    a min/max pass.
     """
     rows = _normalised(df, start, end)
     self_mode = reference is None

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacksmith.operators.rank import cut, min_max, prefix_sum, range_bucket
+from stacksmith.operators.rank import log_bucket, min_max, prefix_sum
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -69,8 +69,8 @@ def exact_quantiles(df: DataFrame, x: str, group_cols: Sequence[str] = (),
     """Exact linear-interpolated quantiles (numpy 'linear' / SQL quantile_cont).
 
     Scales without gathering a group's values in one task: rows collapse to
-    (group, value, count); a bucketed running count gives each distinct
-    value its rank range; for every probability the two neighbouring ranks
+    (group, value, count); a running count over log-scale buckets (no
+    min/max pass, any range or tail) gives each distinct value its rank range; for every probability the two neighbouring ranks
     floor/ceil((n-1)p) are picked by a per-row filter and interpolated.
     Output: (*group_cols, q_idx, q, value).
     """
@@ -80,12 +80,9 @@ def exact_quantiles(df: DataFrame, x: str, group_cols: Sequence[str] = (),
         df, g = df.withColumn("_g", F.lit(0)), ["_g"]
     probs = list(probs) if probs is not None else [i / 100 for i in range(1, 100)]
     xv = F.col(x).cast("double")
-    vals = cut(df.select(*g, xv.alias("_x")).filter(F.col("_x").isNotNull())
-                 .groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c")))
-    lo, hi = min_max(vals, "_x")
-    if lo is None:
-        lo, hi = 0.0, 0.0
-    cum = prefix_sum(vals, ["_x"], ["_c"], range_bucket("_x", float(lo), float(hi), n_buckets), g)
+    vals = (df.select(*g, xv.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+              .groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    cum = prefix_sum(vals, ["_x"], ["_c"], log_bucket("_x"), g)
     sizes = vals.groupBy(*g).agg(F.sum("_c").alias("_n"))
     cum = cum.join(sizes, g, "inner")
     targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])

@@ -80,6 +80,22 @@ def rank_within(df: DataFrame, order_col: str, tie_col: str, group_cols: Sequenc
     return ranked.withColumnRenamed("_one_cum", out).drop("_one")
 
 
+def log_bucket(col: str, per_octave: int = 1024) -> Column:
+    """Monotone bucket for any double without a min/max pass:
+    sign(x) * (C + floor(per_octave * log2|x|)), 0 for x == 0.
+
+    log is semi-monotonic in Java, so the bucket never decreases as x grows;
+    each bucket spans a relative width of about 1/per_octave of an octave,
+    whatever the data's range or tail.
+    """
+    x = F.col(col).cast("double")
+    c = 1100 * per_octave                      # > per_octave * |log2(min subnormal)|
+    top = 3 * c
+    mag = F.floor(F.log2(F.abs(x)) * F.lit(float(per_octave))).cast("long") + F.lit(c)
+    return (F.when(x == float("inf"), F.lit(top)).when(x == float("-inf"), F.lit(-top))
+             .when(x > 0, mag).when(x < 0, -mag).otherwise(F.lit(0)).cast("long"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives
     executor loss).  Used where one aggregated table feeds both a scalar pass
@@ -113,11 +129,8 @@ def rank_lookup(values: DataFrame, probes: DataFrame, col: str, group_cols: Sequ
     g = list(group_cols)
     pts = (values.select(*g, F.col(col).alias("v"), F.lit(1).alias("w"))
            .unionByName(probes.select(*g, F.col(col).alias("v"), F.lit(0).alias("w"))))
-    per_v = cut(pts.groupBy(*g, "v").agg(F.sum("w").cast("long").alias("w")))
-    lo, hi = min_max(per_v, "v")
-    if lo is None:
-        lo, hi = 0.0, 0.0
-    table = prefix_sum(per_v, ["v"], ["w"], range_bucket("v", float(lo), float(hi), n_buckets), g)
+    per_v = pts.groupBy(*g, "v").agg(F.sum("w").cast("long").alias("w"))
+    table = prefix_sum(per_v, ["v"], ["w"], log_bucket("v"), g)
     table = table.select(*g, F.col("v").alias(col), F.col("w_cum").alias("count_le"),
                          (F.col("w_cum") - F.col("w")).alias("count_lt"))
     return probes.join(table, [*g, col], "left")

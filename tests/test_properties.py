@@ -117,3 +117,22 @@ def test_rank_by_value_with_hot_ties(spark):
     got = {r.row_id: r.rank for r in rank_by_value(df, "p", "row_id", tie_width=16).collect()}
     exp = {rid: i + 1 for i, (p, rid) in enumerate(sorted((p, rid) for rid, p in rows))}
     assert got == exp
+
+
+def test_log_bucket_monotone(spark):
+    from stacksmith.operators.rank import log_bucket
+    rng = np.random.default_rng(3)
+    xs = sorted(set([0.0, -0.0, 1e-300, -1e-300, 5e-324, 1.0, 2.0, -2.0, 1e300, float("inf"), float("-inf")]
+                    + list(rng.normal(size=300) * 10.0 ** rng.integers(-8, 9, size=300))))
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    got = [r.b for r in df.select("x", log_bucket("x").alias("b")).orderBy("x").collect()]
+    assert all(a <= b for a, b in zip(got, got[1:]))
+
+
+def test_quantiles_long_tail(spark):
+    from stacksmith.operators.profile import exact_quantiles
+    vals = [float(i) for i in range(1, 400)] + [1e12, -5.0, 0.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
+    got = [r.value for r in exact_quantiles(df, "x", [], probs).orderBy("q").collect()]
+    assert got == [round(float(v), 6) for v in np.quantile(np.array(vals), probs)]
