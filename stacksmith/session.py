@@ -49,7 +49,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster's setting is used as is.  Only when it is unset (local runs,
     tests) a private folder under the system temp dir is chosen and set.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:          # Spark Connect: no SparkContext, conf only
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            d = tempfile.mkdtemp(prefix="stacksmith-ckpt-")
+            spark.conf.set("spark.checkpoint.dir", d)
+        return d
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="stacksmith-ckpt-")
