@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacksmith.operators.rank import log_bucket, min_max, prefix_sum
+from stacksmith.operators.rank import fixed_bucket, log_bucket, min_max, prefix_max, prefix_sum
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -70,8 +70,10 @@ def exact_quantiles(df: DataFrame, x: str, group_cols: Sequence[str] = (),
 
     Scales without gathering a group's values in one task: rows collapse to
     (group, value, count); a running count over log-scale buckets (no
-    min/max pass, any range or tail) gives each distinct value its rank range; for every probability the two neighbouring ranks
-    floor/ceil((n-1)p) are picked by a per-row filter and interpolated.
+    min/max pass, any range or tail) gives each distinct value its first
+    rank; the values at the needed ranks floor/ceil((n-1)p) are found by a
+    bucketed running max over the rank domain (values grow with rank), then
+    interpolated.  No per-row lambdas, no one-task stage.
     Output: (*group_cols, q_idx, q, value).
     """
     g = list(group_cols)
@@ -84,24 +86,27 @@ def exact_quantiles(df: DataFrame, x: str, group_cols: Sequence[str] = (),
               .groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c")))
     cum = prefix_sum(vals, ["_x"], ["_c"], log_bucket("_x"), g)
     sizes = vals.groupBy(*g).agg(F.sum("_c").alias("_n"))
-    cum = cum.join(sizes, g, "inner")
+    # needed ranks: floor and ceil of (n-1)p for each probability (a few rows per group)
     targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    first = F.col("_c_cum") - F.col("_c")   # 0-based rank of the first copy
-    last = F.col("_c_cum") - 1
-    pos = lambda t: (F.col("_n") - 1).cast("double") * t["p"]
-    hits = F.filter(targets, lambda t: (
-        ((F.floor(pos(t)) >= first) & (F.floor(pos(t)) <= last)) |
-        ((F.ceil(pos(t)) >= first) & (F.ceil(pos(t)) <= last))))
-    exploded = cum.select(*g, "_x", "_n", first.alias("_first"), last.alias("_last"),
-                          F.explode(hits).alias("_t"))
-    p_pos = (F.col("_n") - 1).cast("double") * F.col("_t.p")
-    in_range = lambda k: (k >= F.col("_first")) & (k <= F.col("_last"))
-    picked = exploded.select(
-        *g, F.col("_t.i").alias("q_idx"), F.col("_t.p").alias("q"), p_pos.alias("_pos"),
-        F.when(in_range(F.floor(p_pos)), F.col("_x")).alias("_lo"),
-        F.when(in_range(F.ceil(p_pos)), F.col("_x")).alias("_hi"))
-    agg = picked.groupBy(*g, "q_idx", "q").agg(F.first("_pos").alias("_pos"),
-                                                F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    t = sizes.select(*g, F.explode(targets).alias("_t")).select(
+        *g, F.col("_t.i").alias("q_idx"), F.col("_t.p").alias("q"))
+    t = t.join(sizes, g).withColumn("_pos", (F.col("_n") - 1).cast("double") * F.col("q"))
+    probes = t.select(*g, "q_idx", "q", "_pos", F.explode(F.array(
+        F.struct(F.lit(0).alias("hi"), F.floor("_pos").alias("r")),
+        F.struct(F.lit(1).alias("hi"), F.ceil("_pos").alias("r")))).alias("_w")).select(
+        *g, "q_idx", "q", "_pos", F.col("_w.hi").alias("_hi"), F.col("_w.r").cast("long").alias("_r"),
+        F.lit(None).cast("double").alias("_x"), F.lit(1).alias("_kind"))
+    # each distinct value sits at its first 0-based rank; values grow with rank,
+    # so the value at rank r is the running max over rows at ranks <= r
+    points = cum.select(*g, F.lit(None).cast("int").alias("q_idx"), F.lit(None).cast("double").alias("q"),
+                        F.lit(None).cast("double").alias("_pos"), F.lit(None).cast("int").alias("_hi"),
+                        (F.col("_c_cum") - F.col("_c")).cast("long").alias("_r"), "_x", F.lit(0).alias("_kind"))
+    both = points.unionByName(probes)
+    looked = prefix_max(both, ["_r", "_kind"], "_x", fixed_bucket("_r", 4096), g, out="_v")
+    picked = looked.filter(F.col("_kind") == 1)
+    agg = picked.groupBy(*g, "q_idx", "q").agg(
+        F.first("_pos").alias("_pos"), F.max(F.when(F.col("_hi") == 0, F.col("_v"))).alias("_lo"),
+        F.max(F.when(F.col("_hi") == 1, F.col("_v"))).alias("_hi"))
     lower, higher = F.floor("_pos"), F.ceil("_pos")
     val = F.when(lower == higher, F.col("_lo")).otherwise(
         (higher - F.col("_pos")) * F.col("_lo") + (F.col("_pos") - lower) * F.col("_hi"))

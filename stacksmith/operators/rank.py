@@ -160,3 +160,20 @@ def rank_by_value(df: DataFrame, order_col: str, tie_col: str, group_cols: Seque
     return (within.join(lt, [*g, order_col])
                   .withColumn(out, F.col("_lt") + F.col("_one_cum"))
                   .drop("_one", "_one_cum", "_lt"))
+
+
+def prefix_max(df: DataFrame, order_cols: Sequence[str], col: str, bucket: Column,
+               group_cols: Sequence[str] = (), out: str = "_pmax") -> DataFrame:
+    """Running maximum of ``col`` in (group, order) order, bucketed like
+    ``prefix_sum`` (NULLs ignored).  For a column that grows with the order
+    this is an as-of lookup: the value of the last non-NULL row so far."""
+    g = list(group_cols)
+    b = df.withColumn("_bkt", bucket)
+    within = Window.partitionBy(*g, "_bkt").orderBy(*_cols(order_cols)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    w = b.withColumn("_in", F.max(col).over(within))
+    totals = w.groupBy(*g, "_bkt").agg(F.max(col).alias("_bmax"))
+    before = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*g, "_bkt", F.max("_bmax").over(before).alias("_off"))
+    return (w.join(offsets, [*g, "_bkt"], "inner")
+             .withColumn(out, F.greatest("_in", "_off")).drop("_bkt", "_in", "_off"))

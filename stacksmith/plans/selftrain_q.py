@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stacksmith.functions.metrics import binary_report, confusion_sql, metrics_sql
 from stacksmith.operators import scores as SC
 from stacksmith.operators import selftrain as ST
+from stacksmith.operators.rank import cut
 from stacksmith.plans.inputs import projects, scores, with_ctes
 from stacksmith.plans.registry import query
 
@@ -54,7 +55,9 @@ SELECT row_id, p, 1 AS pseudo_label FROM pos
 UNION ALL
 SELECT row_id, p, 0 FROM neg WHERE rk <= {RATIO} * (SELECT count(*) FROM pos)""", "scores").replace(")\n, cand", "),\n cand"))
 def pl03(spark, sf):
-    m = row_mean(spark, sf).select("row_id", "p")
+    # the per-row mean feeds three branches (taken, positives, negatives):
+    # written once to the shared folder
+    m = cut(row_mean(spark, sf).select("row_id", "p"))
     taken = m.filter(F.col("p") > TAKEN_T).select("row_id")
     out = ST.select_step(m, taken, POS_T, NEG_T, RATIO)
     return out.select("row_id", "p", F.col("pseudo_label").cast("int").alias("pseudo_label"))
@@ -64,7 +67,7 @@ def pl03(spark, sf):
 SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY p, row_id) AS rk FROM {ROW_MEAN_SQL} m WHERE p < 0.35) r
 WHERE rk <= 2 * (SELECT count(*) FROM {ROW_MEAN_SQL} m2 WHERE p > 0.68)""", "scores"))
 def wn06(spark, sf):
-    m = row_mean(spark, sf).select("row_id", "p")
+    m = cut(row_mean(spark, sf).select("row_id", "p"))
     out = ST.select_step(m, None, 0.68, 0.35, 2)
     return out.filter(F.col("pseudo_label") == 0).select("row_id")
 
