@@ -136,3 +136,24 @@ def test_quantiles_long_tail(spark):
     probs = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
     got = [r.value for r in exact_quantiles(df, "x", [], probs).orderBy("q").collect()]
     assert got == [round(float(v), 6) for v in np.quantile(np.array(vals), probs)]
+
+
+def test_rank_lookup_against_brute_force(spark):
+    from stacksmith.operators.rank import rank_lookup
+    rng = np.random.default_rng(5)
+    vals = [float(v) for v in np.concatenate([rng.normal(size=200) * 1e4, np.zeros(50), np.full(100, -3.5)])]
+    probes = [float(v) for v in [-1e9, -3.5, 0.0, 0.5, 1e9] + list(rng.normal(size=20) * 1e4)]
+    vdf = spark.createDataFrame([(v,) for v in vals], "x double")
+    pdf = spark.createDataFrame([(i, v) for i, v in enumerate(probes)], "pid int, x double")
+    got = {r.pid: (r.count_le, r.count_lt) for r in rank_lookup(vdf, pdf, "x").collect()}
+    for i, p in enumerate(probes):
+        assert got[i] == (sum(v <= p for v in vals), sum(v < p for v in vals))
+
+
+def test_prefix_max_as_of(spark):
+    from stacksmith.operators.rank import fixed_bucket, prefix_max
+    rows = [(g, r, float(r * 2) if r % 3 == 0 else None) for g in (0, 1) for r in range(0, 40)]
+    df = spark.createDataFrame(rows, "g int, r long, v double")
+    got = {(x.g, x.r): x.m for x in prefix_max(df, ["r"], "v", fixed_bucket("r", 7), ["g"], out="m").collect()}
+    for g, r, _ in rows:
+        assert got[(g, r)] == float((r // 3) * 3 * 2)
