@@ -34,7 +34,7 @@ YQ_SQL = "(CAST(year(make_timestamp(created_at * 1000000)) AS VARCHAR) || 'Q' ||
 def fe01(spark, sf):
     p = projects(spark, sf)
     tr = _train(p)
-    oh = [FE.OneHot.fit(tr, "country"), FE.OneHot.fit(tr, "currency")]
+    oh = FE.OneHot.fit_many(tr, [("country", F.col("country"), "f03"), ("currency", F.col("currency"), "f03")])
     return p.filter(F.col("split") == "test").select("row_id", *[c for o in oh for c in o.columns()])
 
 
