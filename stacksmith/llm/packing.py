@@ -16,6 +16,7 @@ are kept.  Other columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -29,19 +30,24 @@ from stacksmith.llm.shared import text_col, written
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct words whose ids a task keeps; beyond that the store starts anew.
-MEMO_WORDS = 200_000
-MEMO_LENGTH = 48
+#: A worker's table of known parts, and the ids it has room for.
+SLOTS, POOL = 1 << 21, 16_000_000
 RANK_BUCKETS = 1024
 
+_PART = ~np.isin(np.arange(256), (10, 32))
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 class WordIds:
-    """Ids of a text as the concatenation of the ids of its blank-separated parts.
+    """Ids of texts as the concatenation of the ids of their blank-separated parts.
 
-    Valid for tokenizers whose pre-tokenizer never joins characters across
-    white space and drops it; ``tests/llm`` compares with whole-text encoding.
+    Valid for tokenizers whose pre-tokenizer drops white space, never joins
+    characters across it, parts letters from other characters, and lower-cases;
+    ``tests/llm`` compares with whole-text encoding.  A full stop or comma after
+    a letter and before a blank is a part of its own.  Parts seen lately are
+    found by their 64-bit hash in a table of SLOTS entries, newest entry wins.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,35 +55,109 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        memo = self.memo
-        new = [p for p in set(parts) if p not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(parts))
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            memo.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found))
-        out = b"".join([memo[p] for p in parts])
-        for p in new:
-            if len(p) > MEMO_LENGTH:
-                del memo[p]
+        settings = json.loads(self.tokenizer.to_str())
+        # Lower-cased Latin-1 words need no normalising.
+        self.plain = Tokenizer.from_str(json.dumps(settings | {"normalizer": None}))
+        suffix = settings["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if suffix and w.endswith(suffix)]] = True
+        self._reset(POOL)
+
+    def _reset(self, room: int) -> None:
+        self.keys, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.pool, self.used = np.empty(room, np.uint32), 0
+
+    def _encode(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """Lower-case Latin-1 words, many in one call: a word's last id carries the end-of-word suffix."""
+        out = []
+        for lo in range(0, len(words), 2000):
+            some = words[lo:lo + 2000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            out += np.split(ids, cuts[:-1]) if len(cuts) == len(some) else self._encode(some)
+        return out
+
+    def _encode_parts(self, parts: list[bytes]) -> list[np.ndarray]:
+        out: list = [s.decode("utf-8", "replace") for s in parts]
+        latin = [i for i, s in enumerate(out) if s.isalpha() and (s.isascii() or max(s) < "\u0130")]
+        other = sorted(set(range(len(out))) - set(latin))
+        for i, ids in zip(latin, self._encode_words([out[i].lower() for i in latin])):
+            out[i] = ids
+        for i, ids in zip(other, self._encode([out[i] for i in other]) if other else ()):
+            out[i] = ids
         return out
 
+    def __call__(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of a slice, where each row's ids begin and the last end)."""
+        n = len(offs) - 1
+        if not len(buf):
+            return np.empty(0, np.uint32), np.zeros(n + 1, np.int64)
+        blank = ~_PART[buf]
+        stop = np.flatnonzero((buf == 46) | (buf == 44))
+        stop = stop[(stop > 0) & ~np.isin(stop, offs)]
+        after = np.append(blank, True)
+        after[offs] = True
+        before = buf[stop - 1]
+        latin = (before >= 0x80) & (before <= 0xBF) & (before != 0x97) & (before != 0xB7) & (buf[np.maximum(stop - 2, 0)] == 0xC3)
+        stop = stop[after[stop + 1] & (_LETTER[before] | latin)]
+        starts, ends, doc = T.words(buf, offs, _PART, stop)
+        data = buf.tobytes()
+        # Special tokens are matched before lower-casing.
+        h = T.word_hashes(buf, starts, ends, lower=b"<|" not in data) | np.uint64(1)
+        slot = (h >> np.uint64(8)) & np.uint64(SLOTS - 1)
+        hit = self.keys[slot] == h
+        for _ in range(2):
+            at, size = self.at[slot], self.size[slot]
+            miss = np.flatnonzero(~hit)
+            if not len(miss):
+                break
+            _, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            some = miss[first]
+            found = self._encode_parts([data[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist())])
+            sizes = np.array([len(f) for f in found], np.int64)
+            room = int(sizes.sum())
+            if self.used + room > len(self.pool):
+                if self.used:  # a new pool; what was known is encoded again
+                    self._reset(POOL)
+                    hit[:] = False
+                    continue
+                self._reset(room)
+            places = self.used + np.cumsum(sizes) - sizes
+            self.pool[self.used:self.used + room] = np.concatenate(found)
+            self.used += room
+            at[miss], size[miss] = places[which], sizes[which]
+            self.keys[slot[some]], self.at[slot[some]], self.size[slot[some]] = h[some], places, sizes
+            break
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+        return ids, total[np.searchsorted(doc, np.arange(n + 1))]
+
+
+_encoders: dict[str, WordIds] = {}
+
+
+def encoder(path: str) -> WordIds:
+    """This process's encoder; later tasks of a worker find its words known."""
+    if path not in _encoders:
+        _encoders[path] = WordIds(path)
+    return _encoders[path]
+
 
 def _tokenize(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        encode = encoder(path)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, _, _ in T.slices(batch.column(1)):
+            for lo, _, buf, offs in T.slices(batch.column(1)):
                 rows, piece, start, parts = [], [], [], []
-                for i, text in enumerate(batch.column(1).slice(lo, hi - lo).to_pylist(), lo):
-                    data = encode(text or "") + end
+                tokens, first = encode(buf, offs)
+                data_of, first = tokens.astype("<u4", copy=False).tobytes(), (4 * first).tolist()
+                for i, (a, b) in enumerate(zip(first, first[1:]), lo):
+                    data = data_of[a:b] + end
                     for k, at in enumerate(range(0, len(data), step)):
                         rows.append(i)
                         piece.append(k)

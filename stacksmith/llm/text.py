@@ -72,8 +72,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def words(buf: np.ndarray, offs: np.ndarray, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, byte after the last, row) of every word of a slice."""
+def words(buf: np.ndarray, offs: np.ndarray, rule: np.ndarray,
+          cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte after the last, row) of every word of a slice; ``cut``: bytes that start a word anew."""
     if not len(buf):
         z = np.empty(0, np.int64)
         return z, z, z
@@ -85,17 +86,20 @@ def words(buf: np.ndarray, offs: np.ndarray, rule: np.ndarray) -> tuple[np.ndarr
     last = inside.copy()
     last[:-1] &= ~inside[1:]
     last[edge - 1] = inside[edge - 1]
+    if cut is not None:
+        first[cut] = True
+        last[cut - 1] = True
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offs, starts, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each lower-cased word, from prefix sums of a polynomial over the bytes."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hash of each (lower-cased) word, from prefix sums of a polynomial over the bytes."""
     if not len(starts):
         return np.empty(0, np.uint64)
     p, inv = _power(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((LOWER[buf].astype(np.uint64) + np.uint64(1)) * p[:len(buf)], out=sums[1:])
+    np.cumsum(((LOWER[buf] if lower else buf).astype(np.uint64) + np.uint64(1)) * p[:len(buf)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inv[starts])
 
 
