@@ -34,3 +34,16 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY 1)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM comp LEFT JOIN n USING (vec_id)
 """
+
+_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+CHAT_FORMATTING = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+           UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g'))
+           + length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""

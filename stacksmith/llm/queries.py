@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacksmith.llm import decontam, embeddings, jaccard, licenses, lm, oracle, packing, toxicity
+from stacksmith.llm import chat, decontam, embeddings, jaccard, licenses, lm, oracle, packing, secrets, toxicity, urls
 from stacksmith.llm.shared import joined_sha256, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,12 +23,27 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op2_url_filter")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.filter_urls(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def _tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+@query("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind_no"] == kind)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(secrets.span_strings(F.col("spans"), 3).cast("binary"), 256).alias("base_sha256"),
+                        secrets.span_strings(F.col("spans"), 4).alias("spans"))
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer())
@@ -68,3 +83,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lm_scoring")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"), _tokenizer())
+
+
+@query("op10_chat_formatting", oracle.CHAT_FORMATTING)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = chat.format_trees(chat.threads(turns.unionByName(more)))
+    read = chat.read_back(F.col("formatted"))
+    said = F.array_join(F.transform(read, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    lost = F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss")), "")
+    return rows.select(F.expr("try_cast(tree as bigint)").alias("conv_id"), F.size(read).cast("long").alias("n_turns"),
+                       F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length(lost).cast("long").alias("loss_chars"),
+                       F.sha2(lost.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
