@@ -32,13 +32,22 @@ def f1_from_counts(tp="tp", fp="fp", fn="fn") -> Column:
     return _safe_div(2 * tp, 2 * tp + fp + fn)
 
 
-def with_metrics(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Precision, recall, F1, accuracy from tp/fp/fn/tn; 0 where undefined."""
+def with_metrics(df: DataFrame) -> DataFrame:
+    """Precision, recall, F1, accuracy from tp/fp/fn/tn; 0 where undefined.
+
+    Not rounded: ranks, maxima and weights are taken on these.  ``rounded``
+    is for a plan's last projection.
+    """
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return (df.withColumn("precision", F.round(_safe_div(tp, tp + fp), digits))
-              .withColumn("recall", F.round(_safe_div(tp, tp + fn), digits))
-              .withColumn("f1", F.round(f1_from_counts(), digits))
-              .withColumn("accuracy", F.round(_safe_div(tp + tn, tp + fp + fn + tn), digits)))
+    return (df.withColumn("precision", _safe_div(tp, tp + fp))
+              .withColumn("recall", _safe_div(tp, tp + fn))
+              .withColumn("f1", f1_from_counts())
+              .withColumn("accuracy", _safe_div(tp + tn, tp + fp + fn + tn)))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """All double columns rounded: the last step of a plan."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def binary_report(df: DataFrame, label: str, proba: str, group_cols=(), threshold: float = 0.5,

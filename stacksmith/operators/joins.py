@@ -13,23 +13,26 @@ class LengthMismatch(ValueError):
     pass
 
 
-def merge_on_key(left: DataFrame, right: DataFrame, key: str = "row_id", check: bool = False) -> DataFrame:
-    """jn02: 1:1 horizontal merge on the row key (never on position).
-    ``check`` compares the three counts (three small jobs) and raises."""
-    out = left.join(right, key, "inner")
-    if check:
-        a, b, c = left.count(), right.count(), out.count()
-        if not (a == b == c):
-            raise LengthMismatch(f"row counts differ: left={a} right={b} matched={c}")
-    return out
+def unmatched(left: DataFrame, right: DataFrame, key: str) -> list:
+    """Up to five keys that are not once on each side, with both counts: one shuffle of keys."""
+    sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    return sides.groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r")).filter("l <> 1 or r <> 1").limit(5).collect()
+
+
+def merge_on_key(left: DataFrame, right: DataFrame, key: str = "row_id", check: bool = True) -> DataFrame:
+    """jn02: 1:1 horizontal merge on the row key (never on position); raises
+    when a key is missing or repeated on a side.  ``check=False`` is for sides
+    that are known to match (one built from the other)."""
+    if check and (bad := unmatched(left, right, key)):
+        raise LengthMismatch(f"keys that are not once on each side: {[tuple(r) for r in bad]}")
+    return left.join(right, key, "inner")
 
 
 def attach_ids(pred: DataFrame, ids: DataFrame, key: str = "row_id", id_col: str = "id",
                label: str = "state") -> DataFrame:
-    """jn07: submission rows (id, state); stops when the two sides differ in length."""
-    n_pred, n_ids = pred.count(), ids.count()
-    if n_pred != n_ids:
-        raise LengthMismatch(f"{n_ids} ids but {n_pred} predictions")
+    """jn07: submission rows (id, state); stops unless both sides hold the same keys."""
+    if bad := unmatched(ids, pred, key):
+        raise LengthMismatch(f"keys that are not once on each side: {[tuple(r) for r in bad]}")
     return ids.join(pred, key, "inner").select(F.col(id_col), F.col(label).cast("int").alias(label))
 
 

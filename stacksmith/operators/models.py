@@ -8,6 +8,7 @@ count, not the row count) reach the driver.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -21,7 +22,7 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (
     IDF, PCA, HashingTF, Normalizer, OneHotEncoder, RegexTokenizer, StandardScaler,
-    VectorAssembler, VectorSlicer,
+    VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -212,17 +213,22 @@ def gaussian_mixture(df: DataFrame, k: int, features: str = "features", seed: in
     return GaussianMixture(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(df)
 
 
-def cluster_then_classify(train: DataFrame, test: DataFrame, cluster_features: str, k: int,
-                          model_name: str, feature_cols: Sequence[str], label: str = "label",
-                          key: str = "row_id", seed: int = 42) -> DataFrame:
-    """ml09: KMeans on (scaled) text vectors, one classifier per cluster,
-    rows routed by their cluster.  A cluster without both classes in
-    training is skipped (its rows get the training prior)."""
+def _by_cluster(train: DataFrame, cluster_features: str, k: int, label: str, seed: int):
+    """KMeans fit, {cluster: (rows, positives)} of the training rows, and the training prior."""
     km = kmeans(train, k, cluster_features, seed)
-    tr, te = km.transform(train), km.transform(test)
     sizes = {r["cluster"]: (r["n"], r["npos"]) for r in
-             tr.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("npos")).collect()}
+             km.transform(train).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("npos")).collect()}
     prior = float(sum(v[1] for v in sizes.values())) / max(1, sum(v[0] for v in sizes.values()))
+    return km, sizes, prior
+
+
+def cluster_then_classify(train: DataFrame, test: DataFrame, features: str, k: int, model_name: str,
+                          label: str = "label", key: str = "row_id", seed: int = 42) -> DataFrame:
+    """ml09: KMeans on the (scaled) vectors, one classifier per cluster, rows
+    routed by their cluster.  Rows of a cluster without both classes in
+    training get the training prior."""
+    km, sizes, prior = _by_cluster(train, features, k, label, seed)
+    tr, te = km.transform(train), km.transform(test)
     parts = []
     for j in range(k):
         n, npos = sizes.get(j, (0, 0))
@@ -230,11 +236,34 @@ def cluster_then_classify(train: DataFrame, test: DataFrame, cluster_features: s
         if n == 0 or npos in (0, n):
             parts.append(part.select(key, F.lit(prior).alias("proba"), "cluster"))
             continue
-        m = scaled_pipeline(feature_cols, make_estimator(model_name, label=label)).fit(tr.filter(F.col("cluster") == j))
-        parts.append(m.transform(part.drop("features")).select(key, proba_pos().alias("proba"), "cluster"))
+        m = make_estimator(model_name, features=features, label=label).fit(tr.filter(F.col("cluster") == j))
+        parts.append(m.transform(part).select(key, proba_pos().alias("proba"), "cluster"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def clustered_cv_vote(train: DataFrame, test: DataFrame, features: str, k: int, folds: int, model_name: str,
+                      label: str = "label", key: str = "row_id", seed: int = 42) -> DataFrame:
+    """ml16: in every cluster of the vectors, folds of its own and one model a
+    fold; each test row gets the rounded mean vote of its cluster's models.
+    Clusters that cannot be split by class vote with the training prior."""
+    from stacksmith.operators.sampling import stratified_kfold
+    km, sizes, prior = _by_cluster(train, features, k, label, seed)
+    tr, te = km.transform(train), km.transform(test)
+    parts = []
+    for j in range(k):
+        n, npos = sizes.get(j, (0, 0))
+        mine = te.filter(F.col("cluster") == j)
+        if n == 0 or min(npos, n - npos) < folds:
+            parts.append(mine.select(key, F.lit(int(prior > 0.5)).alias("pred")))
+            continue
+        own = stratified_kfold(tr.filter(F.col("cluster") == j).drop("cluster"), folds, seed, label, key=key)
+        for i in range(folds):
+            m = make_estimator(model_name, features=features, label=label).fit(own.filter(F.col("fold") != i))
+            parts.append(m.transform(mine).select(key, (proba_pos() > 0.5).cast("int").alias("pred")))
+    votes = reduce(lambda a, b: a.unionByName(b), parts)
+    return votes.groupBy(key).agg(F.bround(F.avg("pred"), 0).cast("int").alias("pred"))
+
+
 # ---------------------------------------------------------------- PCA and text (fe11-fe15)
 
 def pca_pipeline(input_col: str, k: int, output_col: str = "pcs") -> Pipeline:
@@ -254,34 +283,53 @@ def explained_variance(pca_model, names: Sequence[str] | None = None) -> DataFra
     return df.withColumn("cumulative", F.sum("ratio").over(w))
 
 
-def loadings(pca_model, input_std: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """fe13: loading = component x sqrt(variance of the component)."""
+def loadings(pca_model, df: DataFrame, names: Sequence[str], scores: str = "pcs") -> DataFrame:
+    """fe13: (feature, component, loading) with loading = component x sqrt(variance of the component's scores on ``df``)."""
     from pyspark.sql import SparkSession
     m = pca_model.stages[-1] if hasattr(pca_model, "stages") else pca_model
     pc = m.pc.toArray()
-    ev = m.explainedVariance.toArray()
-    rows = [(names[i], j + 1, float(pc[i, j])) for i in range(pc.shape[0]) for j in range(pc.shape[1])]
-    spark = SparkSession.getActiveSession()
-    df = spark.createDataFrame(rows, "feature string, component int, coef double")
-    return df, ev
+    arr = vector_to_array(F.col(scores))
+    var = pca_model.transform(df).agg(*[F.var_samp(F.element_at(arr, j + 1)).alias(str(j)) for j in range(pc.shape[1])]).first()
+    rows = [(names[i], j + 1, float(pc[i, j]) * math.sqrt(var[j] or 0.0)) for i in range(pc.shape[0]) for j in range(pc.shape[1])]
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, component int, loading double")
+
+
+#: Characters between words: all that is neither letter, digit nor underscore in any script.
+WORD_GAPS = r"[^\p{L}\p{N}_]+"
+
 
+def text_vectors(num_features: int = 1 << 18, min_df: float = 1.0) -> Pipeline:
+    """fe14 (re-aimed): tokens -> hashed term counts -> IDF -> L2 normalise.
 
-def text_vectors(num_features: int = 1 << 12, min_df: float = 1.0) -> Pipeline:
-    """fe14 (re-aimed): tokens -> hashed term counts -> IDF -> L2 normalise."""
+    ``num_features`` is the width of the hashed space; set it well above the
+    number of distinct words where collisions matter.  ``tfidf_terms`` has none.
+    """
     return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="_tok", pattern=r"\W+", minTokenLength=2),
+        RegexTokenizer(inputCol="text", outputCol="_tok", pattern=WORD_GAPS, minTokenLength=1),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=int(min_df)),
         Normalizer(inputCol="_tfidf", outputCol="text_vec", p=2.0)])
 
 
+def tfidf_terms(docs: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
+    """fe14 in long form: (key, term, weight), L2-normalised TF-IDF over the fitted vocabulary of all documents.
+
+    Term and document counts are partial aggregates; the document frequencies
+    come back in an equi-join on the term, so no vocabulary reaches the driver.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD_GAPS), lambda w: w != "")
+    tf = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    total = docs.agg(F.count("*").alias("n_docs"))
+    weighted = (tf.join(df, "term").withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
+                .select(key, "term", (F.col("tf") * F.log((F.col("n_docs") + 1) / (F.col("df") + 1))).alias("w")))
+    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norm, key).select(key, "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("weight"))
+
+
 def dense_from_array(col: str, out: str = "features") -> Column:
     return array_to_vector(F.col(col)).alias(out)
 
 
 def one_hot_index(col_index: str, out: str) -> OneHotEncoder:
     return OneHotEncoder(inputCols=[col_index], outputCols=[out], dropLast=False, handleInvalid="keep")
-
-
-def slicer(indices: Sequence[int], input_col: str = "features", out: str = "features_top") -> VectorSlicer:
-    return VectorSlicer(inputCol=input_col, outputCol=out, indices=list(indices))

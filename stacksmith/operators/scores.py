@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from stacksmith.functions.metrics import confusion_aggs, f1_from_counts, predicted, with_metrics
 from stacksmith.operators.rank import prefix_sum, unit_bucket
 
-MAX_SUBSET_MODELS = 16
-
-
 def mean_score(df: DataFrame, keys: Sequence[str], proba: str = "proba", out: str = "p") -> DataFrame:
     """ag15 / ev02: plain mean over the remaining rows (models, folds)."""
     return df.groupBy(*keys).agg(F.avg(proba).alias(out))
@@ -23,8 +20,8 @@ def mean_score(df: DataFrame, keys: Sequence[str], proba: str = "proba", out: st
 def weighted_mean(df: DataFrame, weights: DataFrame, keys: Sequence[str], on: Sequence[str],
                   proba: str = "proba", weight: str = "weight", out: str = "p") -> DataFrame:
     """ag14 / ev03: sum(w p) / sum(w) by ``keys``; ``weights`` is keyed by ``on``
-    (one row per model or per (model, fold): bounded, so broadcast)."""
-    j = df.join(F.broadcast(weights), list(on))
+    one row per model or per (model, fold); the planner broadcasts it if its size allows."""
+    j = df.join(weights, list(on))
     return j.groupBy(*keys).agg((F.sum(F.col(weight) * F.col(proba)) / F.sum(weight)).alias(out))
 
 
@@ -36,7 +33,7 @@ def f1_table(df: DataFrame, label: str, proba: str, group_cols: Sequence[str], t
 
 def model_weights(f1: DataFrame, method: str = "naive", score: str = "f1", key: str = "model_id",
                   power: float = 4.0, temperature: float = 1.0, eps: float = 1e-8,
-                  reverse: bool = False, digits: int = 6) -> DataFrame:
+                  reverse: bool = False) -> DataFrame:
     """ev07: normalised weights from a (model, score) table (one row per model).
 
     naive: s / sum s;  power: s^p;  softmax: exp(s/T);  minmax: ((s-min)/(max-min)+eps)^p;
@@ -64,7 +61,7 @@ def model_weights(f1: DataFrame, method: str = "naive", score: str = "f1", key:
     tot = F.sum("_raw").over(allw)
     n = F.count(F.lit(1)).over(allw)
     w = F.when(tot > 0, F.col("_raw") / tot).otherwise(F.lit(1.0) / n)
-    return t.select(key, F.round(w, digits).alias("weight"))
+    return t.select(key, w.alias("weight"))
 
 
 def threshold_slot(p: Column, steps: int = 200) -> Column:
@@ -77,7 +74,7 @@ def threshold_slot(p: Column, steps: int = 200) -> Column:
 
 
 def threshold_sweep(df: DataFrame, label: str, proba: str, group_cols: Sequence[str] = (),
-                    steps: int = 200, digits: int = 6) -> DataFrame:
+                    steps: int = 200) -> DataFrame:
     """ev10: F1 of ``p > j/steps`` for every j, in one pass over the scores.
 
     Rows are counted per (group, slot) -- partial aggregation leaves at most
@@ -99,8 +96,7 @@ def threshold_sweep(df: DataFrame, label: str, proba: str, group_cols: Sequence[
     fp = F.sum("_neg").over(suffix)
     out = full.select(*g, "slot", (F.col("slot").cast("double") / steps).alias("threshold"),
                       tp.alias("tp"), fp.alias("fp"), (F.col("_P") - tp).alias("fn"))
-    return out.select(*g, F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn",
-                      F.round(f1_from_counts(), digits).alias("f1"))
+    return out.select(*g, "threshold", "tp", "fp", "fn", f1_from_counts().alias("f1"))
 
 
 def best_threshold(sweep: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -112,52 +108,71 @@ def best_threshold(sweep: DataFrame, group_cols: Sequence[str] = ()) -> DataFram
 
 
 def subset_search(wide: DataFrame, label: str, models: Sequence[str], threshold: float = 0.5,
-                  group_cols: Sequence[str] = (), digits: int = 6) -> DataFrame:
+                  group_cols: Sequence[str] = ()) -> DataFrame:
     """ev11: F1 of the equal-weight mean of every non-empty subset of ``models``.
 
-    Each row expands to 2^n-1 (mask, predicted) pairs that are immediately
-    partially aggregated, so the shuffle carries 2^n-1 rows per group and
-    partition.  n is capped (the grid is exponential).
+    The result has 2^n - 1 rows a group, so n is the caller's choice.  Each
+    task counts hits of all masks over blocks of rows with numpy and hands on
+    one row per (group, mask); no row of scores is expanded.
     """
-    n = len(models)
-    if n > MAX_SUBSET_MODELS:
-        raise ValueError(f"subset search over {n} models: more than {MAX_SUBSET_MODELS}")
-    g = list(group_cols)
-    arr = F.array(*[F.col(m).cast("double") for m in models])
-    idx = F.sequence(F.lit(0), F.lit(n - 1))
-
-    def member(m, i):
-        return m.bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0
-
-    def pred(m):
-        total = F.aggregate(idx, F.lit(0.0), lambda acc, i: acc + F.when(member(m, i), F.element_at(F.col("_a"), i + 1)).otherwise(F.lit(0.0)))
-        cnt = F.aggregate(idx, F.lit(0), lambda acc, i: acc + member(m, i).cast("int"))
-        return F.struct(m.alias("mask"), ((total / cnt) > F.lit(threshold)).cast("int").alias("pred"))
-
-    masks = F.sequence(F.lit(1), F.lit((1 << n) - 1))
-    ex = (wide.select(*g, F.col(label).alias("_y"), arr.alias("_a"))
-              .select(*g, "_y", F.explode(F.transform(masks, pred)).alias("_m")))
-    agg = ex.groupBy(*g, F.col("_m.mask").alias("mask")).agg(*confusion_aggs("_y", F.col("_m.pred")))
+    n, g = len(models), list(group_cols)
+    y = F.col(label).cast("int").alias("_y")
+    rows = wide.select(*g, y, F.array(*[F.col(m).cast("double") for m in models]).alias("_a"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.select(*g).schema), "mask int, pos long, neg long, hit_pos long, hit_neg long"])
+    counts = rows.mapInPandas(_mask_counts(n, threshold, g), schema)
+    agg = counts.groupBy(*g, "mask").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "hit_pos", "hit_neg")])
     names = F.array(*[F.lit(m) for m in models])
-    members = F.array_join(F.filter(names, lambda x, i: member(F.col("mask"), i)), "+")
-    return agg.select(*g, "mask", members.alias("members"),
-                      F.bit_count(F.col("mask")).cast("int").alias("n_members"),
-                      "tp", "fp", "fn", F.round(f1_from_counts(), digits).alias("f1"))
-
-
-def membership_weights(subsets: DataFrame, models: Sequence[str], top_k: int, digits: int = 6) -> DataFrame:
+    members = F.array_join(F.filter(names, lambda x, i: F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0), "+")
+    out = agg.select(*g, "mask", members.alias("members"), F.bit_count(F.col("mask")).cast("int").alias("n_members"),
+                     F.col("hit_pos").alias("tp"), F.col("hit_neg").alias("fp"), (F.col("pos") - F.col("hit_pos")).alias("fn"))
+    return out.withColumn("f1", f1_from_counts())
+
+
+def _mask_counts(n: int, threshold: float, group_cols: list[str]):
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        sizes = np.array([m.bit_count() for m in range(1 << n)], float)
+        sizes[0] = 1
+        total: dict[tuple, np.ndarray] = {}
+        step = max(1, (1 << 22) >> n)
+        for frame in frames:
+            parts = frame.groupby(group_cols, dropna=False) if group_cols else [((), frame)]
+            for key, part in parts:
+                a = np.array(part["_a"].tolist(), float).reshape(-1, n)
+                positive = part["_y"].to_numpy() == 1
+                negative = part["_y"].to_numpy() == 0
+                sums = total.setdefault(key if isinstance(key, tuple) else (key,), np.zeros((1 << n, 4), np.int64))
+                for lo in range(0, len(a), step):
+                    # Sums of all subsets, members added in order: each model doubles the table.
+                    s = np.zeros((len(a[lo:lo + step]), 1))
+                    for i in range(n):
+                        s = np.concatenate([s, s + a[lo:lo + step, i:i + 1]], axis=1)
+                    hit = s / sizes > threshold
+                    p, q = positive[lo:lo + step], negative[lo:lo + step]
+                    sums += np.column_stack([np.full(1 << n, p.sum()), np.full(1 << n, q.sum()), hit[p].sum(axis=0), hit[q].sum(axis=0)])
+        for key, sums in total.items():
+            out = pd.DataFrame(sums[1:], columns=["pos", "neg", "hit_pos", "hit_neg"])
+            out.insert(0, "mask", np.arange(1, 1 << n, dtype=np.int32))
+            for i, c in enumerate(group_cols):
+                out.insert(i, c, key[i])
+            yield out
+    return run
+
+
+def membership_weights(subsets: DataFrame, models: Sequence[str], top_k: int) -> DataFrame:
     """ag20 / ev12: count each model among the ``top_k`` best subsets
     (by F1, ties to the smaller mask) and normalise to weights.  The subset
-    table has 2^n-1 rows (n capped), so the ranking window is bounded."""
-    w = Window.partitionBy().orderBy(F.desc("f1"), F.asc("mask"))
-    top = subsets.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_k)
+    top rows come from per-partition tops, not from a window over all subsets."""
+    top = subsets.orderBy(F.desc("f1"), F.asc("mask")).limit(top_k)
     exploded = top.select(F.explode(F.split("members", r"\+")).alias("model_id"))
     counts = exploded.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_in_top"))
     total = F.sum("n_in_top").over(Window.partitionBy())
-    return counts.select("model_id", "n_in_top", F.round(F.col("n_in_top") / total, digits).alias("weight"))
+    return counts.select("model_id", "n_in_top", (F.col("n_in_top") / total).alias("weight"))
 
 
-def auc(df: DataFrame, label: str, proba: str, group_cols: Sequence[str] = (), digits: int = 6) -> DataFrame:
+def auc(df: DataFrame, label: str, proba: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """ag12: ROC-AUC with ties (a tie counts one half), per group.
 
     Scores collapse to (group, score, pos, neg); the count of negatives
@@ -173,7 +188,7 @@ def auc(df: DataFrame, label: str, proba: str, group_cols: Sequence[str] = (), d
     agg = cum.groupBy(*g).agg(
         F.sum(F.col("_pos") * (below + F.col("_neg") * 0.5)).alias("_num"),
         F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    return agg.select(*g, F.round(F.col("_num") / (F.col("_P") * F.col("_N")), digits).alias("auc"))
+    return agg.select(*g, (F.col("_num") / (F.col("_P") * F.col("_N"))).alias("auc"))
 
 
 def min_max_per_group(df: DataFrame, col: str, group_cols: Sequence[str], out: str) -> DataFrame:

@@ -18,7 +18,6 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacksmith.functions.metrics import binary_report
 from stacksmith.operators import models as M
 from stacksmith.operators import scores as SC
 from stacksmith.operators.sampling import stratified_kfold
@@ -43,12 +42,9 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 # ---------------------------------------------------------------- ev01 / ev02 / ev03
 
 def oof_scores(data: DataFrame, test: DataFrame | None, model_id: str, make_model: ModelFactory,
-               k: int, fold_col: str = "fold", key: str = "row_id", label: str = "label",
-               persist: bool = True) -> DataFrame:
+               k: int, fold_col: str = "fold", key: str = "row_id", label: str = "label") -> DataFrame:
     """ev01: for each fold i fit on fold != i, score fold i (out of fold) and
     every test row.  Returns the long score table (materialised)."""
-    if persist:
-        data = data.persist()
     parts = []
     for i in range(k):
         m = make_model().fit(data.filter(F.col(fold_col) != i))
@@ -57,10 +53,7 @@ def oof_scores(data: DataFrame, test: DataFrame | None, model_id: str, make_mode
         if test is not None:
             parts.append(M.score(m, test, [key, label])
                          .select(key, F.lit("test").alias("split"), F.lit(i).alias("fold"), "proba", label))
-    out = materialize(union_all(parts).withColumn("model_id", F.lit(model_id)), f"oof-{model_id}")
-    if persist:
-        data.unpersist()
-    return out
+    return materialize(union_all(parts).withColumn("model_id", F.lit(model_id)), f"oof-{model_id}")
 
 
 def fold_f1(oof: DataFrame, label: str = "label", floor: float = 0.0) -> DataFrame:
@@ -136,14 +129,21 @@ def multi_meta_blend(train: DataFrame, holdout: DataFrame, cols: Sequence[str],
 
 
 def top_k_feature_member(data: DataFrame, test: DataFrame, feature_cols: Sequence[str], k_feats: int,
-                         folds: int = 5) -> tuple[DataFrame, list[str]]:
-    """ev08: trees on all features -> top-k by importance (wn08) -> an extra
-    OOF member restricted to those columns."""
-    m = M.scaled_pipeline(feature_cols, M.make_estimator("gbt", {"n_estimators": 10})).fit(data)
-    imp = M.importances(m, feature_cols).orderBy(F.desc("importance"), "feature").limit(k_feats)
-    top = [r["feature"] for r in imp.collect()]   # k column names
-    factory = lambda: M.scaled_pipeline(top, M.make_estimator("logistic"))
-    return oof_scores(data, test, f"top{k_feats}", factory, folds), top
+                         folds: int = 5) -> tuple[DataFrame, dict[int, list[str]]]:
+    """ev08: an extra OOF member on the top-k features by tree importance (wn08).
+
+    The importances of fold i come from the rows outside fold i, so held-out
+    labels never choose the features.  Returns (scores, features by fold)."""
+    parts, chosen = [], {}
+    for i in range(folds):
+        fit = data.filter(F.col("fold") != i)
+        trees = M.scaled_pipeline(feature_cols, M.make_estimator("gbt", {"n_estimators": 10})).fit(fit)
+        best = M.importances(trees, feature_cols).orderBy(F.desc("importance"), "feature").limit(k_feats)
+        chosen[i] = [r["feature"] for r in best.collect()]   # k column names
+        m = M.scaled_pipeline(chosen[i], M.make_estimator("logistic")).fit(fit)
+        for split, rows in (("train", data.filter(F.col("fold") == i)), ("test", test)):
+            parts.append(M.score(m, rows, ["row_id", "label"]).select("row_id", F.lit(split).alias("split"), F.lit(i).alias("fold"), "proba", "label"))
+    return materialize(union_all(parts).withColumn("model_id", F.lit(f"top{k_feats}")), f"oof-top{k_feats}"), chosen
 
 
 def stack_with_pseudo(train: DataFrame, added: DataFrame, test: DataFrame, base: dict[str, ModelFactory],
@@ -155,7 +155,7 @@ def stack_with_pseudo(train: DataFrame, added: DataFrame, test: DataFrame, base:
     both = (stratified_kfold(train.withColumn("origin", F.lit("train")), k, seed, "label")
             .unionByName(stratified_kfold(added.withColumn("origin", F.lit("pseudo")), k, seed, "label")))
     both = M.class_weights(both, "label", "neg_pos", "weight")
-    both = both.persist()
+    both = materialize(both, "pseudo-folds")
     parts = []
     for mid, make in base.items():
         for i in range(k):
@@ -165,25 +165,61 @@ def stack_with_pseudo(train: DataFrame, added: DataFrame, test: DataFrame, base:
             parts.append(M.score(m, test, ["row_id", "label"]).withColumn("origin", F.lit("test"))
                          .withColumn("fold", F.lit(i)).withColumn("model_id", F.lit(mid)))
     out = materialize(union_all(parts), "oof-pseudo")
-    both.unpersist()
     return out
 
 
 # ---------------------------------------------------------------- ev15-ev18, ev20
 
-METRICS = ("f1", "precision", "recall", "accuracy", "auc")
+def _counts(y, p, threshold):
+    hit = p > threshold
+    return [F.sum((cond).cast("double")) for cond in ((y == 1) & hit, (y == 0) & hit, (y == 1) & ~hit, (y == 0) & ~hit)]
+
+
+def _ratio(a, b):
+    return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
+
+
+def _metric(pick):
+    return lambda y, p, threshold=0.5: pick(*_counts(y, p, threshold))
+
+
+#: Metrics as callables (label, proba) -> aggregate expression; "auc" needs ranks and has a pass of its own.
+METRICS = {
+    "f1": _metric(lambda tp, fp, fn, tn: _ratio(2 * tp, 2 * tp + fp + fn)),
+    "precision": _metric(lambda tp, fp, fn, tn: _ratio(tp, tp + fp)),
+    "recall": _metric(lambda tp, fp, fn, tn: _ratio(tp, tp + fn)),
+    "accuracy": _metric(lambda tp, fp, fn, tn: _ratio(tp + tn, tp + fp + fn + tn)),
+    "auc": None,
+}
 
 
-def evaluate(df: DataFrame, metric: str | Callable[[DataFrame], float] = "f1", label: str = "label",
-             proba: str = "proba") -> float:
-    """ev20: a metric by name, or any callable over a (label, proba) frame."""
-    if callable(metric):
-        return float(metric(df))
-    if metric == "auc":
-        return float(SC.auc(df, label, proba).first()["auc"])
-    if metric not in METRICS:
+def metric_table(df: DataFrame, metrics: dict, label: str = "label", proba: str = "proba") -> DataFrame:
+    """ev20: (metric, value) for named and user metrics: one aggregation for all of them, one more pass for AUC."""
+    named = [(n, f) for n, f in metrics.items() if f is not None]
+    row = df.agg(*[f(F.col(label), F.col(proba)).alias(f"_{i}") for i, (n, f) in enumerate(named)])
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"_{i}").alias("value")) for i, (n, _) in enumerate(named)])
+    out = row.select(F.explode(pairs).alias("m")).select("m.*")
+    if "auc" in metrics:
+        out = out.unionByName(SC.auc(df, label, proba).select(F.lit("auc").alias("metric"), F.col("auc").alias("value")))
+    return out
+
+
+def evaluate(df: DataFrame, metric: str | Callable = "f1", label: str = "label", proba: str = "proba") -> float:
+    """ev20 as one number: a metric by name, or a callable (label, proba) -> aggregate expression."""
+    if not callable(metric) and metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    return float(binary_report(df, label, proba).first()[metric])
+    name = "_user" if callable(metric) else metric
+    return float(metric_table(df, {name: metric if callable(metric) else METRICS[metric]}, label, proba).first()["value"])
+
+
+def before_after(fits: dict[str, DataFrame], test: DataFrame, make_model: ModelFactory) -> DataFrame:
+    """pl07: F1, precision, recall and AUC on ``test`` of the model fitted on each training set."""
+    parts = []
+    for which, train in fits.items():
+        model = make_model().fit(M.class_weights(train, "label", "balanced", "weight"))
+        scored = M.score(model, test, ["row_id", "label"])
+        parts.append(metric_table(scored, METRICS).withColumn("which", F.lit(which)))
+    return union_all(parts).groupBy("which").pivot("metric", list(METRICS)).agg(F.first("value"))
 
 
 def validation_curve(data: DataFrame, model_name: str, param: str, values: Sequence, feature_cols: Sequence[str],
@@ -191,7 +227,6 @@ def validation_curve(data: DataFrame, model_name: str, param: str, values: Seque
     """ev15: train and validation F1 per parameter value over k folds (the
     fold frame is persisted once), summarised as mean and population std."""
     spark = data.sparkSession
-    data = data.persist()
     rows = []
     for v in values:
         for i in range(k):
@@ -201,7 +236,6 @@ def validation_curve(data: DataFrame, model_name: str, param: str, values: Seque
             va = M.score(m, data.filter(F.col(fold_col) == i), ["label"])
             rows.append((str(v), i, "train", evaluate(tr)))
             rows.append((str(v), i, "valid", evaluate(va)))
-    data.unpersist()
     res = spark.createDataFrame(rows, "param_value string, fold int, part string, f1 double")
     return res.groupBy("param_value", "part").agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"))
 
@@ -241,15 +275,13 @@ def run_experiments(data: DataFrame, feature_cols: Sequence[str], experiments: S
     """ev16-ev18: cross-validated score per (model, setting); one row each,
     ranked.  Each run is a set of Spark jobs; results form the run table."""
     spark = data.sparkSession
-    data = data.persist()
     rows = []
     for run, (name, params) in enumerate(experiments):
         factory = lambda name=name, params=params: M.scaled_pipeline(
             feature_cols, M.make_estimator(name, params, weight="weight", n_features=len(feature_cols)))
-        oof = oof_scores(data, None, f"run{run}", factory, k, persist=False)
+        oof = oof_scores(data, None, f"run{run}", factory, k)
         score = evaluate(oof.filter(F.col("split") == "train"), metric)
         rows.append((f"run{run}", name, {kk: str(v) for kk, v in params.items()}, float(score)))
-    data.unpersist()
     res = spark.createDataFrame(rows, "run_id string, model string, params map<string,string>, cv_score double")
     from pyspark.sql import Window
     return res.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cv_score"), "run_id")))
@@ -272,12 +304,11 @@ def self_training(train: DataFrame, test: DataFrame, members: dict[str, ModelFac
     cum = 0
     for step in range(max_steps):
         pool = test.join(added.select("row_id"), "row_id", "left_anti")
-        cur = train.select("row_id", "label", *[c for c in train.columns if c not in ("row_id", "label", "fold")]) \
-            .withColumn("origin", F.lit("train"))
         feats = pool.drop("label")
-        add_rows = added.join(test.drop("label"), "row_id").withColumn("origin", F.lit("pseudo"))
-        cur = stratified_kfold(cur.unionByName(add_rows.select(*cur.columns)), k, seed, "label")
-        cur = M.class_weights(cur, "label", "balanced", "weight")
+        # Only the original rows have folds and are held out; pseudo rows (fold -1) join every fit.
+        own = stratified_kfold(train.drop("fold", "weight"), k, seed, "label").withColumn("origin", F.lit("train"))
+        more = added.join(test.drop("label"), "row_id").withColumn("fold", F.lit(-1)).withColumn("origin", F.lit("pseudo"))
+        cur = M.class_weights(own.unionByName(more.select(*own.columns)), "label", "balanced", "weight")
         longs = [oof_scores(cur, feats.withColumn("label", F.lit(0.0)), mid, f, k) for mid, f in members.items()]
         long = union_all(longs)
         oof_train = long.filter(F.col("split") == "train").join(cur.filter(F.col("origin") == "train").select("row_id"), "row_id")

@@ -57,9 +57,7 @@ def rate_by_currency(spark, sf):
     out = agg.select("currency", "n", "n_pos", F.round(p, 6).alias("rate"),
                      F.round(F.sqrt(p * (1 - p) / F.col("n")), 6).alias("se"),
                      F.round("_mg", 6).alias("mean_log_goal"))
-    # one row per currency: sorting inside a single partition avoids the
-    # sampling job of a global range sort.
-    return out.coalesce(1).sortWithinPartitions(F.desc("rate"), "currency")
+    return out.orderBy(F.desc("rate"), "currency")
 
 
 @query("ag03_rate_se_by_currency", _g("""

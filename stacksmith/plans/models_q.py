@@ -3,18 +3,18 @@ queries (rows-only checks: seeded MLlib fits cannot be replayed in SQL)."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import functions as F
 
 from stacksmith.functions import scalars as S
-from stacksmith.functions.metrics import binary_report
+from stacksmith.functions.metrics import confusion_sql, f1_sql, rounded
 from stacksmith.operators import models as M
 from stacksmith.operators import scores as SC
 from stacksmith.operators import stacking as STK
 from stacksmith.operators.profile import rate_table
-from stacksmith.operators.sampling import kfold, stratified_holdout, stratified_kfold, undersample
+from stacksmith.operators.sampling import stratified_holdout, stratified_kfold, undersample
 from stacksmith.plans.eda import goal_usd
-from stacksmith.plans.inputs import MODEL_STRENGTH, SEED, scores
+from stacksmith.plans.inputs import MODEL_STRENGTH, SEED, scores, with_ctes
 from stacksmith.plans.registry import query
 from stacksmith.sources import store as ST
 from stacksmith.sources.tables import load
@@ -64,13 +64,11 @@ query("ml08_gaussian_naive_bayes")(fit_predict("naive_bayes"))
 def ml03(spark, sf):
     train, test = train_test(spark, sf, "neg_pos")
     idx = StringIndexer(inputCol="currency", outputCol="currency_idx", handleInvalid="keep").fit(train)
-    va = VectorAssembler(inputCols=FEATS + ["currency_idx"], outputCol="_raw")
-    vi = VectorIndexer(inputCol="_raw", outputCol="features", maxCategories=16, handleInvalid="keep")
-    tr = va.transform(idx.transform(train))
-    vim = vi.fit(tr)
-    model = M.make_estimator("gbt", {"n_estimators": 20, "max_depth": 4}, weight="weight").fit(vim.transform(tr))
-    te = vim.transform(va.transform(idx.transform(test)))
-    return model.transform(te).select("row_id", "label", M.proba_pos().alias("proba"))
+    # The indexer's metadata marks this one column nominal; bins follow its fitted size.
+    va = VectorAssembler(inputCols=FEATS + ["currency_idx"], outputCol="features")
+    params = {"n_estimators": 20, "max_depth": 4, "max_bins": max(32, len(idx.labels) + 1)}
+    model = M.make_estimator("gbt", params, weight="weight").fit(va.transform(idx.transform(train)))
+    return model.transform(va.transform(idx.transform(test))).select("row_id", "label", M.proba_pos().alias("proba"))
 
 
 @query("ml05_mlp_undersampled")
@@ -97,15 +95,20 @@ def ml06(spark, sf):
     return mlp.transform(prep.transform(test)).select("row_id", "label", M.proba_pos().alias("proba"))
 
 
+def _scaled_vectors(spark, sf):
+    """Training and test rows of the embeddings, standardised on the training rows."""
+    from pyspark.ml.feature import StandardScaler
+    e = _emb_split(spark, sf)
+    train, test = e.filter(~F.col("is_holdout")).drop("is_holdout"), e.filter(F.col("is_holdout")).drop("is_holdout")
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(train)
+    return [STK.materialize(scaler.transform(d).select("row_id", F.col("scaled").alias("features"), "label"), n)
+            for d, n in ((train, "vec-train"), (test, "vec-test"))]
+
+
 @query("ml09_cluster_then_classify")
 def ml09(spark, sf):
-    train, test = train_test(spark, sf)
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler
-    prep = Pipeline(stages=[VectorAssembler(inputCols=FEATS, outputCol="_r"),
-                            StandardScaler(inputCol="_r", outputCol="cvec", withMean=True)]).fit(train)
-    tr, te = prep.transform(train).drop("_r"), prep.transform(test).drop("_r")
-    return M.cluster_then_classify(tr, te, "cvec", 6, "logistic", FEATS)
+    train, test = _scaled_vectors(spark, sf)
+    return M.cluster_then_classify(train, test, "features", 6, "logistic")
 
 
 @query("ml10_random_subspace_lr")
@@ -171,58 +174,41 @@ def wn08(spark, sf):
 
 @query("ml16_clustered_cv_ensemble")
 def ml16(spark, sf):
-    train, test = train_test(spark, sf)
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler
-    prep = Pipeline(stages=[VectorAssembler(inputCols=FEATS, outputCol="_r"),
-                            StandardScaler(inputCol="_r", outputCol="cvec", withMean=True)]).fit(train)
-    km = M.kmeans(prep.transform(train), 3, "cvec")
-    tr = km.transform(prep.transform(train)).drop("_r", "cvec")
-    te = km.transform(prep.transform(test)).drop("_r", "cvec")
-    parts = []
-    for j in range(3):
-        trj, tej = tr.filter(F.col("cluster") == j), te.filter(F.col("cluster") == j)
-        if trj.select(F.countDistinct("label")).first()[0] < 2:
-            continue
-        for i in range(5):
-            m = M.scaled_pipeline(FEATS, M.make_estimator("logistic", weight="weight")).fit(trj.filter(F.col("fold") != i))
-            parts.append(M.score(m, tej, ["row_id"]).withColumn("pred", (F.col("proba") > 0.5).cast("int")))
-    votes = STK.union_all(parts).groupBy("row_id").agg(F.bround(F.avg("pred"), 0).cast("int").alias("pred"))
-    return votes
-
-
-def doc_frame(spark, sf):
-    d = load(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text", "lang", "n_chars")
-    lab = load(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").cast("double").alias("label"))
-    return d.join(lab, "row_id")
+    train, test = _scaled_vectors(spark, sf)
+    return M.clustered_cv_vote(train, test, "features", 3, 5, "logistic")
 
 
-@query("fe14_text_vectors")
+@query("fe14_text_vectors", """
+WITH tf AS (SELECT doc_id AS row_id, term, count(*) AS tf
+            FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS term FROM documents) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT row_id, term, tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) AS w FROM tf JOIN df USING (term))
+SELECT row_id, term, round(CASE WHEN norm > 0 THEN w / norm ELSE 0 END, 6) AS weight
+FROM w JOIN (SELECT row_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1) USING (row_id)""")
 def fe14(spark, sf):
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    tv = M.text_vectors().fit(d).transform(d)
-    arr = M.vector_to_array("text_vec")
-    return tv.select("row_id", F.size(F.filter(arr, lambda x: x != 0)).alias("n_terms"),
-                     F.round(F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("l2"))
+    return M.tfidf_terms(d).select("row_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def _doc_clusters(spark, sf, k=6):
-    d = doc_frame(spark, sf)
-    tv = M.text_vectors().fit(d).transform(d)
-    km = M.kmeans(tv, k, "text_vec")
-    return km, tv
+    """KMeans on the text vectors of all documents, labelled or not."""
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    tv = STK.materialize(M.text_vectors().fit(d).transform(d).select("row_id", "text_vec"), "text-vectors")
+    return M.kmeans(tv, k, "text_vec"), tv
 
 
 @query("fe06_cluster_one_hot")
 def fe06(spark, sf):
     km, tv = _doc_clusters(spark, sf)
-    return M.cluster_one_hot(km, tv.select("row_id", "text_vec")).drop("text_vec", "cluster")
+    return M.cluster_one_hot(km, tv).drop("text_vec", "cluster")
 
 
 @query("ag18_cluster_label_rate")
 def ag18(spark, sf):
+    """Label rate by cluster: clusters come from all documents, rates from the labelled ones."""
     km, tv = _doc_clusters(spark, sf)
-    return rate_table(km.transform(tv), "cluster", "label")
+    lab = load(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").cast("double").alias("label"))
+    return rate_table(km.transform(tv).select("row_id", "cluster").join(lab, "row_id"), "cluster", "label")
 
 
 @query("ag19_cluster_distance_sums")
@@ -250,6 +236,14 @@ def fe13(spark, sf):
     return M.explained_variance(pca)
 
 
+@query("fe13_loadings")
+def fe13_loadings(spark, sf):
+    e = emb_frame(spark, sf)
+    pca = M.pca_pipeline("features", 16, "pcs").fit(e)
+    names = [f"f06__{i + 1:03d}__SentenceVec" for i in range(pca.stages[-1].pc.numRows)]
+    return M.loadings(pca, e, names)
+
+
 @query("fe15_pca3_compression")
 def fe15(spark, sf):
     e = _emb_split(spark, sf)
@@ -331,7 +325,7 @@ def ev09(spark, sf):
 @query("ev15_validation_curve")
 def ev15(spark, sf):
     train, _ = train_test(spark, sf)
-    t3 = kfold(train, 3, SEED, out="fold3")
+    t3 = stratified_kfold(train.drop("fold"), 3, SEED, "label").withColumnRenamed("fold", "fold3")
     return STK.validation_curve(t3, "logistic", "reg", [0.001, 0.1, 1.0], FEATS, 3)
 
 
@@ -360,42 +354,51 @@ def ev18(spark, sf):
     return log.read().drop("source_file")
 
 
-@query("ev20_pluggable_metric")
+@query("ev20_pluggable_metric", with_ctes(f"""
+SELECT metric, round(value, 6) AS value FROM (
+  UNPIVOT (SELECT CAST({{f1}} AS DOUBLE) AS f1, CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision,
+                  CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall,
+                  CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS accuracy, CAST(auc AS DOUBLE) AS auc, CAST({{g1}} AS DOUBLE) AS "f1_at_0.6"
+           FROM (SELECT {confusion_sql('y', 'CAST(proba > 0.5 AS INTEGER)')},
+                        sum(CASE WHEN y = 1 AND proba > 0.6 THEN 1 ELSE 0 END) AS t6, sum(CASE WHEN proba > 0.6 THEN 1 ELSE 0 END) AS p6,
+                        (sum(CASE WHEN y = 1 THEN ar ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS auc
+                 FROM (SELECT final_status AS y, proba, rank() OVER (ORDER BY proba) + (count(*) OVER (PARTITION BY proba) - 1) / 2.0 AS ar
+                       FROM scores WHERE split = 'train' AND model_id = 'm3') r) c)
+  ON COLUMNS(*) INTO NAME metric VALUE value) u""".format(f1=f1_sql(), g1="CASE WHEN p6 + tp + fn = 0 THEN 0.0 ELSE 2.0 * t6 / (p6 + tp + fn) END"), "scores"))
 def ev20(spark, sf):
     s = scores(spark, sf).filter((F.col("split") == "train") & (F.col("model_id") == "m3"))
     s = s.select(F.col("final_status").alias("label"), "proba")
-    custom = lambda d: binary_report(d, "label", "proba", threshold=0.6).first()["f1"]
-    rows = [(m, STK.evaluate(s, m)) for m in STK.METRICS] + [("f1_at_0.6", STK.evaluate(s, custom))]
-    return spark.createDataFrame(rows, "metric string, value double")
-
-
-# The driver tables' order label carries little signal, so model
-# probabilities sit close to 0.5; thresholds are set inside that range.
-PL02 = dict(max_steps=3, pos_base=0.52, growth=1.01, neg_threshold=0.505, ratio=4)
+    at_06 = lambda y, p: STK.METRICS["f1"](y, p, 0.6)
+    return rounded(STK.metric_table(s, {**STK.METRICS, "f1_at_0.6": at_06}))
 
 
 def _self_train(spark, sf, **kw):
-    train, test = train_test(spark, sf)
-    return STK.self_training(train.drop("fold", "weight"), test, {"lr": lr_factory()}, k=3, **kw)
+    """Self-training on the embeddings, whose label the vectors carry: two members, soft vote."""
+    train, test = _scaled_vectors(spark, sf)
+    model = lambda name: (lambda: M.make_estimator(name, weight="weight"))
+    return STK.self_training(train, test, {"lr": model("logistic"), "rf": model("random_forest")}, k=3, **kw)
 
 
 @query("pl02_self_training_added_rows")
 def pl02(spark, sf):
-    added, _ = _self_train(spark, sf, **PL02)
-    return added
+    return _self_train(spark, sf, max_steps=3, pos_base=0.8, growth=1.05, neg_threshold=0.2, ratio=4)[0]
 
 
 @query("pl08_self_training_step_log")
 def pl08(spark, sf):
-    _, steps = _self_train(spark, sf, **PL02)
-    return steps
+    return _self_train(spark, sf, max_steps=3, pos_base=0.8, growth=1.05, neg_threshold=0.2, ratio=4)[1]
 
 
 @query("pl05_pool_self_training")
 def pl05(spark, sf):
-    added, steps = _self_train(spark, sf, max_steps=3, pos_schedule=[0.53, 0.525, 0.52], neg_threshold=0.5,
-                               ratio=5, patience=2)
-    return steps
+    """Pool variant with a threshold schedule; the last rows compare models before and after, refitted on train and added rows."""
+    train, test = _scaled_vectors(spark, sf)
+    model = lambda: M.make_estimator("logistic", weight="weight")
+    added, _ = STK.self_training(train, test, {"lr": model}, k=3, max_steps=3, pos_schedule=[0.8, 0.75, 0.7], neg_threshold=0.25,
+                                 ratio=5, patience=2)
+    rest = test.join(added.select("row_id"), "row_id", "left_anti")
+    more = train.unionByName(added.join(test.drop("label"), "row_id").select(train.columns))
+    return rounded(STK.before_after({"before": train, "after": more}, rest, model))
 
 
 # ---------------------------------------------------------------- exact KNN (jn09, ml07)
@@ -474,14 +477,16 @@ def pl04(spark, sf):
                         (empty & prev_empty).alias("two_empty"))
 
 
-@query("ud02_callable_metric")
+@query("ud02_callable_metric", with_ctes(f"""
+SELECT model_id, round((CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END + CAST(tn AS DOUBLE) / (tn + fp)) / 2, 6) AS balanced_accuracy
+FROM (SELECT model_id, {confusion_sql('final_status', 'CAST(proba > 0.5 AS INTEGER)')} FROM scores WHERE split = 'train' GROUP BY 1) c""", "scores"))
 def ud02(spark, sf):
-    """Metric given as a Python callable over a (label, proba) frame, per base model."""
-    s = scores(spark, sf).filter(F.col("split") == "train").select("model_id", F.col("final_status").alias("label"), "proba")
-    balanced_acc = lambda d: binary_report(d, "label", "proba").select(
-        ((F.col("recall") + F.col("tn") / (F.col("tn") + F.col("fp"))) / 2).alias("v")).first()["v"]
-    rows = [(m, STK.evaluate(s.filter(F.col("model_id") == m), balanced_acc)) for m in MODEL_STRENGTH]
-    return spark.createDataFrame(rows, "model_id string, balanced_accuracy double")
+    """A metric given as a callable (label, proba) -> aggregate, for all base models in one aggregation."""
+    def balanced(y, p):
+        hit = lambda c: F.avg(F.when(y == c, ((p > 0.5).cast("int") == c).cast("double")))
+        return (hit(1) + hit(0)) / 2
+    s = scores(spark, sf).filter(F.col("split") == "train")
+    return rounded(s.groupBy("model_id").agg(balanced(F.col("final_status"), F.col("proba")).alias("balanced_accuracy")))
 
 
 @M.register_estimator("user_ridge_logistic")

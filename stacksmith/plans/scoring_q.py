@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stacksmith.functions.metrics import confusion_sql, metrics_sql
+from stacksmith.functions.metrics import confusion_sql, f1_sql, metrics_sql, rounded
 from stacksmith.functions.scalars import binary_mask
 from stacksmith.functions.seeded import seeded_key_sql
 from stacksmith.operators import scores as SC
@@ -39,12 +39,14 @@ def model_f1(spark, sf):
 OOF_SQL = "(SELECT * FROM scores WHERE split = 'train')"
 F1_SQL = f"""(SELECT model_id, tp, fp, fn, tn, {metrics_sql()} FROM (
   SELECT model_id, {confusion_sql('final_status', 'CAST(proba > 0.5 AS INTEGER)')} FROM {OOF_SQL} o GROUP BY model_id) c)"""
+F1_RAW_SQL = f"""(SELECT model_id, {f1_sql()} AS f1 FROM (
+  SELECT model_id, {confusion_sql('final_status', 'CAST(proba > 0.5 AS INTEGER)')} FROM {OOF_SQL} o GROUP BY model_id) c)"""
 TEST_MEANS_SQL = "(SELECT row_id, model_id, avg(proba) AS p FROM scores WHERE split = 'test' GROUP BY 1, 2)"
 
 
 @query("ev14_model_f1", _s(f"SELECT * FROM {F1_SQL} t"))
 def ev14(spark, sf):
-    return model_f1(spark, sf)
+    return rounded(model_f1(spark, sf))
 
 
 @query("ag11_per_class_report", _s(f"""
@@ -64,7 +66,7 @@ def ag11(spark, sf):
     from stacksmith.functions.metrics import with_metrics
     neg = with_metrics(swapped).select("model_id", F.lit(0).alias("class"), "precision", "recall", "f1",
                                        (F.col("tp") + F.col("fn")).alias("support"))
-    return pos.unionByName(neg)
+    return rounded(pos.unionByName(neg))
 
 
 @query("ag12_auc_with_ties", _s(f"""
@@ -78,7 +80,7 @@ FROM (SELECT model_id, final_status,
       FROM {OOF_SQL} o) r
 GROUP BY model_id, P, N"""))
 def ag12(spark, sf):
-    return SC.auc(oof(spark, sf), "final_status", "proba", ["model_id"])
+    return rounded(SC.auc(oof(spark, sf), "final_status", "proba", ["model_id"]))
 
 
 @query("ev02_test_fold_mean", _s(f"SELECT row_id, model_id, round(p, 6) AS p FROM {TEST_MEANS_SQL} t"))
@@ -93,7 +95,7 @@ def ag15(spark, sf):
     return SC.mean_score(s, ["row_id"]).select("row_id", F.round("p", 6).alias("p"))
 
 
-FOLD_F1_SQL = f"""(SELECT model_id, fold, round({'CASE WHEN 2*tp+fp+fn = 0 THEN 0.0 ELSE 2.0*tp / (2*tp+fp+fn) END'}, 6) AS f1 FROM (
+FOLD_F1_SQL = f"""(SELECT model_id, fold, {f1_sql()} AS f1 FROM (
   SELECT model_id, fold, {confusion_sql('final_status', 'CAST(proba > 0.5 AS INTEGER)')} FROM {OOF_SQL} o GROUP BY 1, 2) c)"""
 
 
@@ -121,7 +123,7 @@ def ag16(spark, sf):
 
 
 def _weights_sql() -> str:
-    base = f"(SELECT model_id, f1 FROM {F1_SQL} t)"
+    base = F1_RAW_SQL
     raw = {
         "naive": "f1",
         "power": "pow(f1, 4)",
@@ -141,12 +143,12 @@ def ev07(spark, sf):
     for m in WEIGHT_METHODS:
         w = SC.model_weights(f1, m).select(F.lit(m).alias("method"), "model_id", "weight")
         out = w if out is None else out.unionByName(w)
-    return out
+    return rounded(out)
 
 
 @query("ag14_weighted_row_mean", _s(f"""
 SELECT t.row_id, round(sum(w.weight * t.p) / sum(w.weight), 6) AS p
-FROM {TEST_MEANS_SQL} t JOIN (SELECT model_id, round(f1 / sum(f1) OVER (), 6) AS weight FROM {F1_SQL} f) w
+FROM {TEST_MEANS_SQL} t JOIN (SELECT model_id, f1 / sum(f1) OVER () AS weight FROM {F1_RAW_SQL} f) w
 ON t.model_id = w.model_id GROUP BY t.row_id"""))
 def ag14(spark, sf):
     w = SC.model_weights(model_f1(spark, sf), "naive")
@@ -155,8 +157,7 @@ def ag14(spark, sf):
 
 
 SWEEP_SQL = f"""
-SELECT model_id, round(CAST(j AS DOUBLE) / 200, 6) AS threshold, tp, fp, fn,
-       round(CASE WHEN 2*tp+fp+fn = 0 THEN 0.0 ELSE 2.0*tp / (2*tp+fp+fn) END, 6) AS f1
+SELECT model_id, CAST(j AS DOUBLE) / 200 AS threshold, tp, fp, fn, {f1_sql()} AS f1
 FROM (SELECT model_id, j,
         CAST(sum(CASE WHEN final_status = 1 AND proba > CAST(j AS DOUBLE) / 200 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
         CAST(sum(CASE WHEN final_status = 0 AND proba > CAST(j AS DOUBLE) / 200 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
@@ -168,24 +169,22 @@ def sweep(spark, sf):
     return SC.threshold_sweep(oof(spark, sf), "final_status", "proba", ["model_id"])
 
 
-@query("ev10_threshold_sweep", _s(SWEEP_SQL))
+@query("ev10_threshold_sweep", _s(f"SELECT model_id, round(threshold, 6) AS threshold, tp, fp, fn, round(f1, 6) AS f1 FROM ({SWEEP_SQL}) s"))
 def ev10(spark, sf):
-    return sweep(spark, sf)
+    return rounded(sweep(spark, sf))
 
 
 @query("ev10_best_threshold", _s(f"""
-SELECT model_id, threshold AS best_threshold, f1 AS best_f1 FROM (
+SELECT model_id, round(threshold, 6) AS best_threshold, round(f1, 6) AS best_f1 FROM (
   SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY f1 DESC, threshold) AS r FROM ({SWEEP_SQL}) s) x
 WHERE r = 1"""))
 def ev10b(spark, sf):
-    return SC.best_threshold(sweep(spark, sf), ["model_id"])
+    return rounded(SC.best_threshold(sweep(spark, sf), ["model_id"]))
 
 
 def oof_wide(spark, sf):
-    o = oof(spark, sf)
-    wide = merge_prediction_sets(o, "row_id", "model_id", "proba", MODELS)
-    labels = o.select("row_id", "final_status", "fold").distinct()
-    return wide.join(labels, "row_id")
+    return (oof(spark, sf).groupBy("row_id", "final_status", "fold").pivot("model_id", MODELS)
+            .agg(F.first("proba")))
 
 
 OOF_WIDE_SQL = f"""(SELECT row_id, final_status, fold, """ + ", ".join(
@@ -198,7 +197,7 @@ def _subset_sql() -> str:
     names = ", ".join(f"CASE WHEN (m >> {i}) & 1 = 1 THEN '{mm}' END" for i, mm in enumerate(MODELS))
     return f"""
 SELECT CAST(m AS INTEGER) AS mask, concat_ws('+', {names}) AS members, CAST(bit_count(CAST(m AS INTEGER)) AS INTEGER) AS n_members,
-       tp, fp, fn, round(CASE WHEN 2*tp+fp+fn = 0 THEN 0.0 ELSE 2.0*tp / (2*tp+fp+fn) END, 6) AS f1
+       tp, fp, fn, {f1_sql()} AS f1
 FROM (SELECT m, {confusion_sql('final_status', 'pred')} FROM (
   SELECT m, final_status, CAST(({total}) / bit_count(CAST(m AS INTEGER)) > 0.5 AS INTEGER) AS pred
   FROM {OOF_WIDE_SQL} w, (SELECT range AS m FROM range(1, {1 << len(MODELS)})) k) x GROUP BY m) c"""
@@ -211,22 +210,22 @@ def subsets(spark, sf):
     return SC.subset_search(oof_wide(spark, sf), "final_status", MODELS)
 
 
-@query("ev11_subset_search", _s(SUBSET_SQL))
+@query("ev11_subset_search", _s(f"SELECT mask, members, n_members, tp, fp, fn, round(f1, 6) AS f1 FROM ({SUBSET_SQL}) s"))
 def ev11(spark, sf):
-    return subsets(spark, sf).drop("tn")
+    return rounded(subsets(spark, sf))
 
 
 TOP_K = 3
-MEMBERSHIP_SQL = f"""(SELECT model_id, n_in_top, round(n_in_top * 1.0 / sum(n_in_top) OVER (), 6) AS weight FROM (
+MEMBERSHIP_SQL = f"""(SELECT model_id, n_in_top, CAST(n_in_top AS DOUBLE) / sum(n_in_top) OVER () AS weight FROM (
   SELECT model_id, count(*) AS n_in_top FROM (
     SELECT unnest(string_split(members, '+')) AS model_id FROM (
       SELECT members, row_number() OVER (ORDER BY f1 DESC, mask) AS r FROM ({SUBSET_SQL}) s) t WHERE r <= {TOP_K}) u
   GROUP BY model_id) c)"""
 
 
-@query("ag20_membership_weights", _s(f"SELECT * FROM {MEMBERSHIP_SQL} mw"))
+@query("ag20_membership_weights", _s(f"SELECT model_id, n_in_top, round(weight, 6) AS weight FROM {MEMBERSHIP_SQL} mw"))
 def ag20(spark, sf):
-    return SC.membership_weights(subsets(spark, sf), MODELS, TOP_K)
+    return rounded(SC.membership_weights(subsets(spark, sf), MODELS, TOP_K))
 
 
 @query("ev12_membership_blend_3fold_f1", _s(f"""
@@ -240,13 +239,13 @@ def ev12(spark, sf):
     w = SC.membership_weights(subsets(spark, sf), MODELS, TOP_K)
     blend = SC.weighted_mean(oof(spark, sf), w.select("model_id", "weight"), ["row_id", "final_status"], ["model_id"])
     blend = kfold(blend, 3, SEED, out="fold3")
-    return SC.f1_table(blend, "final_status", "p", ["fold3"]).select("fold3", "f1")
+    return rounded(SC.f1_table(blend, "final_status", "p", ["fold3"]).select("fold3", "f1"))
 
 
 @query("ev13_submission_blend", _s(f"""
 SELECT t.row_id, CAST(round_even(sum(f.f1 * t.lab) / sum(f.f1), 0) AS INTEGER) AS state
 FROM (SELECT row_id, model_id, CAST(p > 0.5 AS INTEGER) AS lab FROM {TEST_MEANS_SQL} m) t
-JOIN {F1_SQL} f ON t.model_id = f.model_id GROUP BY t.row_id"""))
+JOIN {F1_RAW_SQL} f ON t.model_id = f.model_id GROUP BY t.row_id"""))
 def ev13(spark, sf):
     labs = test_fold_means(spark, sf).select("row_id", "model_id", (F.col("p") > 0.5).cast("int").alias("lab"))
     w = model_f1(spark, sf).select("model_id", F.col("f1").alias("weight"))
@@ -268,10 +267,10 @@ def ev19(spark, sf):
 
 
 @query("wn09_rank_models_by_f1", _s(f"""
-SELECT model_id, f1, CAST(row_number() OVER (ORDER BY f1 DESC, model_id) AS INTEGER) AS rank FROM {F1_SQL} t"""))
+SELECT model_id, round(f1, 6) AS f1, CAST(row_number() OVER (ORDER BY f1 DESC, model_id) AS INTEGER) AS rank FROM {F1_RAW_SQL} t"""))
 def wn09(spark, sf):
     t = model_f1(spark, sf)
-    return t.select("model_id", "f1", F.row_number().over(Window.orderBy(F.desc("f1"), "model_id")).alias("rank"))
+    return rounded(t.select("model_id", "f1", F.row_number().over(Window.orderBy(F.desc("f1"), "model_id")).alias("rank")))
 
 
 @query("sc16_subset_masks", _s(f"""
@@ -283,6 +282,19 @@ def sc16(spark, sf):
     return m.select("mask", binary_mask("mask", n).alias("bits"))
 
 
+@query("sc16_row_vote_masks", _s("""
+SELECT row_id, CAST(sum(CASE WHEN proba > 0.5 THEN 1 << (CAST(substr(model_id, 2) AS INTEGER) - 1) ELSE 0 END) AS INTEGER) AS mask,
+       lpad(bin(CAST(sum(CASE WHEN proba > 0.5 THEN 1 << (CAST(substr(model_id, 2) AS INTEGER) - 1) ELSE 0 END) AS INTEGER)),
+            CAST((SELECT count(DISTINCT model_id) FROM scores) AS INTEGER), '0') AS bits
+FROM scores WHERE split = 'train' GROUP BY row_id"""))
+def sc16_rows(spark, sf):
+    """Which models vote for each row, as a mask with one digit a model."""
+    place = F.create_map(*[F.lit(x) for i, m in enumerate(MODELS) for x in (m, 1 << i)])
+    votes = oof(spark, sf).groupBy("row_id").agg(F.sum(F.when(F.col("proba") > 0.5, F.element_at(place, F.col("model_id"))).otherwise(0))
+                                                 .cast("int").alias("mask"))
+    return votes.select("row_id", "mask", binary_mask("mask", len(MODELS)).alias("bits"))
+
+
 @query("sc17_minmax_per_model", _s(f"""
 SELECT row_id, model_id, round(CASE WHEN hi > lo THEN (p - lo) / (hi - lo) ELSE 0.0 END, 6) AS p_scaled
 FROM (SELECT *, min(p) OVER (PARTITION BY model_id) AS lo, max(p) OVER (PARTITION BY model_id) AS hi FROM {TEST_MEANS_SQL} t) x"""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stacksmith.functions.metrics import binary_report, confusion_sql, metrics_sql
+from stacksmith.functions.metrics import binary_report, confusion_sql, metrics_sql, rounded
 from stacksmith.operators import scores as SC
 from stacksmith.operators import selftrain as ST
 from stacksmith.operators.rank import cut
@@ -41,7 +41,7 @@ def pl06(spark, sf):
     picked = ST.one_shot(_train(spark, sf), row_mean(spark, sf).select("row_id", "p"), LO, HI).filter(F.col("origin") == "pseudo")
     truth = projects(spark, sf).select("row_id", F.col("final_status").alias("truth"))
     j = picked.join(truth, "row_id")
-    return binary_report(j, "truth", "final_status", threshold=0.5)
+    return rounded(binary_report(j, "truth", "final_status", threshold=0.5))
 
 
 POS_T, NEG_T, RATIO, TAKEN_T = 0.7 * 1.01, 0.3, 4, 0.74
@@ -73,21 +73,21 @@ def wn06(spark, sf):
 
 
 @query("pl07_before_after", with_ctes(f"""
-SELECT 'm1' AS which, precision, recall, f1 FROM (
-  SELECT {confusion_sql('final_status', 'CAST(proba > 0.5 AS INTEGER)')} FROM scores WHERE split = 'train' AND model_id = 'm1') a,
-  LATERAL (SELECT {metrics_sql()}) x
-UNION ALL
-SELECT 'mean', precision, recall, f1 FROM (
-  SELECT {confusion_sql('final_status', 'CAST(p > 0.5 AS INTEGER)')} FROM (
-    SELECT row_id, final_status, avg(proba) AS p FROM scores WHERE split = 'train' GROUP BY 1, 2) b) c,
-  LATERAL (SELECT {metrics_sql()}) y""", "scores"))
+SELECT which, precision, recall, f1, auc FROM (
+  SELECT which, {confusion_sql('y', 'CAST(p > 0.5 AS INTEGER)')},
+         round((sum(CASE WHEN y = 1 THEN ar ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auc
+  FROM (SELECT *, rank() OVER (PARTITION BY which ORDER BY p) + (count(*) OVER (PARTITION BY which, p) - 1) / 2.0 AS ar
+        FROM (SELECT 'm1' AS which, final_status AS y, proba AS p FROM scores WHERE split = 'train' AND model_id = 'm1'
+              UNION ALL
+              SELECT 'mean', final_status, avg(proba) FROM scores WHERE split = 'train' GROUP BY row_id, final_status) u) r
+  GROUP BY which) c, LATERAL (SELECT {metrics_sql()}) y""", "scores"))
 def pl07(spark, sf):
+    """One scorer against the blend that replaces it: precision, recall, F1 and AUC of both."""
     s = scores(spark, sf).filter(F.col("split") == "train")
-    before = binary_report(s.filter(F.col("model_id") == "m1"), "final_status", "proba")
-    after = binary_report(SC.mean_score(s, ["row_id", "final_status"]), "final_status", "p")
-    cols = ["which", "precision", "recall", "f1"]
-    return (before.withColumn("which", F.lit("m1")).select(cols)
-            .unionByName(after.withColumn("which", F.lit("mean")).select(cols)))
+    one = s.filter(F.col("model_id") == "m1").select(F.lit("m1").alias("which"), "final_status", F.col("proba").alias("p"))
+    both = one.unionByName(SC.mean_score(s, ["row_id", "final_status"]).select(F.lit("mean").alias("which"), "final_status", "p"))
+    report = binary_report(both, "final_status", "p", ["which"]).select("which", "precision", "recall", "f1")
+    return rounded(report.join(SC.auc(both, "final_status", "p", ["which"]), "which"))
 
 
 @query("so01_row_append_by_name", with_ctes(f"""

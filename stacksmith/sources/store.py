@@ -25,12 +25,15 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> str:
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = True,
              nrows: int | None = None, order_by: Sequence[str] = ()) -> DataFrame:
     """io01/io03: CSV scan; explicit schema (no inference pass) when given.
-    ``nrows`` keeps the first rows in ``order_by`` order (smoke runs)."""
+    ``nrows`` keeps the first rows in ``order_by`` order (smoke runs); a cap
+    without an order would keep arbitrary rows and is refused."""
+    if nrows is not None and not order_by:
+        raise ValueError("nrows needs order_by")
     r = spark.read.option("header", str(header).lower())
     r = r.schema(schema) if schema else r.option("inferSchema", "true")
     df = r.csv(path)
     if nrows is not None:
-        df = df.orderBy(*order_by).limit(nrows) if order_by else df.limit(nrows)
+        df = df.orderBy(*order_by).limit(nrows)
     return df
 
 
@@ -71,11 +74,11 @@ class MetaStore:
                .partitionBy("model_id").parquet(self.path))
 
     def models(self) -> list[str]:
-        try:
-            df = self.spark.read.parquet(self.path)
-        except Exception:
+        """Stored models; an empty store only where the path does not exist, any other failure is raised."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return []
-        return [r[0] for r in df.select("model_id").distinct().collect()]
+        return [r[0] for r in self.spark.read.parquet(self.path).select("model_id").distinct().collect()]
 
     def read(self, model_ids: Sequence[str] | None = None) -> DataFrame:
         df = self.spark.read.parquet(self.path)
