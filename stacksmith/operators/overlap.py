@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacksmith.operators.rank import fixed_bucket, log_bucket, prefix_sum
+from stacksmith.operators.rank import cut, fixed_bucket, log_bucket, prefix_sum
 
 
 def _normalised(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -28,17 +28,30 @@ def _normalised(df: DataFrame, start: str, end: str) -> DataFrame:
               .withColumn("_e", F.greatest(F.col(start), F.col(end))))
 
 
-def _endpoint_table(pts: DataFrame, n_buckets: int, bucket_width: float | None) -> DataFrame:
-    """Per distinct endpoint value v: starts_le(v), ends_le(v), starts_at(v), ends_at(v)."""
+#: Rows that one endpoint's counts are copied to, so that a value which many rows share is met by several tasks.
+SALTS = 8
+
+
+def _endpoint_table(pts: DataFrame, bucket_width: float | None) -> DataFrame:
+    """Per distinct endpoint value v: starts_le(v), ends_le(v), starts_at(v), ends_at(v); written once, used for both ends."""
     per_v = pts.groupBy("v").agg(F.sum("ns").cast("long").alias("ns"), F.sum("ne").cast("long").alias("ne"))
     bucket = fixed_bucket("v", bucket_width) if bucket_width else log_bucket("v")
-    return prefix_sum(per_v, ["v"], ["ns", "ne"], bucket)
+    return cut(prefix_sum(per_v, ["v"], ["ns", "ne"], bucket), "endpoints")
+
+
+def _attach(rows: DataFrame, table: DataFrame, at: str, tag: str) -> DataFrame:
+    """Running counts at the exact value ``at`` (every probe value is in the table)."""
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(
+        copies.select("_salt", F.col("v").alias(at), F.col("ns_cum").alias(f"{tag}_ns_le"),
+                      F.col("ne_cum").alias(f"{tag}_ne_le"), F.col("ns").alias(f"{tag}_ns_at"),
+                      F.col("ne").alias(f"{tag}_ne_at")), [at, "_salt"], "left")
 
 
 def _counts(rows: DataFrame, table: DataFrame, closed: bool) -> DataFrame:
     # Running counts at each row's own end and start (exact value joins).
-    r = _attach(rows, table, "_e", "se")
-    r = _attach(r, table, "_s", "ss")
+    r = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    r = _attach(_attach(r, table, "_e", "se"), table, "_s", "ss")
     if closed:
         # #{s_j <= e_i} - #{e_j < s_i}
         starts = F.col("se_ns_le")
@@ -50,17 +63,16 @@ def _counts(rows: DataFrame, table: DataFrame, closed: bool) -> DataFrame:
     return r.withColumn("_cnt", starts - ends_before)
 
 
-def _attach(rows: DataFrame, table: DataFrame, at: str, tag: str) -> DataFrame:
-    """Running counts at the exact value ``at`` (every probe value is in the table)."""
-    return rows.join(
-        table.select(F.col("v").alias(at), F.col("ns_cum").alias(f"{tag}_ns_le"),
-                     F.col("ne_cum").alias(f"{tag}_ne_le"), F.col("ns").alias(f"{tag}_ns_at"),
-                     F.col("ne").alias(f"{tag}_ne_at")), at, "left")
+def _endpoints(rows: DataFrame, weight: int) -> DataFrame:
+    """Both ends of every interval in one pass; weight 0 for values that are only looked up."""
+    ends = F.array(F.struct(F.col("_s").alias("v"), F.lit(weight).alias("ns"), F.lit(0).alias("ne")),
+                   F.struct(F.col("_e").alias("v"), F.lit(0).alias("ns"), F.lit(weight).alias("ne")))
+    return rows.select(F.explode(ends).alias("p")).select("p.v", "p.ns", "p.ne")
 
 
 def overlap_count(df: DataFrame, start: str, end: str, out: str = "n_overlap",
                   closed: bool = True, reference: DataFrame | None = None,
-                  n_buckets: int = 4096, bucket_width: float | None = None) -> DataFrame:
+                  bucket_width: float | None = None) -> DataFrame:
     """Count, for each row of ``df``, the intervals overlapping it.
 
     ``reference=None``: against the other rows of ``df`` (self excluded, jn03).
@@ -70,19 +82,18 @@ def overlap_count(df: DataFrame, start: str, end: str, out: str = "n_overlap",
     running-sum buckets; otherwise log-scale buckets are used.  Neither needs
     a min/max pass.
     """
-    rows = _normalised(df, start, end)
+    # Written once: the endpoint pass and the final joins read this table, not the plan behind ``df``.
+    rows = cut(_normalised(df, start, end), "intervals")
     self_mode = reference is None
     ref = rows if self_mode else _normalised(reference, start, end)
     if not closed:
         ref = ref.filter(F.col("_s") < F.col("_e"))
-    pts = (ref.select(F.col("_s").alias("v"), F.lit(1).alias("ns"), F.lit(0).alias("ne"))
-           .unionByName(ref.select(F.col("_e").alias("v"), F.lit(0).alias("ns"), F.lit(1).alias("ne"))))
+    pts = _endpoints(ref.select("_s", "_e"), 1)
     if not self_mode or not closed:
         # Probe values that are not endpoints of the reference set get a
         # zero-weight point so that the exact-value join always finds them.
-        pts = pts.unionByName(rows.select(F.col("_s").alias("v"), F.lit(0).alias("ns"), F.lit(0).alias("ne")))
-        pts = pts.unionByName(rows.select(F.col("_e").alias("v"), F.lit(0).alias("ns"), F.lit(0).alias("ne")))
-    table = _endpoint_table(pts, n_buckets, bucket_width)
+        pts = pts.unionByName(_endpoints(rows.select("_s", "_e"), 0))
+    table = _endpoint_table(pts, bucket_width)
     counted = _counts(rows, table, closed)
     cnt = F.col("_cnt")
     if self_mode:

@@ -20,6 +20,40 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in names]
 
 
+#: Buckets that share a bucket of the second level.
+UPPER = 1024
+
+
+def _bucket_offsets(totals: DataFrame, group_cols: Sequence[str], cols: Sequence[str], how) -> DataFrame:
+    """For every bucket of ``totals`` (group, _bkt, _tot_<c>), ``_off_<c>`` over the buckets before it.
+
+    Two levels: a window inside runs of buckets and one over the runs, so the
+    bucket table may grow with the data and still meets no single task whole.
+    ``how`` is the running aggregate (F.sum or F.max).
+    """
+    from pyspark.sql.types import StringType
+    g = list(group_cols)
+    text = isinstance(totals.schema["_bkt"].dataType, StringType)
+    # Both are monotone in the bucket: a shorter prefix, or a wider range.
+    upper = F.substring(F.col("_bkt"), 1, 2) if text else F.floor(F.col("_bkt") / UPPER)
+    t = totals.withColumn("_up", upper)
+    runs = t.groupBy(*g, "_up").agg(*[how(f"_tot_{c}").alias(f"_run_{c}") for c in cols])
+    earlier = Window.partitionBy(*g).orderBy("_up").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*g, "_up", *[how(f"_run_{c}").over(earlier).alias(f"_upper_{c}") for c in cols])
+    before = Window.partitionBy(*g, "_up").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    inside = t.select(*g, "_up", "_bkt", *[how(f"_tot_{c}").over(before).alias(f"_lower_{c}") for c in cols])
+    on = [F.col(f"i.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*g, "_up"]]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    both = inside.alias("i").join(runs.alias("r"), cond)
+    merged = []
+    for c in cols:
+        lower, up = F.col(f"i._lower_{c}"), F.col(f"r._upper_{c}")
+        merged.append((F.coalesce(lower, F.lit(0)) + F.coalesce(up, F.lit(0)) if how is F.sum else F.greatest(lower, up)).alias(f"_off_{c}"))
+    return both.select(*[F.col(f"i.{c}").alias(c) for c in [*g, "_bkt"]], *merged)
+
+
 def prefix_sum(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
                bucket: Column, group_cols: Sequence[str] = (),
                suffix: str = "_cum") -> DataFrame:
@@ -37,13 +71,9 @@ def prefix_sum(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str]
         Window.unboundedPreceding, Window.currentRow)
     w = b.select("*", *[F.sum(c).over(within).alias(f"_in_{c}") for c in sum_cols])
     # 2) bucket totals from the windowed rows (already partitioned by bucket:
-    #    no new exchange), then offsets over the bucket table (one row per
-    #    bucket, so its size is set by the bucketing, not by the data)
+    #    no new exchange), then offsets over the bucket table in two levels
     totals = w.groupBy(*group_cols, "_bkt").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    before = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *group_cols, "_bkt",
-        *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
+    offsets = _bucket_offsets(totals, group_cols, sum_cols, F.sum)
     # 3) add the offsets back (the big side keeps its partitioning)
     out = w.join(offsets, [*group_cols, "_bkt"], "inner")
     return out.select(*df.columns,
@@ -60,12 +90,6 @@ def unit_bucket(col: str, n: int = 4096) -> Column:
     return F.least(F.greatest(F.floor(F.col(col) * n), F.lit(0)), F.lit(n))
 
 
-def range_bucket(col: str, lo: float, hi: float, n: int = 4096) -> Column:
-    """Equal-width bucket for a numeric order column with known min/max."""
-    width = (hi - lo) / n if hi > lo else 1.0
-    return F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("long")
-
-
 def rank_within(df: DataFrame, order_col: str, tie_col: str, group_cols: Sequence[str] = (),
                 bucket: Column | None = None, hex_digits: int = 4,
                 out: str = "rank") -> DataFrame:
@@ -96,13 +120,14 @@ def log_bucket(col: str, per_octave: int = 1024) -> Column:
              .when(x > 0, mag).when(x < 0, -mag).otherwise(F.lit(0)).cast("long"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives
-    executor loss).  Used where one aggregated table feeds both a scalar pass
-    (min/max) and the main pass, so the upstream is computed once."""
-    from stacksmith.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Table written to the shared ``spark.checkpoint.dir`` (survives executor
+    loss) and read back with its statistics, so later passes still prune
+    columns.  Used where one table feeds several passes."""
+    from stacksmith.session import scratch_dir
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fixed_bucket(col: str, width: float) -> Column:
@@ -117,8 +142,7 @@ def min_max(df: DataFrame, col: str) -> tuple[float, float]:
     return (r["lo"], r["hi"])
 
 
-def rank_lookup(values: DataFrame, probes: DataFrame, col: str, group_cols: Sequence[str] = (),
-                n_buckets: int = 4096) -> DataFrame:
+def rank_lookup(values: DataFrame, probes: DataFrame, col: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """wn01: for each probe row, ``count_le`` = #values <= probe and
     ``count_lt`` = #values < probe (searchsorted right / left), per group.
 
@@ -172,8 +196,7 @@ def prefix_max(df: DataFrame, order_cols: Sequence[str], col: str, bucket: Colum
     within = Window.partitionBy(*g, "_bkt").orderBy(*_cols(order_cols)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     w = b.withColumn("_in", F.max(col).over(within))
-    totals = w.groupBy(*g, "_bkt").agg(F.max(col).alias("_bmax"))
-    before = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*g, "_bkt", F.max("_bmax").over(before).alias("_off"))
+    totals = w.groupBy(*g, "_bkt").agg(F.max(col).alias("_tot_v"))
+    offsets = _bucket_offsets(totals, g, ["v"], F.max)
     return (w.join(offsets, [*g, "_bkt"], "inner")
-             .withColumn(out, F.greatest("_in", "_off")).drop("_bkt", "_in", "_off"))
+             .withColumn(out, F.greatest("_in", "_off_v")).drop("_bkt", "_in", "_off_v"))
