@@ -2,8 +2,11 @@
 
 Examples are a documented sample: at most EXAMPLES labelled training rows a
 class, smallest id hash first; each class keeps its weight in all training
-rows.  Terms are the words whose presence goes with the label beyond chance
-(chi-squared, corrected for the number of words tested, TERMS at most);
+rows.  Terms are the words, and the word beginnings of BEGINNINGS bytes (inflected forms
+share them), whose presence goes with the label beyond chance
+(chi-squared, corrected for the number of terms tested, and at least LIFT-fold
+odds; TERMS at most) among
+examples of which none is a near copy of another (least hashes of five-word runs);
 document frequencies of those terms come from all documents.  Examples with
 equal vectors are one entry.  A block-max inverted index over the entries gives
 an upper bound for each block of BLOCK entries; blocks are scored exactly in the
@@ -33,10 +36,13 @@ from stacksmith.llm.shared import text_col, written
 
 #: Labelled training rows of each class at most.
 EXAMPLES = 10_000
-#: Terms at most, and the chance that any term is kept by accident.
-TERMS, ALPHA = 4096, 0.01
+BEGINNINGS = (4, 5, 6)
+#: Terms at most, the chance that any term is kept by accident, and how much it must change the label's odds.
+TERMS, ALPHA, LIFT = 4096, 0.01, 4.0
 NEIGHBOURS = 25
 BLOCK = 128
+#: Least hashes of an example; near copies that share none are rare: (1 - similarity) ** SKETCH.
+SKETCH = 6
 SOFT = 0.05
 FOLDS, HELD = 5, 0
 MEMO = 100_000
@@ -46,12 +52,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD
 
 
-def _counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, rows, row, word hash, count) of the distinct words of each row, slice by slice."""
+def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, word rows, word hashes, term rows, term hashes, hashes of the terms' beginnings), slice by slice.
+
+    Terms are words and their beginnings; the longest shorter beginning of a term is its parent, 0 without one.
+    """
     for lo, hi, buf, offs in T.slices(column):
         starts, ends, doc = T.words(buf, offs, T.ALNUM)
         h = T.word_hashes(buf, starts, ends)
-        yield lo, hi - lo, doc, h, starts
+        parent, docs, terms, parents = np.zeros(len(h), np.uint64), [], [], []
+        for n in BEGINNINGS:
+            long = np.flatnonzero(ends - starts > n)
+            beginning = T.mix(T.word_hashes(buf, starts[long], starts[long] + n) + np.uint64(n))
+            docs.append(doc[long])
+            terms.append(beginning)
+            parents.append(parent[long])
+            parent[long] = beginning
+        yield lo, hi - lo, doc, h, *(np.concatenate(x) for x in ([doc, *docs], [h, *terms], [parent, *parents]))
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,12 +81,72 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, h): one row for each distinct word of each example."""
+    """(doc_id, toxic, terms, parents, sketch) of each example: its distinct terms, and least hashes of its five-word runs."""
     for batch in batches:
-        toxic = batch.column(1).to_numpy(zero_copy_only=False)
-        for lo, _, doc, h, _ in _counts(batch.column(0)):
-            doc, h, _ = _distinct(doc, h)
-            yield pa.record_batch([pa.array(toxic[lo + doc].astype(np.int32)), pa.array(h.view(np.int64))], names=["toxic", "h"])
+        for lo, m, doc, h, term_doc, term, parent in _terms(batch.column(2)):
+            runs, at = T.shingle_hashes(h, doc, 5)
+            first = np.searchsorted(doc[at], np.arange(m + 1))
+            some = np.flatnonzero(np.diff(first))
+            sketch = np.zeros((m, SKETCH), np.uint64)
+            for j in range(SKETCH):
+                if len(some):
+                    sketch[some, j] = np.minimum.reduceat(T.mix(runs + np.uint64(j)), first[some])
+            row, word, _ = _distinct(term_doc, term)
+            at = np.argsort(term, kind="stable")
+            parent = parent[at[np.searchsorted(term[at], word)]] if len(word) else word
+            words, above = (pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(m + 1)).astype(np.int32)), pa.array(x.view(np.int64)))
+                            for x in (word, parent))
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * SKETCH), pa.array(sketch.ravel().view(np.int64)))
+            yield pa.record_batch([batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), words, above, sketches],
+                                  names=["doc_id", "toxic", "terms", "parents", "sketch"])
+
+
+def _one_of_each(rows: list) -> list[int]:
+    """Ids of the examples that share none of their sketch with an example of a smaller id: copies are no evidence."""
+    kept, seen = [], [set() for _ in range(SKETCH)]
+    for doc, _, sketch in sorted(rows):
+        if not any(v and v in s for v, s in zip(sketch, seen)):
+            kept.append(doc)
+        for v, s in zip(sketch, seen):
+            s.add(v)
+    return kept
+
+
+def _outermost(terms: dict[int, tuple[int, float]]) -> list[int]:
+    """Of terms (parent, chi-squared) along a chain of beginnings: a beginning that tells more than all terms under it
+    stands for them, any other goes."""
+    under: dict[int, list[int]] = {}
+    for t, (parent, _) in terms.items():
+        under.setdefault(parent if parent in terms else 0, []).append(t)
+
+    def best(t: int) -> tuple[float, list[int]]:
+        below = [best(c) for c in under.get(t, ())]
+        own = terms[t][1]
+        if not below:
+            return own, [t]
+        top = max(b for b, _ in below)
+        return (own, [t]) if own > top else (top, [x for _, kept in below for x in kept])
+
+    return [x for t in under.get(0, ()) for x in best(t)[1]]
+
+
+def _known(known: np.ndarray, n: int, words: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, term, count) of the chosen terms in each of n rows.
+
+    Rows with any get one term more, ``len(known)``: all their words, counted in
+    half powers of two, so that one hit in a long text is not one in a short text.
+    """
+    none = np.empty(0, np.int64)
+    if not len(known) or not len(h):
+        return np.zeros(n + 1, np.int64), none, none
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    hit = known[at] == h
+    doc, at, count = _distinct(doc[hit], at[hit])
+    some = np.unique(doc)
+    size = np.exp2(np.round(2 * np.log2(np.bincount(words, minlength=n)[some])) / 2).astype(np.int64)
+    doc, at, count = (np.concatenate(x) for x in ((doc, some), (at, np.full(len(some), len(known))), (count, size)))
+    order = np.lexsort((at, doc))
+    return np.searchsorted(doc[order], np.arange(n + 1)), at[order], count[order]
 
 
 def _term_rows(terms):
@@ -77,14 +154,9 @@ def _term_rows(terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = terms.value
         for batch in batches:
-            for lo, m, doc, h, _ in _counts(batch.column(2)):
-                if len(known) and len(h):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    hit = known[at] == h
-                    doc, at, n = _distinct(doc[hit], at[hit])
-                else:
-                    doc = at = n = np.empty(0, np.int64)
-                offsets = pa.array(np.searchsorted(doc, np.arange(m + 1)).astype(np.int32))
+            for lo, m, words, _, doc, h, _ in _terms(batch.column(2)):
+                first, at, n = _known(known, m, words, doc, h)
+                offsets = pa.array(first.astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (at, n)]
                 yield pa.record_batch([batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), *lists],
                                       names=["doc_id", "text_key", "terms", "counts"])
@@ -107,8 +179,9 @@ class Index:
         row = np.repeat(rank, [len(ts) for ts, _ in entries])
         by = np.lexsort((row, term))
         self.rows, self.values = row[by], value[by]
-        self.starts = np.searchsorted(term[by], np.arange(n_terms + 1))
         self.n_blocks = -(-len(entries) // BLOCK)
+        # Where the postings of a term in a block begin.
+        self.starts = np.searchsorted(term[by] * self.n_blocks + self.rows // BLOCK, np.arange(n_terms * self.n_blocks + 1))
         self.most = np.zeros((n_terms, self.n_blocks))
         np.maximum.at(self.most, (term, row // BLOCK), value)
         self.sizes = weights[self.order, 2]
@@ -116,18 +189,24 @@ class Index:
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(entries, similarities) of the nearest entries that hold k examples, with ties of the last; similarity above 0."""
         bounds = values @ self.most[terms]
-        found_e, found_s, enough = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < enough - 1e-12:
+        blocks = np.argsort(-bounds, kind="stable")
+        blocks = blocks[bounds[blocks] > 0].tolist()
+        found_e, found_s, enough, at, width = np.empty(0, np.int64), np.empty(0), 0.0, 0, 4
+        while at < len(blocks):
+            # A few blocks a step, best bounds first; a bound that cannot reach the neighbours found ends the search.
+            group = [b for b in blocks[at:at + width] if bounds[b] >= enough - 1e-12]
+            if not group:
                 break
-            sims = np.zeros(min(BLOCK, len(self.order) - b * BLOCK))
-            for t, v in zip(terms, values):
-                lo, hi = self.starts[t], self.starts[t + 1]
-                lo, hi = lo + np.searchsorted(self.rows[lo:hi], [b * BLOCK, (b + 1) * BLOCK])
-                sims[self.rows[lo:hi] - b * BLOCK] += v * self.values[lo:hi]
-            some = np.flatnonzero(sims > 0)
-            found_e = np.concatenate([found_e, b * BLOCK + some])
-            found_s = np.concatenate([found_s, sims[some]])
+            at, width = at + width, 2 * width
+            sims = np.zeros((len(group), BLOCK))
+            for t, v in zip(terms.tolist(), values.tolist()):
+                for i, b in enumerate(group):
+                    lo, hi = self.starts[t * self.n_blocks + b], self.starts[t * self.n_blocks + b + 1]
+                    if lo < hi:
+                        sims[i, self.rows[lo:hi] - b * BLOCK] += v * self.values[lo:hi]
+            i, some = np.nonzero(sims > 0)
+            found_e = np.concatenate([found_e, np.array(group)[i] * BLOCK + some])
+            found_s = np.concatenate([found_s, sims[i, some]])
             order = np.argsort(-found_s, kind="stable")
             size = self.sizes[found_e[order]].copy()
             if without >= 0:
@@ -246,8 +325,8 @@ def _scored(model):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
-    """One row per document: doc_id, text_key, score in [0, 1], evidence (nearest examples with similarity)."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> tuple[Model, np.ndarray, DataFrame]:
+    """(model, hashes of its terms, term rows of all documents)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_col()).alias("text_key"), text_col().alias("text"))
     train = (labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id is not null and toxic in (0, 1)")
@@ -258,9 +337,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
         part = train.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         picked = part if picked is None else picked.union(part)
     picked = F.broadcast(written(picked, "examples"))  # 2 * ``examples`` rows at most
-    found = texts.select("doc_id", "text").join(picked, "doc_id")
-    words = written(found.select("text", "toxic").mapInArrow(_example_words, "toxic int, h long")
-                    .groupBy("h").agg(F.sum("toxic").cast("double").alias("t"), F.count("*").cast("double").alias("n")).filter("n >= 3"), "words")
+    found = written(texts.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "toxic", "text")
+                    .mapInArrow(_example_words, "doc_id long, toxic int, terms array<long>, parents array<long>, sketch array<long>"), "example-words")
+    single = _one_of_each([tuple(r) for r in found.select("doc_id", "toxic", "sketch").collect()])
+    single = spark.createDataFrame([(i,) for i in single], "doc_id long")  # 2 * ``examples`` rows at most, as all of these
+    found = found.join(F.broadcast(single.distinct()), "doc_id")
+    words = written(found.select("toxic", F.explode(F.arrays_zip("terms", "parents")).alias("z")).groupBy(F.col("z.terms").alias("h"))
+                    .agg(F.first("z.parents").alias("parent"), F.sum("toxic").cast("double").alias("t"), F.count("*").cast("double").alias("n")).filter("n >= 3"), "words")
     used = {r[0]: r[1] for r in found.groupBy("toxic").count().collect()}
     n0, n1 = used.get(0, 0), used.get(1, 0)
     chosen = np.empty(0, np.uint64)
@@ -268,18 +351,51 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
         n = float(n0 + n1)
         chi = F.expr(f"{n} * pow(t * ({n0} - (n - t)) - (n - t) * ({n1} - t), 2) / ({float(n0)} * {n1} * n * ({n} - n))")
         tested = max(1, words.count())
+        odds = F.expr(f"(t + 0.5) * ({n0} - (n - t) + 0.5) / ((n - t + 0.5) * ({n1} - t + 0.5))")
         rows = (words.filter(F.col("n") < n).withColumn("chi", chi).filter(F.col("chi") > 2 * math.log(tested / ALPHA))
+                .filter((odds >= LIFT) | (odds <= 1 / LIFT))
                 .orderBy(F.desc("chi"), "h").limit(terms).collect())
-        chosen = np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+        chosen = np.sort(np.array(_outermost({r.h: (r.parent, r.chi) for r in rows}), np.int64).view(np.uint64))
     table = written(texts.mapInArrow(_term_rows(spark.sparkContext.broadcast(chosen)),
                                      "doc_id long, text_key long, terms array<int>, counts array<int>"), "term-rows")
     total = table.count()
-    df = np.zeros(len(chosen))
+    df = np.zeros(len(chosen) + 1)
     for t, c in table.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
         df[t] = c
     idf = np.log((1 + total) / (1 + df)) + 1
+    idf[-1] = 1.0  # every text has words
     rows = [(r.doc_id, r.toxic, r.terms, r.counts) for r in table.join(picked, "doc_id").select("doc_id", "toxic", "terms", "counts").collect()]
     rows.sort()
     weight = tuple(size.get(c, 0) / max(1, sum(r[1] == c for r in rows)) for c in (0, 1))
-    model = spark.sparkContext.broadcast(Model(idf, rows, weight))
-    return table.mapInArrow(_scored(model), "doc_id long, text_key long, score double, evidence array<struct<doc_id:bigint,similarity:double>>")
+    return Model(idf, rows, weight), chosen, table
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
+    """One row per document: doc_id, text_key, score in [0, 1], evidence (nearest examples with similarity)."""
+    model, _, table = fit(docs, labels, examples, terms)
+    return table.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)),
+                            "doc_id long, text_key long, score double, evidence array<struct<doc_id:bigint,similarity:double>>")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; texts are judged where they are, without a shuffle."""
+    model, chosen, _ = fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast((model, chosen))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (m, known), memo = shared.value, {}
+        for batch in batches:
+            keep = []
+            for _, n, words, _, doc, h, _ in _terms(batch.column(at)):
+                first, terms, counts = _known(known, n, words, doc, h)
+                for a, b in zip(first.tolist(), first[1:].tolist()):
+                    key = tuple(terms[a:b].tolist()), tuple(counts[a:b].tolist())
+                    if key not in memo:
+                        if len(memo) > MEMO:
+                            memo.clear()
+                        memo[key] = m.score(*key)[0] < threshold
+                    keep.append(memo[key])
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
