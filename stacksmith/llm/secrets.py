@@ -100,7 +100,8 @@ def _tested(token: Column) -> Column:
                                     lambda a, c: a + F.pow(F.length(s["body"]) - F.length(F.replace(s["body"], c, F.lit(""))), F.lit(2.0))).alias("squares"))
 
     def sums(s: Column) -> Column:
-        mean = F.aggregate(s["x"], F.lit(0.0), lambda a, v: a + v) / s["n"]
+        mean = F.aggregate(s["x"], F.lit(0.0), lambda a, v: a + v)
+        mean = F.try_divide(mean, s["n"])
         high = F.size(F.filter(s["x"], lambda v: v > s["k"] / 2)).cast("double")
         pairs = F.zip_with(F.slice(s["x"], F.lit(1), F.size(s["x"]) - 1), F.slice(s["x"], F.lit(2), F.size(s["x"]) - 1),
                            lambda a, b: F.struct(((a - mean) * (b - mean)).alias("p"), ((a > s["k"] / 2) != (b > s["k"] / 2)).alias("turn")))
@@ -113,11 +114,12 @@ def _tested(token: Column) -> Column:
         n, k = s["n"], s["k"]
         free = k - 1
         shift = n * F.greatest(F.lit(0.0), k * COINCIDENCE - 1)
-        chi = s["squares"] * k / n - n
-        z = (chi - free - shift) / F.sqrt(2 * (free + 2 * shift))
-        mean = 2 * s["high"] * (n - s["high"]) / n + 1
-        z_runs = (s["runs"] - mean) / F.sqrt((mean - 1) * (mean - 2) / (n - 1))
-        z_serial = (s["serial"] / s["spread"] + 1 / n) * F.sqrt(n)
+        over = F.try_divide  # strings of one symbol or none have no statistic: null, not random
+        chi = over(s["squares"] * k, n) - n
+        z = over(chi - free - shift, F.sqrt(2 * (free + 2 * shift)))
+        mean = over(2 * s["high"] * (n - s["high"]), n) + 1
+        z_runs = over(s["runs"] - mean, F.sqrt(over((mean - 1) * (mean - 2), n - 1)))
+        z_serial = (over(s["serial"], s["spread"]) + over(F.lit(1.0), n)) * F.sqrt(n)
         fine = (F.abs(z_runs) < GATE) & (F.abs(z_serial) < GATE) & (z < 0) & (shift > 0) & s["name"].isNotNull() & (n >= CANDIDATE)
         length = F.lit(0)
         for i, edge in enumerate(LENGTHS, 1):
