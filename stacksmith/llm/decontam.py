@@ -151,3 +151,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return out.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                       F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("spans"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window."""
+    hit = written(decontaminate(docs, benchmark).filter("n_hit > 0").select("doc_id", F.col("text_key").alias("__text_key")).distinct(), "contaminated")
+    keyed = docs.withColumn("__text_key", F.xxhash64(text_col()))
+    return same(keyed, hit, ["doc_id", "__text_key"], "left_anti").drop("__text_key")

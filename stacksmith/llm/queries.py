@@ -65,7 +65,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "grp")
 
 
 @query("op3_embedding_near_dedup", oracle.EMBEDDING_NEAR_DEDUP)
