@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from stacksmith.llm import text as T
 from stacksmith.llm.components import components
-from stacksmith.llm.shared import text_col, written
+from stacksmith.llm.shared import same, text_col, written
 
 #: Slots of the shingle count table and rows it is sent in.
-SLOTS, SLOT_ROWS = 1 << 19, 32
+SLOTS, SLOT_ROWS = 1 << 20, 32
 #: Members of one tree at most.
 BLOCK = 1024
 CLUSTER_BLOCK = 256
@@ -83,22 +83,22 @@ def _signature(u: np.ndarray) -> bytes:
 
 
 def _measure(k: int):
-    """Rows (doc_id, n, cls, sig) of every document, then the task's shingle counts."""
+    """Rows (doc_id, text_key, n, cls, sig) of every document, then the task's shingle counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "cls", "sig", "slot", "counts"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["doc_id", "text_key", "n", "cls", "sig", "slot", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for lo, sets in _sets(batch.column(1), k):
+            for lo, sets in _sets(batch.column(2), k):
                 if sets:
                     counts += np.bincount((np.concatenate(sets) & _MASK).astype(np.int64), minlength=SLOTS)
                 m = len(sets)
-                yield pa.record_batch([batch.column(0).slice(lo, m), pa.array([len(u) for u in sets], pa.int32()),
+                yield pa.record_batch([batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), pa.array([len(u) for u in sets], pa.int32()),
                                        pa.array([_class_id(u) if len(u) else None for u in sets], pa.int64()),
                                        pa.array([_signature(u) if len(u) else None for u in sets], pa.binary()),
                                        pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         parts = [c.astype("<u4").tobytes() for c in np.split(counts, SLOT_ROWS)]
-        yield pa.record_batch([*(pa.nulls(SLOT_ROWS, t) for t in kinds[:4]), pa.array(range(SLOT_ROWS), pa.int32()), pa.array(parts)], names=names)
+        yield pa.record_batch([*(pa.nulls(SLOT_ROWS, t) for t in kinds[:5]), pa.array(range(SLOT_ROWS), pa.int32()), pa.array(parts)], names=names)
     return run
 
 
@@ -113,19 +113,20 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rarity(measured: DataFrame) -> np.ndarray:
-    """Level 0 (ordinary) to 7 of each slot, from the summed counts; SLOT_ROWS rows reach the driver."""
+    """How often each slot was hit, cut to 15 bits; SLOT_ROWS rows reach the driver."""
     rows = (measured.filter("slot is not null").select("slot", "counts")
             .repartition(SLOT_ROWS, "slot").mapInArrow(_add_counts, "slot int, counts binary").collect())
     counts = np.zeros(SLOTS, np.int64)
     for slot, part in rows:
         counts[slot * SLOTS // SLOT_ROWS:(slot + 1) * SLOTS // SLOT_ROWS] = np.frombuffer(part, "<i8")
-    return np.clip(np.floor(2 * np.log2(np.maximum(counts / max(counts.mean(), 4), 1))), 0, 7).astype(np.uint8)
+    # Above 2^15 hits a slot the scale gets coarser; the order stays one and the same for all documents.
+    return (counts >> max(0, int(counts.max()).bit_length() - 15)).astype(np.uint16)
 
 
 def _prefixes(k: int, percent: int, rarity):
-    """Rows (token, cls, n) of the rarest shingles of every class; the token's order is the rarity order."""
+    """Rows (token, n, cls, place) of the rarest shingles of every class; the token's order is the rarity order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = rarity.value.astype(np.uint64)
+        hits = rarity.value.astype(np.uint64)
         seen: set[int] = set()
         for batch in batches:
             for _, sets in _sets(batch.column(0), k):
@@ -134,17 +135,56 @@ def _prefixes(k: int, percent: int, rarity):
                     if not len(u) or (c := _class_id(u)) in seen:
                         continue
                     seen.add(c)
-                    keys = (level[(u & _MASK).astype(np.int64)] << np.uint64(60)) | (u >> np.uint64(4))
+                    keys = (hits[(u & _MASK).astype(np.int64)] << np.uint64(48)) | (u >> np.uint64(16))
                     p = len(u) - -(-percent * len(u) // 100) + 1
-                    tokens.append(np.partition(keys, p - 1)[:p] if p < len(u) else keys)
+                    tokens.append(np.sort(np.partition(keys, p - 1)[:p] if p < len(u) else keys))
                     classes.append((c, len(u)))
                 if len(seen) > SEEN:
                     seen.clear()
                 each = [len(t) for t in tokens]
                 yield pa.record_batch([
                     pa.array(np.concatenate(tokens).view(np.int64) if tokens else [], pa.int64()),
+                    pa.array(np.repeat(np.array([n for _, n in classes], np.int32), each)),
                     pa.array(np.repeat(np.array([c for c, _ in classes], np.int64), each)),
-                    pa.array(np.repeat(np.array([n for _, n in classes], np.int32), each))], names=["token", "cls", "n"])
+                    pa.array(np.concatenate([np.arange(e, dtype=np.int32) for e in each]) if each else [], pa.int32())],
+                    names=["token", "n", "cls", "place"])
+    return run
+
+
+def _shared(percent: int):
+    """Of rows sorted by token, n and cls, those whose token another class of fitting size has.
+
+    With ``place`` shingles before the token, at most n - place are common if
+    the token is the first common one, which bounds the partner's size.  A
+    row's neighbours in size are enough to see whether it may have a partner,
+    so two rows are carried from batch to batch.
+    """
+    def judged(r: np.ndarray) -> np.ndarray:
+        """Which of the rows, but the first and the last, stay."""
+        before, row, after = r[:-2], r[1:-1], r[2:]
+        most = np.minimum((row[:, 1] - row[:, 3]) * (100 + percent) // percent - row[:, 1], row[:, 1] * 100 // percent)
+        lower = (before[:, 0] == row[:, 0]) & (100 * before[:, 1] >= percent * row[:, 1])
+        return lower | ((after[:, 0] == row[:, 0]) & (after[:, 1] <= most))
+
+    def batch_of(r: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(r[:, 0]), pa.array(r[:, 1].astype(np.int32)), pa.array(r[:, 2]), pa.array(r[:, 3].astype(np.int32))],
+                               names=["token", "n", "cls", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.full((1, 4), -1, np.int64)  # tokens are not negative
+        held = none
+        for batch in batches:
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            rows = np.concatenate([held, rows])
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2])
+            rows = rows[new]
+            if len(rows) > 2:
+                yield batch_of(rows[1:-1][judged(rows)])
+            held = rows[-2:]
+        rows = np.concatenate([held, none])
+        if len(rows) > 2:
+            yield batch_of(rows[1:-1][judged(rows)])
     return run
 
 
@@ -173,19 +213,21 @@ def _whole_sets(k: int, screen):
 def bit_table(ids: DataFrame, column: str, bits: int) -> bytes:
     """Fixed-size table of the low bits of a long column; at most bits / 32 rows reach the driver."""
     words = ids.select(F.expr(f"({column} & {bits - 1}) >> 5").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 31 as int))").alias("b"))
+    found = words.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
     out = np.zeros(bits // 32, np.uint32)
-    for w, b in words.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toLocalIterator():
-        out[w] = b & 0xFFFFFFFF
+    out[found["w"].to_numpy()] = found["b"].to_numpy() & 0xFFFFFFFF
     return out.tobytes()
 
 
 # -------------------------------------------------------------- signature trees
 
 class Member:
-    __slots__ = ("id", "n", "bits", "width", "root", "shingles")
+    """A class: set size, the most shingles it can share here, bitmap, and its set where it is known."""
+
+    __slots__ = ("id", "n", "most", "bits", "width", "root", "shingles")
 
-    def __init__(self, id: int, n: int, signature: bytes, shingles: np.ndarray | None = None) -> None:
-        self.id, self.n, self.width, self.shingles = id, n, 8 * len(signature), shingles
+    def __init__(self, id: int, n: int, signature: bytes, shingles: np.ndarray | None = None, place: int = 0) -> None:
+        self.id, self.n, self.most, self.width, self.shingles = id, n, n - place, 8 * len(signature), shingles
         self.bits = int.from_bytes(signature, "little")
         self.root = self
 
@@ -244,6 +286,8 @@ class Join:
         if ra is rb:
             return
         need = self._need(a.n + b.n)
+        if a.most < need or b.most < need:
+            return
         width = min(a.width, b.width)
         x, y = _fold(a.bits, a.width, width), _fold(b.bits, b.width, width)
         both = (x & y).bit_count()
@@ -317,7 +361,7 @@ def _candidates(percent: int):
         out: set[tuple[int, int]] = set()
         for _, rows in _groups(batches, 3):
             join = Join(percent, lambda a, b, need: True)
-            join.within([Member(c, n, s) for c, n, s in rows])
+            join.within([Member(c, n, s, place=p) for c, n, p, s in rows])
             out.update((min(e), max(e)) for e in join.links)
             if len(out) > 50_000:
                 yield _edges(list(out))
@@ -375,9 +419,9 @@ def _across(percent: int):
 
 # --------------------------------------------------------------------- the join
 
-def _blocked(rows: DataFrame, key: str, size: int, salt: int, name: str = "block") -> DataFrame:
-    """Add the block of each row: hashed among as many blocks as ``key``'s rows need at ``size`` rows each."""
-    blocks = rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).filter("blocks > 1")
+def _blocked(rows: DataFrame, key: str, size: int, salt: int, name: str = "block", members: DataFrame | None = None) -> DataFrame:
+    """Add the block of each row: hashed among as many blocks as ``key`` needs for its ``members`` (else its rows)."""
+    blocks = (members or rows).groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).filter("blocks > 1")
     return (rows.join(blocks, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
             .withColumn(name, F.pmod(F.xxhash64("cls", F.lit(salt)), F.col("blocks")).cast("int")))
 
@@ -387,65 +431,78 @@ def _streamed(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
+    """One row per document: doc_id, text_key, n_shingles, component_id (smallest doc_id reachable by links, itself
+    included), grp (equal for the documents of a component; null for empty sets)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), text_col().alias("text"))
-    measured = written(texts.mapInArrow(_measure(k), "doc_id long, n int, cls long, sig binary, slot int, counts binary"), "sets")
-    documents = measured.filter("slot is null").select("doc_id", "n", "cls")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_col()).alias("text_key"), text_col().alias("text"))
+    measured = written(texts.mapInArrow(_measure(k), "doc_id long, text_key long, n int, cls long, sig binary, slot int, counts binary"), "sets")
+    documents = measured.filter("slot is null").select("doc_id", "text_key", "n", "cls")
     rarity = spark.sparkContext.broadcast(_rarity(measured))
 
-    # One exchange serves both the count and the join.
-    tokens = (texts.select("text").mapInArrow(_prefixes(k, percent, rarity), "token long, cls long, n int")
-              .repartition(spark_partitions(spark), "token"))
-    several = tokens.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("token")
-    shared = written(tokens.join(several.hint("shuffle_hash"), "token").distinct(), "shared")
+    tokens = texts.select("text").mapInArrow(_prefixes(k, percent, rarity), "token long, n int, cls long, place int")
+    shared = written(tokens.repartition("token").sortWithinPartitions("token", "n", "cls")
+                     .mapInArrow(_shared(percent), "token long, n int, cls long, place int"), "shared")
 
     signatures = measured.filter("cls is not null").groupBy("cls").agg(F.first("sig").alias("sig"))
     rows = _blocked(shared, "token", BLOCK, 1)
     # Block pairs (b, b) only where there is one block: each pair of two different blocks compares both whole.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or other <> block")
     rows = (rows.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
-            .join(signatures, "cls").select("token", "b1", "b2", "cls", "n", "sig"))
-    edges = _streamed(rows, ["token", "b1", "b2"]).mapInArrow(_candidates(percent), "a long, b long").distinct()
+            .join(signatures, "cls").select("token", "b1", "b2", "cls", "n", "place", "sig"))
+    edges = _streamed(rows, ["token", "b1", "b2"]).mapInArrow(_candidates(percent), "a long, b long")
     clusters = written(components(edges).select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "clusters")
 
     screen = spark.sparkContext.broadcast(bit_table(clusters, "cls", FILTER_BITS))
     sets = written(texts.select("text").mapInArrow(_whole_sets(k, screen), "cls long, n int, shingles binary")
                    .join(clusters, "cls").select("cluster", "cls", "n", "shingles"), "cluster-sets")
-    links = _cluster_links(sets, percent)
-    groups = components(links).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+    groups = _linked(sets, clusters, percent)
 
     # A component's id is its smallest doc_id; copies of one set are linked without an edge.
     ids = documents.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("m"))
     ids = ids.join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
     smallest = ids.groupBy("grp").agg(F.min("m").alias("component_id"))
-    of_class = ids.join(smallest, "grp").select("cls", "component_id")
+    of_class = ids.join(smallest, "grp").select("cls", "component_id", "grp")
     return (documents.join(of_class, "cls", "left")
-            .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"),
+                    F.coalesce("component_id", "doc_id").alias("component_id"), "grp"))
+
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; documents without words all stay."""
+    found = near_duplicates(docs, k, percent).filter("grp is not null")
+    first = written(found.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_key")).alias("f"))
+                    .select("f.doc_id", "f.text_key"), "first-of-group")
+    keyed = docs.withColumn("__text_key", F.xxhash64(text_col()))
+    some = text_col().rlike(r"[^\x20\x09-\x0D]")
+    first = first.withColumnRenamed("text_key", "__text_key")
+    kept = same(keyed.filter(some), first, ["doc_id", "__text_key"], "left_semi").dropDuplicates(["doc_id", "__text_key"])
+    return kept.unionByName(keyed.filter(~some)).drop("__text_key")
 
-def spark_partitions(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+def _groups_of(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
 
-def _cluster_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect exactly what the exact links of each cluster connect."""
+
+def _linked(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """(cls, grp) of the classes that the exact links of the clusters connect."""
     schema = "a long, b long, cluster long, cls long, n int, shingles binary"
-    found, level = None, sets
-    for salt in (2, 3):  # the second level joins the blocks' groups by one class each
-        blocked = _blocked(level, "cluster", CLUSTER_BLOCK, salt).select("cluster", "block", "cls", "n", "shingles")
-        done = written(_streamed(blocked, ["cluster", "block"]).mapInArrow(_verified(percent), schema), f"verified-{salt}")
-        edges = done.filter("a is not null").select("a", "b")
-        found = edges if found is None else found.union(edges)
-        sizes = _blocked(sets.select("cluster", "cls").distinct(), "cluster", CLUSTER_BLOCK, salt)
-        large = sizes.filter("blocks > 1").select("cluster").distinct()
-        level = done.filter("cls is not null").select("cluster", "cls", "n", "shingles").join(large, "cluster", "left_semi")
-
-    # Clusters of several blocks that still hold several groups: all classes outside the largest group meet every block.
-    many = _blocked(sets.select("cluster", "cls").distinct(), "cluster", CLUSTER_BLOCK, 4).filter("blocks > 1")
+
+    def verified(rows: DataFrame, members: DataFrame, salt: int) -> DataFrame:
+        blocked = _blocked(rows, "cluster", CLUSTER_BLOCK, salt, members=members).select("cluster", "block", "cls", "n", "shingles")
+        return written(_streamed(blocked, ["cluster", "block"]).mapInArrow(_verified(percent), schema), f"verified-{salt}")
+
+    many = _blocked(clusters, "cluster", CLUSTER_BLOCK, 4).filter("blocks > 1")
+    first = verified(sets, clusters, 2)
+    found = first.filter("a is not null").select("a", "b")
     if not many.limit(1).count():
-        return found
-    groups = components(found).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+        return _groups_of(found)
+    # Large clusters: one class of each group that a block has linked goes on, in new blocks.
+    level = (first.filter("cls is not null").select("cluster", "cls", "n", "shingles")
+             .join(many.select("cluster").distinct(), "cluster", "left_semi"))
+    found = found.union(verified(level, level, 3).filter("a is not null").select("a", "b"))
+
+    # Those that still hold several groups: all classes outside the largest group meet every block.
+    groups = written(_groups_of(found), "groups")
     many = written(many.join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")), "large-clusters")
     largest = (many.groupBy("cluster", "grp").agg(F.count("*").alias("c"))
                .groupBy("cluster").agg(F.max_by("grp", F.struct("c", "grp")).alias("top"), F.count("*").alias("groups")).filter("groups > 1"))
@@ -459,4 +516,5 @@ def _cluster_links(sets: DataFrame, percent: int) -> DataFrame:
     units = units.join(sets.select("cls", "n", "shingles").dropDuplicates(["cls"]), "cls")
     units = units.select("cluster", "block", "chunk", "side", "cls", "n", "shingles", "grp")
     more = _streamed(units, ["cluster", "block", "chunk"]).mapInArrow(_across(percent), "a long, b long")
-    return found.union(written(more, "across"))
+    more = written(more, "across")
+    return _groups_of(found.union(more)) if more.limit(1).count() else groups
