@@ -108,9 +108,9 @@ def _screen(windows: DataFrame) -> bytes:
     """Bit table of all benchmark shingles; at most FILTER_BITS / 32 rows reach the driver."""
     slot = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
     words = windows.select(F.shiftright(slot, 5).alias("w"), F.expr(f"shiftleft(1L, cast((h & {FILTER_BITS - 1}) & 31 as int))").alias("b"))
+    found = words.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    for w, b in words.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toLocalIterator():
-        bits[w] = b & 0xFFFFFFFF
+    bits[found["w"].to_numpy()] = found["b"].to_numpy() & 0xFFFFFFFF
     return bits.tobytes()
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stacksmith.llm.components import components
-from stacksmith.llm.shared import written
+from stacksmith.llm.shared import hashed_sample, written
 
 TREES = 3
 LEAF = 2048
@@ -199,7 +199,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
     classes = written(classes.select("cls", "label", "copies", "embedding")
                       .mapInArrow(packed, "cls long, label int, copies long, vector binary"), "vector-classes")
     total = classes.count()
-    picked = classes.orderBy(F.xxhash64("cls"), "cls").limit(sample).select("vector").collect()
+    picked = hashed_sample(classes, sample, "cls").select("vector").collect()
     rng, forests = np.random.default_rng(seed), {}
     if picked:
         for dim, (_, unit) in _unit(pa.array([bytes(r[0]) for r in picked], pa.binary()), kind).items():

@@ -48,3 +48,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def joined_sha256(items: Column) -> Column:
     """Lower-case hex SHA-256 of an array of strings joined by commas."""
     return F.sha2(F.concat_ws(",", items).cast("binary"), 256)
+
+
+def hashed_sample(df: DataFrame, n: int, *cols: str) -> DataFrame:
+    """At most ``n`` rows of ``df``, those with the smallest hashes of ``cols``; all rows if there are no more.
+
+    The cut comes from counts of hash ranges (4096 at a time reach the driver),
+    so no task or driver ever sorts or holds more than the sample.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(*cols), 1)
+    bound = 1 << 63
+    while True:
+        step = max(1, bound >> 12)
+        part = df if bound == 1 << 63 else df.filter(h < bound)
+        counts = dict(tuple(r) for r in part.groupBy(F.expr(f"shiftrightunsigned(xxhash64({', '.join(cols)}), 1) div {step}").alias("b")).count().collect())
+        if sum(counts.values()) <= n:
+            return part
+        kept, total = 0, 0
+        for b in range(4096):
+            total += counts.get(b, 0)
+            if total > n:
+                break
+            kept = b + 1
+        if any(counts.get(b) for b in range(kept)) or step == 1:
+            return df.filter(h < kept * step)
+        bound = (kept + 1) * step

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacksmith.llm import text as T
-from stacksmith.llm.shared import text_col, written
+from stacksmith.llm.shared import hashed_sample, text_col, written
 
 #: Labelled training rows of each class at most.
 EXAMPLES = 10_000
@@ -334,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     size = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
     picked = None
     for label in (0, 1):
-        part = train.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
+        part = hashed_sample(train.filter(F.col("toxic") == label), examples, "doc_id")
         picked = part if picked is None else picked.union(part)
     picked = F.broadcast(written(picked, "examples"))  # 2 * ``examples`` rows at most
     found = written(texts.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "toxic", "text")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacksmith.llm import text as T
-from stacksmith.llm.shared import LOWERED, UPPER, written
+from stacksmith.llm.shared import LOWERED, UPPER, hashed_sample
 
 # The rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -159,8 +159,8 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: int = LABELLED) -> Data
         counts[suffix] = n, b
     overall = counts[:, 1].sum() / max(1.0, counts[:, 0].sum())
     rates = (counts[:, 1] + 10 * overall) / (counts[:, 0] + 10)
-    sample = (known.groupBy("url").agg(*[F.first(c).alias(c) for c in ("host", "path", "label", "suffix")], F.count("*").alias("n"))
-              .orderBy(F.xxhash64("url"), "url").limit(labelled).collect())
+    distinct = known.groupBy("url").agg(*[F.first(c).alias(c) for c in ("host", "path", "label", "suffix")], F.count("*").alias("n"))
+    sample = sorted(hashed_sample(distinct, labelled, "url").collect())
     if sample:
         columns = [pa.array([r[c] for r in sample], pa.string()) for c in ("url", "host", "path")]
         x = features(*columns, rates[[r.suffix for r in sample]])
