@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from stacksmith.functions import scalars as S
 from stacksmith.operators.overlap import overlap_count
 from stacksmith.operators.profile import exact_quantiles, strictly_positive_columns
+from stacksmith.operators.rank import cut, rank_within
 
-MAX_CATEGORIES = 10_000
+#: Columns that the wide one-hot form may make; ``IndexedOneHot`` has no limit.
+WIDE_COLUMNS = 10_000
 
 
 def align_columns(df: DataFrame, columns: Sequence[str], fill=0) -> DataFrame:
@@ -30,7 +32,9 @@ def align_columns(df: DataFrame, columns: Sequence[str], fill=0) -> DataFrame:
 
 @dataclass
 class OneHot:
-    """fe01/fe02: one 0/1 column per training value; unseen/NULL -> all zeros."""
+    """fe01/fe02, wide form: one 0/1 column per training value; unseen/NULL ->
+    all zeros.  Its vocabulary becomes columns, so it is refused above
+    WIDE_COLUMNS; ``IndexedOneHot`` is the form for large vocabularies."""
     col: str
     prefix: str
     vocab: list[str] = field(default_factory=list)
@@ -38,9 +42,9 @@ class OneHot:
     @classmethod
     def fit(cls, train: DataFrame, col: str, prefix: str = "f03") -> "OneHot":
         vals = (train.select(F.col(col).cast("string").alias("v")).filter(F.col("v").isNotNull())
-                .distinct().limit(MAX_CATEGORIES + 1).collect())
-        if len(vals) > MAX_CATEGORIES:
-            raise ValueError(f"{col}: more than {MAX_CATEGORIES} categories; use a hashed/indexed encoding")
+                .distinct().limit(WIDE_COLUMNS + 1).collect())
+        if len(vals) > WIDE_COLUMNS:
+            raise ValueError(f"{col}: more than {WIDE_COLUMNS} categories; use IndexedOneHot")
         return cls(col, prefix, sorted(r["v"] for r in vals))
 
     @classmethod
@@ -51,12 +55,12 @@ class OneHot:
         for name, value, _ in specs:
             part = train.select(F.lit(name).alias("c"), value.cast("string").alias("v"))
             pairs = part if pairs is None else pairs.unionByName(part)
-        rows = pairs.filter(F.col("v").isNotNull()).distinct().limit(MAX_CATEGORIES * len(specs) + 1).collect()
+        rows = pairs.filter(F.col("v").isNotNull()).distinct().limit(WIDE_COLUMNS * len(specs) + 1).collect()
         out = []
         for name, _, prefix in specs:
             vocab = sorted(r["v"] for r in rows if r["c"] == name)
-            if len(vocab) > MAX_CATEGORIES:
-                raise ValueError(f"{name}: more than {MAX_CATEGORIES} categories")
+            if len(vocab) > WIDE_COLUMNS:
+                raise ValueError(f"{name}: more than {WIDE_COLUMNS} categories; use IndexedOneHot")
             out.append(cls(name, prefix, vocab))
         return out
 
@@ -68,6 +72,25 @@ class OneHot:
         return [F.when(x == F.lit(v), 1).otherwise(0).alias(n) for v, n in zip(self.vocab, self.names())]
 
 
+class IndexedOneHot:
+    """fe01/fe02 for any number of categories: the fitted vocabulary is a table
+    (value, idx), and a row's one-hot vector is its index (long form; no row for
+    unseen values or NULL).  Nothing reaches the driver."""
+
+    def __init__(self, col: str, index: DataFrame) -> None:
+        self.col, self.index = col, index
+
+    @classmethod
+    def fit(cls, train: DataFrame, col: str) -> "IndexedOneHot":
+        values = train.select(F.col(col).cast("string").alias("value")).filter("value is not null").distinct()
+        ranked = rank_within(values.withColumn("_md5", F.md5("value")), "_md5", "value", out="idx")
+        return cls(col, cut(ranked.select("value", (F.col("idx") - 1).alias("idx")), "one-hot-index"))
+
+    def transform(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, idx) of the rows whose value was seen."""
+        return (df.select(key, F.col(self.col).cast("string").alias("value")).join(self.index, "value").select(key, "idx"))
+
+
 def inverse_one_hot(dummy_cols: Sequence[str], values: Sequence[str]) -> Column:
     """fe03: the value of the first dummy equal to 1; NULL when none is."""
     arr = F.array(*[F.col(f"`{c}`").cast("int") for c in dummy_cols])

@@ -64,8 +64,7 @@ def histogram(df: DataFrame, x: str, n_bins: int, log1p: bool = False, digits: i
 
 
 def exact_quantiles(df: DataFrame, x: str, group_cols: Sequence[str] = (),
-                    probs: Sequence[float] | None = None, digits: int = 6,
-                    n_buckets: int = 4096) -> DataFrame:
+                    probs: Sequence[float] | None = None, digits: int = 6) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy 'linear' / SQL quantile_cont).
 
     Scales without gathering a group's values in one task: rows collapse to

@@ -104,12 +104,6 @@ def test_knn_exact_against_numpy(spark):
         assert [rid for _, rid in sorted(got[qi])] == exp
 
 
-def test_schema_equality_helper(spark):
-    a = spark.createDataFrame([(1, 2)], "x int, y int")
-    b = spark.createDataFrame([(1, 2)], "y int, x int")
-    assert sorted(a.columns) == sorted(b.columns)
-
-
 def test_rank_by_value_with_hot_ties(spark):
     from stacksmith.operators.rank import rank_by_value
     rows = [(i, 0.25) for i in range(500)] + [(1000 + i, round(0.001 * (i % 97), 3)) for i in range(300)]
@@ -157,3 +151,80 @@ def test_prefix_max_as_of(spark):
     got = {(x.g, x.r): x.m for x in prefix_max(df, ["r"], "v", fixed_bucket("r", 7), ["g"], out="m").collect()}
     for g, r, _ in rows:
         assert got[(g, r)] == float((r // 3) * 3 * 2)
+
+
+# ------------------------------------------------------- no caps, exact values
+
+def test_text_terms_keep_accents_and_single_letters(spark):
+    from stacksmith.operators.models import tfidf_terms
+    docs = spark.createDataFrame([(1, "Vièle à l'été a_b"), (2, "other"), (3, None)], "row_id long, text string")
+    got = {r.term for r in tfidf_terms(docs).filter("row_id = 1").collect()}
+    assert got == {"vièle", "à", "l", "été", "a_b"}
+
+
+def test_indexed_one_hot_has_no_category_limit(spark):
+    from stacksmith.operators.features import IndexedOneHot
+    n = 20_000
+    train = spark.range(n).selectExpr("id", "concat('v', id) as c").unionByName(spark.range(3).selectExpr("id", "cast(null as string) as c"))
+    enc = IndexedOneHot.fit(train, "c")
+    idx = [r.idx for r in enc.transform(train, "id").collect()]
+    assert sorted(idx) == list(range(n))
+    assert enc.transform(spark.createDataFrame([(1, "new")], "id long, c string"), "id").count() == 0
+
+
+def test_subset_search_over_seventeen_models(spark):
+    from stacksmith.operators.scores import subset_search
+    import random
+    rng = random.Random(3)
+    models = [f"m{i}" for i in range(17)]
+    rows = [(rng.randint(0, 1), *[rng.random() for _ in models]) for _ in range(40)]
+    out = subset_search(spark.createDataFrame(rows, "y int, " + ", ".join(f"{m} double" for m in models)), "y", models)
+    got = {r["mask"]: (r.tp, r.fp, r.fn) for r in out.filter("mask in (1, 5, 70001, 131071)").collect()}
+    assert out.count() == (1 << 17) - 1
+    for mask, counts in got.items():
+        own = [i for i in range(17) if mask >> i & 1]
+        hit = [sum(r[1 + i] for i in own) / len(own) > 0.5 for r in rows]
+        assert counts == (sum(h and r[0] == 1 for h, r in zip(hit, rows)), sum(h and r[0] == 0 for h, r in zip(hit, rows)),
+                          sum(not h and r[0] == 1 for h, r in zip(hit, rows)))
+
+
+def test_best_threshold_is_taken_on_exact_f1(spark):
+    from stacksmith.operators.scores import best_threshold
+    sweep = spark.createDataFrame([(0.1, 0.70000001), (0.2, 0.70000004)], "threshold double, f1 double")
+    assert best_threshold(sweep).first().best_threshold == 0.2
+
+
+def test_merges_refuse_unmatched_keys(spark):
+    from stacksmith.operators.joins import LengthMismatch, attach_ids, merge_on_key
+    ids = spark.createDataFrame([(1, 11), (2, 12), (3, 13)], "row_id long, id long")
+    pred = spark.createDataFrame([(1, 0), (2, 1), (9, 1)], "row_id long, state int")
+    for call in (lambda: attach_ids(pred, ids), lambda: merge_on_key(ids, pred)):
+        with pytest.raises(LengthMismatch):
+            call()
+    assert attach_ids(pred.replace(9, 3, "row_id"), ids).count() == 3
+
+
+def test_one_class_clusters_keep_their_rows(spark):
+    from pyspark.ml.linalg import Vectors
+    from stacksmith.operators.models import cluster_then_classify, clustered_cv_vote
+    rows = [(i, Vectors.dense([10.0 * (i % 2) + 0.01 * i, 1.0 * (i % 3)]), float(i % 4 == 0)) for i in range(80)]
+    df = spark.createDataFrame(rows, ["row_id", "features", "label"])
+    assert clustered_cv_vote(df, df, "features", 2, 3, "logistic").count() == 80
+    assert cluster_then_classify(df, df, "features", 2, "logistic").count() == 80
+
+
+def test_two_level_offsets_equal_a_plain_running_sum(spark):
+    from pyspark.sql import functions as F
+    from stacksmith.operators.rank import fixed_bucket, prefix_sum
+    df = spark.range(5000).selectExpr("cast(id as double) as v", "id % 7 as w")
+    got = {r.v: r.w_cum for r in prefix_sum(df, ["v"], ["w"], fixed_bucket("v", 1.0)).collect()}
+    total = 0
+    for i in range(5000):
+        total += i % 7
+        assert got[float(i)] == total
+
+
+def test_settings_leave_a_cluster_alone():
+    from stacksmith.session import default_conf
+    for key in ("spark.driver.host", "spark.driver.memory", "spark.sql.shuffle.partitions", "spark.driver.bindAddress"):
+        assert key not in default_conf("yarn") and key not in default_conf("local-cluster[2,1,1024]") and key in default_conf("local[4]")
