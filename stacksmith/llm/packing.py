@@ -31,7 +31,7 @@ from stacksmith.llm.shared import text_col, written
 CAPACITY = 2048
 END_ID = 0
 #: A worker's table of known parts, and the ids it has room for.
-SLOTS, POOL = 1 << 21, 16_000_000
+SLOTS, POOL = 1 << 20, 8_000_000
 RANK_BUCKETS = 1024
 
 _PART = ~np.isin(np.arange(256), (10, 32))
@@ -64,7 +64,7 @@ class WordIds:
         self._reset(POOL)
 
     def _reset(self, room: int) -> None:
-        self.keys, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.keys, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
         self.pool, self.used = np.empty(room, np.uint32), 0
 
     def _encode(self, parts: list[str]) -> list[np.ndarray]:
@@ -110,7 +110,7 @@ class WordIds:
         slot = (h >> np.uint64(8)) & np.uint64(SLOTS - 1)
         hit = self.keys[slot] == h
         for _ in range(2):
-            at, size = self.at[slot], self.size[slot]
+            at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
             miss = np.flatnonzero(~hit)
             if not len(miss):
                 break
