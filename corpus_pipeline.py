@@ -16,23 +16,35 @@ from stacksmith.llm import decontam, jaccard, packing, secrets, toxicity
 from stacksmith.llm.shared import table, written
 
 
+#: Rows that Spark hands to a Python worker at once; whole documents are long, so fewer than its default.
+ARROW_ROWS = "1024"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that score 0.5 or more go."""
+    _small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9 on five-word shingles at a similarity of 0.8: the smallest id of each group stays."""
+    _small_batches(spark)
     return jaccard.keep_one(docs, k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents with a benchmark window go."""
+    _small_batches(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: secrets are masked, no document goes; n_chars follows the masked text."""
+    _small_batches(spark)
     found = secrets.find_secrets(docs)
     if "n_chars" in docs.columns:
         found = found.withColumn("__masked", F.size("spans") > 0)
@@ -43,6 +55,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
+    _small_batches(spark)
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
