@@ -4,7 +4,10 @@ DataFrame functions only; no shuffle of texts, no Python on the executors.
 
 Candidates are runs of at least CANDIDATE characters of an encoding's alphabet.
 The encoding is inferred from the characters (digits, hex, base32, letters of
-one case, lower-case or mixed alphanumerics, base64, base64url).
+one case, lower-case or mixed alphanumerics, base64, base64url).  A '=' inside a
+run ends it (KEY=value).  The parts of a run between '/', '_' and '-' that are
+long enough are candidates too, each with its own encoding; they count where the
+whole run is no discovery.
 
 The null hypothesis is "ordinary string": a chain of symbols that follow one
 another as in the words of all documents (``ordinary``), kept to the encoding's
@@ -40,7 +43,9 @@ HEX = "[0-9a-f]{32,}"
 ASSIGN_VALUE = 8
 
 CANDIDATE = 20
-RANDOM = f"[A-Za-z0-9+/_=-]{{{CANDIDATE},}}"
+#: A run, with '=' as padding only where nothing follows it, and the parts of a run.
+RANDOM = f"[A-Za-z0-9+/_-]{{{CANDIDATE},}}(?:=+(?![A-Za-z0-9+/_=-]))?"
+PART = f"[A-Za-z0-9+]{{{CANDIDATE},}}=*"
 #: How many sightings after a symbol the shares without regard to it count for.
 SHRINK = 10.0
 GATE = 3.3
@@ -61,8 +66,9 @@ ENCODINGS = (
     ("lower36", "[a-z0-9]+", _DIGITS + _LOWER),
     ("upper36", "[A-Z0-9]+", _DIGITS + _UPPER),
     ("base62", "[A-Za-z0-9]+", _UPPER + _LOWER + _DIGITS),
-    ("base64", "[A-Za-z0-9+/]+", _UPPER + _LOWER + _DIGITS + "+/"),
-    ("base64url", "[A-Za-z0-9_-]+", _UPPER + _LOWER + _DIGITS + "-_"),
+    # Even random symbols of these have letters of both cases; one case is words joined by separators.
+    ("base64", "(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+", _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64url", "(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+", _UPPER + _LOWER + _DIGITS + "-_"),
 )
 
 _TEXT = "coalesce(text, '')"
@@ -189,9 +195,12 @@ def _tested(token: Column, table: Column) -> Column:
 
 
 def _candidates(text: str, table: list[int]) -> Column:
-    found = F.expr(_matches(text, RANDOM))
+    """Runs, each followed by its parts; ``run``: where the run of a part begins, -1 for a run."""
+    parts = f"filter({_matches('s.token', PART)}, p -> length(p.token) < length(s.token))"
+    found = F.expr(f"flatten(transform({_matches(text, RANDOM)}, s -> concat(array(named_struct('start', s.start, 'end', s.end, 'token', s.token, 'run', -1)), "
+                   f"transform({parts}, p -> named_struct('start', s.start + p.start, 'end', s.start + p.end, 'token', p.token, 'run', s.start)))))")
     known = F.expr(f"cast(split('{','.join(map(str, table))}', ',') as array<int>)")
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _tested(s["token"], known).alias("t")))
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["run"].alias("run"), _tested(s["token"], known).alias("t")))
 
 
 def thresholds(docs: DataFrame, rate: float = Q, table: list[int] | None = None) -> dict[str, int]:
@@ -225,9 +234,10 @@ def find_secrets(docs: DataFrame, rate: float = Q) -> DataFrame:
     if not cuts:
         return docs.withColumn("spans", F.array_sort("__base")).drop("__text", "__base")
     least = F.create_map(*[F.lit(x) for s, b in sorted(cuts.items()) for x in (s, b)])
-    random = F.filter(_candidates("__text", table), lambda c: (c["t"]["bin"] >= F.element_at(least, c["t"]["stratum"]))
-                      & ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return docs.withColumn("spans", F.array_sort(F.concat("__base", tag(random, 3)))).drop("__text", "__base")
+    docs = docs.withColumn("__random", F.filter(_candidates("__text", table), lambda c: c["t"]["bin"] >= F.element_at(least, c["t"]["stratum"])))
+    random = F.filter("__random", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+                      & ~F.exists("__random", lambda r: (c["run"] == r["start"]) & (r["run"] < 0)))
+    return docs.withColumn("spans", F.array_sort(F.concat("__base", tag(random, 3)))).drop("__text", "__base", "__random")
 
 
 def span_strings(spans: Column, kinds: int) -> Column:
