@@ -18,7 +18,7 @@ rate of the examples without one.
 
 Scores use the text alone.  Null text: empty.  Labels other than 0 and 1, null
 ids and labels of held-out ids are ignored; several labels of one id: the
-largest.  Equal rows get equal scores.  Without examples every score is 0.
+largest; several texts of one id: one of them is the example, once.  Equal rows get equal scores.  Without examples every score is 0.
 """
 
 from __future__ import annotations
@@ -337,8 +337,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         part = hashed_sample(train.filter(F.col("toxic") == label), examples, "doc_id")
         picked = part if picked is None else picked.union(part)
     picked = F.broadcast(written(picked, "examples"))  # 2 * ``examples`` rows at most
-    found = written(texts.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "toxic", "text")
-                    .mapInArrow(_example_words, "doc_id long, toxic int, terms array<long>, parents array<long>, sketch array<long>"), "example-words")
+    # A labelled id is one example, however often it is repeated: its text with the smallest hash.
+    texts_of = written(texts.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", "text_key").alias("text")), "examples-texts")
+    found = written(texts_of.select("doc_id", "toxic", "text").mapInArrow(
+        _example_words, "doc_id long, toxic int, terms array<long>, parents array<long>, sketch array<long>"), "example-words")
     single = _one_of_each([tuple(r) for r in found.select("doc_id", "toxic", "sketch").collect()])
     single = spark.createDataFrame([(i,) for i in single], "doc_id long")  # 2 * ``examples`` rows at most, as all of these
     found = found.join(F.broadcast(single.distinct()), "doc_id")
@@ -364,7 +366,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         df[t] = c
     idf = np.log((1 + total) / (1 + df)) + 1
     idf[-1] = 1.0  # every text has words
-    rows = [(r.doc_id, r.toxic, r.terms, r.counts) for r in table.join(picked, "doc_id").select("doc_id", "toxic", "terms", "counts").collect()]
+    vectors = texts_of.select("doc_id", F.col("toxic").cast("long").alias("text_key"), "text").mapInArrow(
+        _term_rows(spark.sparkContext.broadcast(chosen)), table.schema)
+    rows = [(r.doc_id, r.text_key, r.terms, r.counts) for r in vectors.collect()]  # the label in place of the key
     rows.sort()
     weight = tuple(size.get(c, 0) / max(1, sum(r[1] == c for r in rows)) for c in (0, 1))
     return Model(idf, rows, weight), chosen, table

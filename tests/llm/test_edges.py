@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -285,6 +286,17 @@ def test_toxicity_edges(make_docs, spark):
     assert toxicity.score_toxicity(make_docs(ODD).limit(0), labels).count() == 0
 
 
+def test_a_labelled_id_is_one_example(make_docs, spark):
+    # One clean id is repeated 60 times, and has another text besides.
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 0][:60]
+    once = [(i, f"{'slurword' if k < 20 else 'kindword'} alpha{i} beta{i} gamma{i} delta{i} eps{i}") for k, i in enumerate(ids)]
+    rows = once + [once[-1]] * 60 + [(ids[-1], "other text of this id")]
+    labels = spark.createDataFrame([(i, int(k < 20)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    (a, _, _), (b, _, _) = toxicity.fit(make_docs(once), labels), toxicity.fit(make_docs(rows), labels)
+    assert a.index.weights.sum(axis=0)[2] <= len(ids) and b.index.weights[:, 2].sum() + (b.empty > 0) <= len(ids) + 1
+    assert b.prior == pytest.approx(20 / 60) and a.prior == b.prior
+
+
 def test_index_finds_the_exact_neighbours():
     rng = np.random.default_rng(4)
     entries = {}
