@@ -6,7 +6,7 @@ rows.  Terms are the words, and the word beginnings of BEGINNINGS bytes (inflect
 share them), whose presence goes with the label beyond chance
 (chi-squared, corrected for the number of terms tested, and at least LIFT-fold
 odds; TERMS at most) among
-examples of which none is a near copy of another (least hashes of five-word runs);
+examples of which none is a near copy of another of its label (five-word runs, Jaccard similarity NEAR);
 document frequencies of those terms come from all documents.  Examples with
 equal vectors are one entry.  A block-max inverted index over the entries gives
 an upper bound for each block of BLOCK entries; blocks are scored exactly in the
@@ -41,8 +41,8 @@ BEGINNINGS = (4, 5, 6)
 TERMS, ALPHA, LIFT = 4096, 0.01, 4.0
 NEIGHBOURS = 25
 BLOCK = 128
-#: Least hashes of an example; near copies that share none are rare: (1 - similarity) ** SKETCH.
-SKETCH = 6
+#: Jaccard similarity of the five-word runs from which an example is a near copy.
+NEAR = 0.8
 SOFT = 0.05
 FOLDS, HELD = 5, 0
 MEMO = 100_000
@@ -81,34 +81,47 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toxic, terms, parents, sketch) of each example: its distinct terms, and least hashes of its five-word runs."""
+    """(doc_id, toxic, terms, parents, runs) of each example: its distinct terms, and the sorted hashes of its five-word runs."""
     for batch in batches:
         for lo, m, doc, h, term_doc, term, parent in _terms(batch.column(2)):
             runs, at = T.shingle_hashes(h, doc, 5)
-            first = np.searchsorted(doc[at], np.arange(m + 1))
-            some = np.flatnonzero(np.diff(first))
-            sketch = np.zeros((m, SKETCH), np.uint64)
-            for j in range(SKETCH):
-                if len(some):
-                    sketch[some, j] = np.minimum.reduceat(T.mix(runs + np.uint64(j)), first[some])
+            run_doc, runs, _ = _distinct(doc[at], runs)
+            first = np.searchsorted(run_doc, np.arange(m + 1)).tolist()
+            runs = pa.array([runs[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())
             row, word, _ = _distinct(term_doc, term)
             at = np.argsort(term, kind="stable")
             parent = parent[at[np.searchsorted(term[at], word)]] if len(word) else word
             words, above = (pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(m + 1)).astype(np.int32)), pa.array(x.view(np.int64)))
                             for x in (word, parent))
-            sketches = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * SKETCH), pa.array(sketch.ravel().view(np.int64)))
-            yield pa.record_batch([batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), words, above, sketches],
-                                  names=["doc_id", "toxic", "terms", "parents", "sketch"])
+            yield pa.record_batch([batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), words, above, runs],
+                                  names=["doc_id", "toxic", "terms", "parents", "runs"])
 
 
 def _one_of_each(rows: list) -> list[int]:
-    """Ids of the examples that share none of their sketch with an example of a smaller id: copies are no evidence."""
-    kept, seen = [], [set() for _ in range(SKETCH)]
-    for doc, _, sketch in sorted(rows):
-        if not any(v and v in s for v, s in zip(sketch, seen)):
+    """Ids of the examples (id, toxic, bytes of the sorted hashes of the five-word runs) that are no near copy of a kept
+    example of the same label and a smaller id: copies are no evidence.
+
+    Exact: two texts of similarity NEAR share one of the rarest 1 - NEAR of their runs.  Passages of many examples are not
+    among those, so they give no candidates.
+    """
+    mask, often = np.uint64((1 << 22) - 1), np.zeros(1 << 22, np.int32)
+    for *_, runs in rows:
+        often[np.unique(np.frombuffer(runs, np.uint64) & mask)] += 1
+    kept, sets, seen = [], [], {}
+    for doc, toxic, runs in sorted(rows, key=lambda r: r[0]):
+        own = np.frombuffer(runs, np.uint64)
+        count = often[own & mask]
+        rare = np.lexsort((own, count))[:len(own) - math.ceil(NEAR * len(own) - 1e-9) + 1]
+        rare = own[rare[count[rare] > 1]].tolist()  # a run of one example has no partner
+        for i in {i for h in rare for i in seen.get((toxic, h), ())}:
+            both = len(np.intersect1d(own, sets[i], assume_unique=True))
+            if both >= NEAR * (len(own) + len(sets[i]) - both) - 1e-9:
+                break
+        else:
             kept.append(doc)
-        for v, s in zip(sketch, seen):
-            s.add(v)
+            sets.append(own)
+            for h in rare:
+                seen.setdefault((toxic, h), []).append(len(sets) - 1)
     return kept
 
 
@@ -340,8 +353,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     # A labelled id is one example, however often it is repeated: its text with the smallest hash.
     texts_of = written(texts.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", "text_key").alias("text")), "examples-texts")
     found = written(texts_of.select("doc_id", "toxic", "text").mapInArrow(
-        _example_words, "doc_id long, toxic int, terms array<long>, parents array<long>, sketch array<long>"), "example-words")
-    single = _one_of_each([tuple(r) for r in found.select("doc_id", "toxic", "sketch").collect()])
+        _example_words, "doc_id long, toxic int, terms array<long>, parents array<long>, runs binary"), "example-words")
+    single = _one_of_each([tuple(r) for r in found.select("doc_id", "toxic", "runs").collect()])
     single = spark.createDataFrame([(i,) for i in single], "doc_id long")  # 2 * ``examples`` rows at most, as all of these
     found = found.join(F.broadcast(single.distinct()), "doc_id")
     words = written(found.select("toxic", F.explode(F.arrays_zip("terms", "parents")).alias("z")).groupBy(F.col("z.terms").alias("h"))
