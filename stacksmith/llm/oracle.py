@@ -47,3 +47,27 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
            + length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+PHRASES = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOW.format('text')}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*)::HUGEINT AS f
+      FROM (SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase
+            FROM w, (VALUES (1), (2), (3), (4)) AS sizes(m))
+      GROUP BY ALL HAVING count(*) >= 30),
+g AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+parts AS MATERIALIZED (SELECT lang, phrase, m, f AS a, k, array_to_string(ws[1:k], ' ') AS p1, array_to_string(ws[k + 1:], ' ') AS p2
+                       FROM g, (VALUES (1), (2), (3)) AS cuts(k) WHERE k < m),
+cut AS (SELECT parts.*, l.f AS l, r.f AS r, (2000000 * a) // (l.f + r.f) AS score
+        FROM parts JOIN f AS l ON l.lang = parts.lang AND l.phrase = p1 JOIN f AS r ON r.lang = parts.lang AND r.phrase = p2),
+weak AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+cover AS (SELECT lang, part, max(f) AS f FROM (
+            SELECT lang, f, array_to_string(ws[i:i + s - 1], ' ') AS part
+            FROM g, (VALUES (2), (3)) AS lengths(s), (VALUES (1), (2), (3)) AS places(i) WHERE s < m AND i + s - 1 <= m)
+          GROUP BY ALL),
+best AS (SELECT weak.* FROM weak LEFT JOIN cover ON cover.lang = weak.lang AND part = weak.phrase WHERE cover.f IS NULL OR 100 * cover.f < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""

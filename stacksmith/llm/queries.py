@@ -1,4 +1,4 @@
-"""The ten registered operator queries and the DuckDB SQL of those that SQL can express."""
+"""The registered operator queries and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacksmith.llm import chat, decontam, embeddings, jaccard, licenses, lm, oracle, packing, secrets, toxicity, urls
+from stacksmith.llm import chat, decontam, embeddings, jaccard, licenses, lm, oracle, packing, phrases, secrets, toxicity, urls
 from stacksmith.llm.shared import joined_sha256, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.expr("try_cast(tree as bigint)").alias("conv_id"), F.size(read).cast("long").alias("n_turns"),
                        F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length(lost).cast("long").alias("loss_chars"),
                        F.sha2(lost.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op13_phrase_mining", oracle.PHRASES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
