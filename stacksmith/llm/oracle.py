@@ -71,3 +71,40 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
 FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
+
+
+def _mixing_rounds(rounds: int) -> str:
+    """The queue's rounds: each serves what is left of the entries and of the targets."""
+    out = ["q1 AS (SELECT source_no, lap, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || size) AS key, doc_id, size, n "
+           "FROM g, (VALUES (1), (2)) AS laps(lap) WHERE size > 0)",
+           "w1 AS (SELECT source_no, target AS want FROM t)"]
+    for i in range(1, rounds + 1):
+        out += [f"""b{i} AS MATERIALIZED (SELECT q{i}.*, want, coalesce(sum(n * size) OVER (PARTITION BY source_no ORDER BY lap, key, doc_id NULLS FIRST, size
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM q{i} JOIN w{i} USING (source_no) WHERE size <= want)""",
+                f"s{i} AS MATERIALIZED (SELECT *, greatest(0, least(n, floor((want - before) / size)))::BIGINT AS copies FROM b{i})",
+                f"q{i + 1} AS (SELECT source_no, lap, key, doc_id, size, n - copies AS n FROM s{i} WHERE n > copies)",
+                f"""w{i + 1} AS MATERIALIZED (SELECT source_no, any_value(w{i}.want) - coalesce(sum(copies * size), 0)::BIGINT AS want
+                    FROM w{i} LEFT JOIN s{i} USING (source_no) GROUP BY 1)"""]
+    return ",\n".join(out)
+
+
+SOURCE_MIXING = rf"""
+WITH d AS (SELECT source, doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_no FROM d GROUP BY 1),
+wt AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(source_no - 1) % 3 + 1] AS weight, (2 * source_size)::DOUBLE AS cap FROM src),
+al AS (SELECT 1.5::DOUBLE * sum(source_size)::BIGINT AS budget, sum(weight) AS weights FROM wt),
+pre AS (SELECT cap / weight AS ratio, sum(cap) OVER o AS caps, sum(weight) OVER o AS used,
+               coalesce(lead(cap / weight) OVER (ORDER BY cap / weight, source_no), 'inf'::DOUBLE) AS next
+        FROM wt WINDOW o AS (ORDER BY cap / weight, source_no)
+        UNION ALL SELECT 0, 0, 0, min(cap / weight) FROM wt),
+lev AS (SELECT coalesce(arg_min((budget - caps) / (weights - used), used) FILTER (WHERE used < weights AND (budget - caps) / (weights - used) < next), 'inf'::DOUBLE) AS level
+        FROM pre, al),
+t AS MATERIALIZED (SELECT source, source_no, source_size, CASE WHEN cap <= level * weight THEN cap ELSE level * weight END AS target FROM wt, lev),
+g AS MATERIALIZED (SELECT source_no, doc_id, size, count(*) AS n FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
+{_mixing_rounds(3)},
+c AS (SELECT source_no, doc_id, size, sum(copies)::BIGINT AS copies
+      FROM ({' UNION ALL '.join(f'SELECT source_no, doc_id, size, copies FROM s{i}' for i in (1, 2, 3))}) GROUP BY ALL),
+r AS (SELECT g.*, unnest(range(1, n + 1)) AS i FROM g)
+SELECT r.doc_id, r.size, source_size, target, (r.size * (coalesce(copies, 0) // n + CASE WHEN i <= coalesce(copies, 0) % n THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r JOIN t USING (source_no) LEFT JOIN c ON c.source_no = r.source_no AND c.doc_id IS NOT DISTINCT FROM r.doc_id AND c.size = r.size
+"""

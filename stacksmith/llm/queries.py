@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacksmith.llm import chat, decontam, embeddings, jaccard, licenses, lm, oracle, packing, phrases, secrets, toxicity, urls
+from stacksmith.llm import chat, decontam, embeddings, jaccard, licenses, lm, mixing, oracle, packing, phrases, secrets, toxicity, urls
 from stacksmith.llm.shared import joined_sha256, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_phrase_mining", oracle.PHRASES)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+@query("op12_source_mixing", oracle.SOURCE_MIXING)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
