@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacksmith.llm import chat, decontam, embeddings, jaccard, licenses, lm, mixing, oracle, packing, phrases, secrets, toxicity, urls
+from stacksmith.llm import chat, decontam, embeddings, jaccard, licenses, lm, mixing, oracle, packing, phrases, secrets, toxicity, urls, whitening
 from stacksmith.llm.shared import joined_sha256, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_source_mixing", oracle.SOURCE_MIXING)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
