@@ -6,7 +6,7 @@ rows.  Terms are the words, and the word beginnings of BEGINNINGS bytes (inflect
 share them), whose presence goes with the label beyond chance
 (chi-squared, corrected for the number of terms tested, and at least LIFT-fold
 odds; TERMS at most) among
-examples of which none is a near copy of another of its label (five-word runs, Jaccard similarity NEAR);
+examples, of which one a label stays of each group of near copies (runs of RUN words, Jaccard similarity NEAR);
 document frequencies of those terms come from all documents.  Examples with
 equal vectors are one entry.  A block-max inverted index over the entries gives
 an upper bound for each block of BLOCK entries; blocks are scored exactly in the
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacksmith.llm import text as T
+from stacksmith.llm.jaccard import near_duplicates
 from stacksmith.llm.shared import hashed_sample, text_col, written
 
 #: Labelled training rows of each class at most.
@@ -41,8 +42,8 @@ BEGINNINGS = (4, 5, 6)
 TERMS, ALPHA, LIFT = 4096, 0.01, 4.0
 NEIGHBOURS = 25
 BLOCK = 128
-#: Jaccard similarity of the five-word runs from which an example is a near copy.
-NEAR = 0.8
+#: Jaccard similarity of the runs of RUN words from which examples are near copies.
+RUN, NEAR = 5, 0.8
 SOFT = 0.05
 FOLDS, HELD = 5, 0
 MEMO = 100_000
@@ -81,48 +82,28 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toxic, terms, parents, runs) of each example: its distinct terms, and the sorted hashes of its five-word runs."""
+    """(doc_id, toxic, terms, parents) of each example: its distinct terms."""
     for batch in batches:
-        for lo, m, doc, h, term_doc, term, parent in _terms(batch.column(2)):
-            runs, at = T.shingle_hashes(h, doc, 5)
-            run_doc, runs, _ = _distinct(doc[at], runs)
-            first = np.searchsorted(run_doc, np.arange(m + 1)).tolist()
-            runs = pa.array([runs[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())
+        for lo, m, _, _, term_doc, term, parent in _terms(batch.column(2)):
             row, word, _ = _distinct(term_doc, term)
             at = np.argsort(term, kind="stable")
             parent = parent[at[np.searchsorted(term[at], word)]] if len(word) else word
             words, above = (pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(m + 1)).astype(np.int32)), pa.array(x.view(np.int64)))
                             for x in (word, parent))
-            yield pa.record_batch([batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), words, above, runs],
-                                  names=["doc_id", "toxic", "terms", "parents", "runs"])
+            yield pa.record_batch([batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), words, above],
+                                  names=["doc_id", "toxic", "terms", "parents"])
 
 
-def _one_of_each(rows: list) -> list[int]:
-    """Ids of the examples (id, toxic, bytes of the sorted hashes of the five-word runs) that are no near copy of a kept
-    example of the same label and a smaller id: copies are no evidence.
+def _one_of_each(texts: DataFrame) -> DataFrame:
+    """(doc_id) of one example, the smallest id, of each label in each group of near copies; copies are no evidence.
 
-    Exact: two texts of similarity NEAR share one of the rarest 1 - NEAR of their runs.  Passages of many examples are not
-    among those, so they give no candidates.
+    ``texts`` has doc_id, toxic and text.  Groups come from the n-gram Jaccard join, so nothing that grows with the texts
+    reaches the driver; examples without words all stay.
     """
-    mask, often = np.uint64((1 << 22) - 1), np.zeros(1 << 22, np.int32)
-    for *_, runs in rows:
-        often[np.unique(np.frombuffer(runs, np.uint64) & mask)] += 1
-    kept, sets, seen = [], [], {}
-    for doc, toxic, runs in sorted(rows, key=lambda r: r[0]):
-        own = np.frombuffer(runs, np.uint64)
-        count = often[own & mask]
-        rare = np.lexsort((own, count))[:len(own) - math.ceil(NEAR * len(own) - 1e-9) + 1]
-        rare = own[rare[count[rare] > 1]].tolist()  # a run of one example has no partner
-        for i in {i for h in rare for i in seen.get((toxic, h), ())}:
-            both = len(np.intersect1d(own, sets[i], assume_unique=True))
-            if both >= NEAR * (len(own) + len(sets[i]) - both) - 1e-9:
-                break
-        else:
-            kept.append(doc)
-            sets.append(own)
-            for h in rare:
-                seen.setdefault((toxic, h), []).append(len(sets) - 1)
-    return kept
+    groups = near_duplicates(texts.select("doc_id", "text"), RUN, round(100 * NEAR)).select("doc_id", "grp")
+    of_label = texts.select("doc_id", "toxic").join(groups, "doc_id")
+    alone = F.when(F.col("grp").isNull(), F.col("doc_id"))
+    return written(of_label.groupBy("toxic", "grp", alone.alias("alone")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "kept-examples")
 
 
 def _outermost(terms: dict[int, tuple[int, float]]) -> list[int]:
@@ -179,16 +160,16 @@ def _term_rows(terms):
 class Index:
     """Block-max inverted index over weighted, unit-length example vectors."""
 
-    def __init__(self, entries: list[tuple[tuple, tuple]], weights: np.ndarray, ids: list[list[int]], n_terms: int) -> None:
+    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, ids: list[list[int]], n_terms: int) -> None:
         """entries: (term ids, values); weights: rows (toxic weight, other weight, examples)."""
         self.weights, self.ids = weights, ids
         # Entries that share terms lie together, so that few blocks have high bounds.
-        order = sorted(range(len(entries)), key=lambda i: entries[i])
+        order = sorted(range(len(entries)), key=lambda i: (entries[i][0].astype(">i4").tobytes(), entries[i][1].tobytes()))
         self.order = np.array(order, np.int64)
         rank = np.empty(len(order), np.int64)
         rank[self.order] = np.arange(len(order))
-        term = np.array([t for ts, _ in entries for t in ts], np.int64)
-        value = np.array([v for _, vs in entries for v in vs])
+        term = np.concatenate([t for t, _ in entries]).astype(np.int64)
+        value = np.concatenate([v for _, v in entries])
         row = np.repeat(rank, [len(ts) for ts, _ in entries])
         by = np.lexsort((row, term))
         self.rows, self.values = row[by], value[by]
@@ -255,26 +236,42 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([v for b in blocks for v in b[2:]]), np.repeat([b[0] / b[1] for b in blocks], 2)
 
 
+class Rows:
+    """Examples as flat arrays; iterates (id, toxic, terms, counts)."""
+
+    def __init__(self, ids: pa.Array, labels: pa.Array, terms: pa.Array, counts: pa.Array) -> None:
+        self.ids, self.labels = ids.to_numpy(), labels.to_numpy()
+        self.first = np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.terms, self.counts = (x.flatten().to_numpy() for x in (terms, counts))
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def __iter__(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for i, (doc, toxic) in enumerate(zip(self.ids.tolist(), self.labels.tolist())):
+            part = slice(self.first[i], self.first[i + 1])
+            yield doc, toxic, self.terms[part], self.counts[part]
+
+
 class Model:
-    def __init__(self, idf: np.ndarray, rows: list[tuple[int, int, list[int], list[int]]], class_weight: tuple[float, float]) -> None:
-        """rows: (id, toxic, terms, counts) of the examples; class_weight: training rows behind one example, by class."""
+    def __init__(self, idf: np.ndarray, rows: Rows, class_weight: tuple[float, float]) -> None:
+        """class_weight: training rows behind one example, by class."""
         self.idf = idf
         self.empty = self.prior = 0.0
         self.index, self.knots = None, (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        if not rows:
+        if not len(rows):
             return
         at: dict[tuple, int] = {}
         entries, weights, ids, bare = [], [], [], [0.0, 0.0]
         own: list[tuple[int, int]] = []
         for doc, toxic, terms, counts in rows:
-            if not terms:
+            if not len(terms):
                 bare[toxic] += class_weight[toxic]
                 continue
-            values = self.vector(np.array(terms), np.array(counts))
-            key = (tuple(terms), tuple(np.round(values, 12).tolist()))
-            e = at.setdefault(key, len(at))
+            values = np.round(self.vector(terms, counts), 12)
+            e = at.setdefault(terms.tobytes() + values.tobytes(), len(at))
             if e == len(entries):
-                entries.append(key)
+                entries.append((terms, values))
                 weights.append([0.0, 0.0, 0.0])
                 ids.append([])
             weights[e][1 - toxic] += class_weight[toxic]
@@ -290,8 +287,7 @@ class Model:
         self.index = Index(entries, np.array(weights), ids, len(self.idf))
         votes: dict[tuple[int, int], float] = {}
         for e, toxic in set(own):
-            terms, values = np.array(entries[e][0]), np.array(entries[e][1])
-            near, sims = self.index.nearest(terms, values, without=e)
+            near, sims = self.index.nearest(*entries[e], without=e)
             votes[e, toxic] = self.index.vote(near, sims, (e, 1 - toxic, class_weight[toxic]))
         x = np.array([votes[o] for o in own])
         y = np.array([t for _, t in own], float)
@@ -353,10 +349,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     # A labelled id is one example, however often it is repeated: its text with the smallest hash.
     texts_of = written(texts.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", "text_key").alias("text")), "examples-texts")
     found = written(texts_of.select("doc_id", "toxic", "text").mapInArrow(
-        _example_words, "doc_id long, toxic int, terms array<long>, parents array<long>, runs binary"), "example-words")
-    single = _one_of_each([tuple(r) for r in found.select("doc_id", "toxic", "runs").collect()])
-    single = spark.createDataFrame([(i,) for i in single], "doc_id long")  # 2 * ``examples`` rows at most, as all of these
-    found = found.join(F.broadcast(single.distinct()), "doc_id")
+        _example_words, "doc_id long, toxic int, terms array<long>, parents array<long>"), "example-words")
+    found = found.join(F.broadcast(_one_of_each(texts_of)), "doc_id")  # 2 * ``examples`` rows at most, as all of these
     words = written(found.select("toxic", F.explode(F.arrays_zip("terms", "parents")).alias("z")).groupBy(F.col("z.terms").alias("h"))
                     .agg(F.first("z.parents").alias("parent"), F.sum("toxic").cast("double").alias("t"), F.count("*").cast("double").alias("n")).filter("n >= 3"), "words")
     used = {r[0]: r[1] for r in found.groupBy("toxic").count().collect()}
@@ -381,9 +375,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     idf[-1] = 1.0  # every text has words
     vectors = texts_of.select("doc_id", F.col("toxic").cast("long").alias("text_key"), "text").mapInArrow(
         _term_rows(spark.sparkContext.broadcast(chosen)), table.schema)
-    rows = [(r.doc_id, r.text_key, r.terms, r.counts) for r in vectors.collect()]  # the label in place of the key
-    rows.sort()
-    weight = tuple(size.get(c, 0) / max(1, sum(r[1] == c for r in rows)) for c in (0, 1))
+    vectors = vectors.toArrow().sort_by("doc_id")  # the label in place of the key
+    rows = Rows(*(vectors[c].combine_chunks() for c in vectors.column_names))
+    weight = tuple(size.get(c, 0) / max(1, int((rows.labels == c).sum())) for c in (0, 1))
     return Model(idf, rows, weight), chosen, table
 
 

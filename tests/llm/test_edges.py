@@ -297,28 +297,22 @@ def test_a_labelled_id_is_one_example(make_docs, spark):
     assert b.prior == pytest.approx(20 / 60) and a.prior == b.prior
 
 
-def test_only_near_copies_of_one_label_are_left_out():
-    import pyarrow as pa
+def test_only_near_copies_of_one_label_are_left_out(spark):
+    def kept(rows):
+        df = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
+        return sorted(r.doc_id for r in toxicity._one_of_each(df).collect())
 
     header = " ".join(f"h{i}" for i in range(40))
     long = [" ".join(f"u{d}x{i}" for i in range(60)) for d in range(30)]
-    texts = [f"{header} {t}" for t in long] + [f"{header} {long[0]} more words"] * 2 + ["a b", "a b"]
-    toxic = [i % 2 for i in range(30)] + [0, 1, 0, 0]
-    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(toxic, pa.int32()), pa.array(texts)], names=["doc_id", "toxic", "text"])
-    rows = [(r["doc_id"], r["toxic"], r[out.schema.names[-1]]) for out in toxicity._example_words(iter([batch])) for r in out.to_pylist()]
-    # A shared header is no copy, nor is the same text under the other label.
-    assert toxicity._one_of_each(rows) == [i for i in range(len(texts)) if i != 30]
-    # Against brute force.
+    texts = [f"{header} {t}" for t in long] + [f"{header} {long[0]} more words"] * 2 + ["a b", "a b", "", ""]
+    toxic = [i % 2 for i in range(30)] + [0, 1, 0, 0, 1, 1]
+    # A shared header is no copy, nor is the same text under the other label; texts without words all stay.
+    assert kept(list(zip(range(len(texts)), toxic, texts))) == [i for i in range(len(texts)) if i not in (30, 33)]
+    # Against brute force: the smallest id of each group stays.
     docs = [(i, t) for s in range(4) for i, t in enumerate(variants(40, s, edits=10), 40 * s)]
-    batch = pa.record_batch([pa.array([i for i, _ in docs]), pa.array([0] * len(docs), pa.int32()), pa.array([t for _, t in docs])], names=["doc_id", "toxic", "text"])
-    rows = [(r["doc_id"], 0, r["runs"]) for out in toxicity._example_words(iter([batch])) for r in out.to_pylist()]
-    kept = []
-    for i, t in docs:
-        w = t.split()
-        own = {tuple(w[j:j + 5]) for j in range(len(w) - 4)}
-        if all(len(own & k) < 0.8 * len(own | k) for _, k in kept):
-            kept.append((i, own))
-    assert 4 < len(kept) < len(docs) and toxicity._one_of_each(rows) == [i for i, _ in kept]
+    groups = brute.near_duplicates(docs, 5, 80)
+    want = sorted({component for _, component in groups.values()})
+    assert 4 <= len(want) < len(docs) and kept([(i, 0, t) for i, t in docs]) == want
 
 
 def test_index_finds_the_exact_neighbours():
@@ -328,7 +322,7 @@ def test_index_finds_the_exact_neighbours():
         terms = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         v = rng.random(len(terms)) + 0.1
         entries[tuple(terms.tolist()), tuple((v / np.linalg.norm(v)).tolist())] = None
-    entries = list(entries)
+    entries = [(np.array(t), np.array(v)) for t, v in entries]
     index = toxicity.Index(entries, np.column_stack([np.ones((len(entries), 2)), rng.integers(1, 4, len(entries))]), [[i] for i in range(len(entries))], 40)
     dense = np.zeros((len(entries), 40))
     for i, (t, v) in enumerate(entries):
