@@ -1,5 +1,5 @@
 """Pseudo-label selection (pl01, pl03, pl04, pl06): pure DataFrame steps.
-The iterative loops (pl02, pl05) live in ``stacksmith.operators.loops``."""
+The iterative loops (pl02, pl05) live in ``stacksmith.operators.stacking``."""
 
 from __future__ import annotations
 

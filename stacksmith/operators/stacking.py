@@ -1,5 +1,6 @@
-"""Out-of-fold scoring, stacking, blending, searches and self-training loops
-(ev01, ev04-ev06, ev08, ev09, ev15-ev18, ev20, pl02, pl05, pl08).
+"""Out-of-fold scoring, stacking, searches and self-training loops
+(ev01, ev04, ev05, ev08, ev15-ev18, ev20, pl02, pl05, pl08); the three-layer
+stack (ev06, ev09) is in ``stacksmith.operators.layered``.
 
 The driver only loops over folds, models, settings or steps (short lists);
 each fit/transform is a set of Spark jobs.  The hand-over between layers is
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from stacksmith.operators import models as M
 from stacksmith.operators import scores as SC
+from stacksmith.operators.parallel import SLOTS, in_parallel
 from stacksmith.operators.sampling import stratified_kfold
 from stacksmith.operators.selftrain import StopState, select_step, should_stop
 from stacksmith.session import scratch_dir
@@ -115,19 +117,6 @@ def stack_v2(train: DataFrame, holdout: DataFrame, feature_cols: Sequence[str],
     return M.score(meta, ho, ["row_id", "label"])
 
 
-def multi_meta_blend(train: DataFrame, holdout: DataFrame, cols: Sequence[str], metas: dict[str, ModelFactory],
-                     k: int = 5, threshold: float = 0.5, weight_method: str = "naive") -> DataFrame:
-    """ev06: per meta model, hold-out score = fold-F1-weighted mean (F1
-    floored at 1e-6); model weight from the mean raw fold F1 (ev07 method);
-    blended probability and label."""
-    long = union_all([oof_scores(train, holdout, mid, f, k) for mid, f in metas.items()])
-    per_model = test_scores(long, "weighted")
-    f1 = fold_f1(long).groupBy("model_id").agg(F.avg("f1").alias("f1"))
-    w = SC.model_weights(f1, weight_method)
-    blend = SC.weighted_mean(per_model, w, ["row_id", "label"], ["model_id"], out="proba")
-    return blend.withColumn("pred", (F.col("proba") > threshold).cast("int"))
-
-
 def top_k_feature_member(data: DataFrame, test: DataFrame, feature_cols: Sequence[str], k_feats: int,
                          folds: int = 5) -> tuple[DataFrame, dict[int, list[str]]]:
     """ev08: an extra OOF member on the top-k features by tree importance (wn08).
@@ -146,28 +135,6 @@ def top_k_feature_member(data: DataFrame, test: DataFrame, feature_cols: Sequenc
     return materialize(union_all(parts).withColumn("model_id", F.lit(f"top{k_feats}")), f"oof-top{k_feats}"), chosen
 
 
-def stack_with_pseudo(train: DataFrame, added: DataFrame, test: DataFrame, base: dict[str, ModelFactory],
-                      k: int = 5, seed: int = 42) -> DataFrame:
-    """ev09: paired folds over train and pseudo rows: folds assigned within
-    each origin; fold i's model is fitted on fold != i of both (positives
-    weighted by neg/pos of the union); OOF scores for both; F1 is computed
-    on origin = train only by the caller."""
-    both = (stratified_kfold(train.withColumn("origin", F.lit("train")), k, seed, "label")
-            .unionByName(stratified_kfold(added.withColumn("origin", F.lit("pseudo")), k, seed, "label")))
-    both = M.class_weights(both, "label", "neg_pos", "weight")
-    both = materialize(both, "pseudo-folds")
-    parts = []
-    for mid, make in base.items():
-        for i in range(k):
-            m = make().fit(both.filter(F.col("fold") != i))
-            parts.append(M.score(m, both.filter(F.col("fold") == i), ["row_id", "label", "origin"])
-                         .withColumn("fold", F.lit(i)).withColumn("model_id", F.lit(mid)))
-            parts.append(M.score(m, test, ["row_id", "label"]).withColumn("origin", F.lit("test"))
-                         .withColumn("fold", F.lit(i)).withColumn("model_id", F.lit(mid)))
-    out = materialize(union_all(parts), "oof-pseudo")
-    return out
-
-
 # ---------------------------------------------------------------- ev15-ev18, ev20
 
 def _counts(y, p, threshold):
@@ -223,19 +190,21 @@ def before_after(fits: dict[str, DataFrame], test: DataFrame, make_model: ModelF
 
 
 def validation_curve(data: DataFrame, model_name: str, param: str, values: Sequence, feature_cols: Sequence[str],
-                     k: int = 3, fold_col: str = "fold3") -> DataFrame:
+                     k: int = 3, fold_col: str = "fold3", slots: int = SLOTS) -> DataFrame:
     """ev15: train and validation F1 per parameter value over k folds (the
-    fold frame is persisted once), summarised as mean and population std."""
+    fold frame is written once), summarised as mean and population std;
+    ``slots`` fits at a time."""
     spark = data.sparkSession
-    rows = []
-    for v in values:
-        for i in range(k):
-            est = M.scaled_pipeline(feature_cols, M.make_estimator(model_name, {param: v}, weight="weight"))
-            m = est.fit(data.filter(F.col(fold_col) != i))
-            tr = M.score(m, data.filter(F.col(fold_col) != i), ["label"])
-            va = M.score(m, data.filter(F.col(fold_col) == i), ["label"])
-            rows.append((str(v), i, "train", evaluate(tr)))
-            rows.append((str(v), i, "valid", evaluate(va)))
+    data = materialize(data, "curve")
+
+    def point(v, i: int) -> list[tuple]:
+        est = M.scaled_pipeline(feature_cols, M.make_estimator(model_name, {param: v}, weight="weight"))
+        m = est.fit(data.filter(F.col(fold_col) != i))
+        parts = (("train", F.col(fold_col) != i), ("valid", F.col(fold_col) == i))
+        return [(str(v), i, name, evaluate(M.score(m, data.filter(part), ["label"]))) for name, part in parts]
+
+    tasks = [lambda v=v, i=i: point(v, i) for v in values for i in range(k)]
+    rows = [r for found in in_parallel(spark, tasks, slots) for r in found]
     res = spark.createDataFrame(rows, "param_value string, fold int, part string, f1 double")
     return res.groupBy("param_value", "part").agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"))
 
@@ -271,17 +240,19 @@ def draw_discrete(choices: dict[str, dict[str, Sequence]], n: int, seed: int = 4
 
 
 def run_experiments(data: DataFrame, feature_cols: Sequence[str], experiments: Sequence[tuple[str, dict]],
-                    k: int = 5, metric: str = "f1") -> DataFrame:
+                    k: int = 5, metric: str = "f1", slots: int = SLOTS) -> DataFrame:
     """ev16-ev18: cross-validated score per (model, setting); one row each,
-    ranked.  Each run is a set of Spark jobs; results form the run table."""
+    ranked.  Each run is a set of Spark jobs, ``slots`` runs at a time."""
     spark = data.sparkSession
-    rows = []
-    for run, (name, params) in enumerate(experiments):
-        factory = lambda name=name, params=params: M.scaled_pipeline(
+
+    def one(run: int, name: str, params: dict) -> tuple:
+        factory = lambda: M.scaled_pipeline(
             feature_cols, M.make_estimator(name, params, weight="weight", n_features=len(feature_cols)))
         oof = oof_scores(data, None, f"run{run}", factory, k)
         score = evaluate(oof.filter(F.col("split") == "train"), metric)
-        rows.append((f"run{run}", name, {kk: str(v) for kk, v in params.items()}, float(score)))
+        return f"run{run}", name, {kk: str(v) for kk, v in params.items()}, float(score)
+
+    rows = in_parallel(spark, [lambda r=r, e=e: one(r, *e) for r, e in enumerate(experiments)], slots)
     res = spark.createDataFrame(rows, "run_id string, model string, params map<string,string>, cv_score double")
     from pyspark.sql import Window
     return res.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cv_score"), "run_id")))
@@ -289,45 +260,80 @@ def run_experiments(data: DataFrame, feature_cols: Sequence[str], experiments: S
 
 # ---------------------------------------------------------------- pl02 / pl05 / pl08
 
+STEP_LOG = ("step int, cv_f1 double, added_pos long, added_neg long, added_cumulative long, threshold_pos_used double, "
+            "threshold_neg_used double, stopped boolean")
+_ADDED = "row_id long, label double, step int"
+
+
+def _stored(spark, path: str, schema: str) -> DataFrame | None:
+    """The table at ``path`` if a finished write left one."""
+    from pyspark.errors import AnalysisException
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return None
+
+
 def self_training(train: DataFrame, test: DataFrame, members: dict[str, ModelFactory], k: int = 5,
                   max_steps: int = 10, pos_base: float = 0.8, growth: float = 1.1,
                   pos_schedule: Sequence[float] | None = None, neg_threshold: float = 0.1, ratio: float = 4,
-                  patience: int = 1, negatives_without_positives: str = "none", seed: int = 42):
+                  patience: int = 1, negatives_without_positives: str = "none", seed: int = 42, store: str | None = None,
+                  slots: int = SLOTS):
     """pl02 (iterative) and pl05 (pool: ``pos_schedule`` per step, the last
     value repeating).  Each step: soft-voting OOF on train + added rows, F1 on
     the original training rows, test score = mean over folds and members,
-    select (pl03), stop test first (pl04), then add.  Added rows are written
-    to the shared folder every step (lineage cut).  Returns (added, steps)."""
+    select (pl03), stop test first (pl04), then add.  Returns (added, steps).
+
+    Every step leaves two tables under ``store``: the rows it picked and, last,
+    its log row.  A rerun with the same ``store`` takes finished steps from there
+    and goes on with the first one that has no log row; its arguments must be
+    those of the first run."""
     spark = train.sparkSession
-    added = spark.createDataFrame([], "row_id long, label double")
-    state, log = StopState(), []
-    cum = 0
+    store = store or scratch_dir(spark, "self-training")
+    state, picks, log = StopState(), [], []
+    # Only the original rows have folds and are held out; pseudo rows (fold -1) join every fit.
+    own = materialize(stratified_kfold(train.drop("fold", "weight"), k, seed, "label").withColumn("origin", F.lit("train")), "own-folds")
     for step in range(max_steps):
-        pool = test.join(added.select("row_id"), "row_id", "left_anti")
-        feats = pool.drop("label")
-        # Only the original rows have folds and are held out; pseudo rows (fold -1) join every fit.
-        own = stratified_kfold(train.drop("fold", "weight"), k, seed, "label").withColumn("origin", F.lit("train"))
-        more = added.join(test.drop("label"), "row_id").withColumn("fold", F.lit(-1)).withColumn("origin", F.lit("pseudo"))
-        cur = M.class_weights(own.unionByName(more.select(*own.columns)), "label", "balanced", "weight")
-        longs = [oof_scores(cur, feats.withColumn("label", F.lit(0.0)), mid, f, k) for mid, f in members.items()]
-        long = union_all(longs)
-        oof_train = long.filter(F.col("split") == "train").join(cur.filter(F.col("origin") == "train").select("row_id"), "row_id")
-        f1 = evaluate(SC.mean_score(oof_train, ["row_id", "label"], out="proba"))
-        test_p = SC.mean_score(long.filter(F.col("split") == "test"), ["row_id"], out="p")
-        pos_t = (pos_schedule[min(step, len(pos_schedule) - 1)] if pos_schedule else pos_base * growth ** step)
-        picked = select_step(test_p, None, pos_t, neg_threshold, ratio,
-                             negatives_without_positives=negatives_without_positives)
-        picked = materialize(picked, f"picked-{step}")
-        n_pos = picked.filter(F.col("pseudo_label") == 1).count()
-        n_neg = picked.filter(F.col("pseudo_label") == 0).count()
-        stop = should_stop(state, f1, n_pos + n_neg, patience)
-        log.append((step, float(f1), int(n_pos), int(n_neg), int(cum), float(pos_t), float(neg_threshold)))
-        if stop:
+        at = f"{store}/step-{step:03d}"
+        done = _stored(spark, f"{at}/log", STEP_LOG)
+        if done is None:
+            added = union_all(picks) if picks else spark.createDataFrame([], _ADDED)
+            row = _self_training_step(own, test, added, members, k, step, state, log, at, slots, seed,
+                                      pos_schedule[min(step, len(pos_schedule) - 1)] if pos_schedule else pos_base * growth ** step,
+                                      neg_threshold, ratio, patience, negatives_without_positives)
+            spark.createDataFrame([row], STEP_LOG).coalesce(1).write.mode("overwrite").parquet(f"{at}/log")
+        else:
+            row = tuple(done.first())
+            should_stop(state, row[1], row[2] + row[3], patience)
+        log.append(row)
+        if row[-1]:
             break
-        cum += n_pos + n_neg
-        log[-1] = log[-1][:4] + (int(cum),) + log[-1][5:]
-        added = materialize(added.unionByName(picked.select("row_id", F.col("pseudo_label").cast("double").alias("label"))),
-                            f"added-{step}")
-    steps = spark.createDataFrame(log, "step int, cv_f1 double, added_pos int, added_neg int, "
-                                       "added_cumulative int, threshold_pos_used double, threshold_neg_used double")
-    return added, steps
+        picks.append(spark.read.schema(_ADDED).parquet(f"{at}/picked"))
+    added = union_all(picks) if picks else spark.createDataFrame([], _ADDED)
+    return added, spark.createDataFrame(log, STEP_LOG)
+
+
+def _self_training_step(own: DataFrame, test: DataFrame, added: DataFrame, members: dict[str, ModelFactory], k: int, step: int, state: StopState,
+                        log: list[tuple], at: str, slots: int, seed: int, pos_threshold: float, neg_threshold: float, ratio: float, patience: int,
+                        without_positives: str) -> tuple:
+    """One step: fits, scores, selection; writes the picked rows under ``at`` and returns the log row."""
+    spark = own.sparkSession
+    more = added.drop("step").join(test.drop("label"), "row_id").withColumn("fold", F.lit(-1)).withColumn("origin", F.lit("pseudo"))
+    cur = materialize(M.class_weights(own.unionByName(more.select(*own.columns)), "label", "balanced", "weight"), "step-rows")
+    pool = materialize(test.join(added.select("row_id"), "row_id", "left_anti").withColumn("label", F.lit(0.0)), "step-pool")
+    longs = in_parallel(spark, [lambda m=m, f=f: oof_scores(cur, pool, m, f, k) for m, f in members.items()], slots)
+    long = union_all(longs)
+    # Pseudo rows are in no fold, so the scored training rows are the original ones.
+    f1 = evaluate(SC.mean_score(long.filter(F.col("split") == "train"), ["row_id", "label"], out="proba"))
+    test_p = SC.mean_score(long.filter(F.col("split") == "test"), ["row_id"], out="p")
+    picked = select_step(test_p, None, pos_threshold, neg_threshold, ratio, negatives_without_positives=without_positives)
+    picked = picked.select("row_id", F.col("pseudo_label").cast("double").alias("label"), F.lit(step).alias("step"))
+    picked.write.mode("overwrite").parquet(f"{at}/picked")
+    n = {r["label"]: r["count"] for r in spark.read.schema(_ADDED).parquet(f"{at}/picked").groupBy("label").count().collect()}
+    n_pos, n_neg = n.get(1.0, 0), n.get(0.0, 0)
+    stop = should_stop(state, f1, n_pos + n_neg, patience)
+    before = log[-1][4] if log else 0
+    return step, float(f1), n_pos, n_neg, before + (0 if stop else n_pos + n_neg), float(pos_threshold), float(neg_threshold), stop

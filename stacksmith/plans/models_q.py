@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stacksmith.functions import scalars as S
 from stacksmith.functions.metrics import confusion_sql, f1_sql, rounded
+from stacksmith.operators import layered as LY
 from stacksmith.operators import models as M
 from stacksmith.operators import scores as SC
 from stacksmith.operators import stacking as STK
@@ -169,7 +170,19 @@ def ml15(spark, sf):
 
 @query("wn08_top_features")
 def wn08(spark, sf):
-    return ml15(spark, sf).orderBy(F.desc("importance"), "feature").limit(5)
+    """The 100 most important of all built features, from the fold whose held-out F1 is best."""
+    from stacksmith.operators.features import ProjectFeatures
+    from stacksmith.plans.inputs import projects, rates_frame
+    p = projects(spark, sf).filter(F.col("split") == "train")
+    features = ProjectFeatures.fit(p, rates_frame(spark))
+    names = features.feature_names()
+    numbers = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names]  # the ratio of equal times is null
+    rows = features.transform(p, True).select("row_id", F.col("final_status").cast("double").alias("label"), *numbers)
+    rows = stratified_kfold(rows, 5, SEED, "label")
+    rows = STK.materialize(M.class_weights(rows.withColumn("origin", F.lit("train")), "label", "neg_pos", "weight"), "features")
+    layer = LY.FoldedLayer("base", names, {"gbt": LY.model_on("gbt", {"n_estimators": 10})}, 5, 1e-6, LY.SLOTS)
+    layer.fit(rows)
+    return LY.top_features(LY.importance_table(spark, [layer]), "base", "gbt", 100)
 
 
 @query("ml16_clustered_cv_ensemble")
@@ -298,11 +311,16 @@ def ev05(spark, sf):
     return STK.stack_v2(tr, ho, FEATS, base, 5, 2)
 
 
+BASE = {"lr": LY.model_on("logistic"), "nb": LY.model_on("naive_bayes")}
+METAS = {"lr": LY.model_on("logistic"), "rf": LY.model_on("random_forest", {"n_estimators": 10, "max_depth": 4})}
+
+
 @query("ev06_multi_meta_blend")
 def ev06(spark, sf):
+    """Base out-of-fold scores, their components, two metas on features and components, weighted blend of the hold-out."""
     tr, ho = _holdout_parts(spark, sf)
-    metas = {"lr": lr_factory(), "nb": lr_factory(name="naive_bayes")}
-    return STK.multi_meta_blend(tr, ho, FEATS, metas, 5)
+    model = LY.fit_layered_stack(tr, BASE, METAS, FEATS, k=5)
+    return model.transform(ho).select("row_id", "label", *[f"{m}__meta" for m in METAS], "proba", "pred")
 
 
 @query("ev08_top_k_feature_member")
@@ -311,15 +329,29 @@ def ev08(spark, sf):
     return STK.top_k_feature_member(train, test, FEATS, 4, 5)[0]
 
 
-@query("ev09_stack_with_pseudo_rows")
-def ev09(spark, sf):
+def _pseudo_stack(spark, sf):
+    """(stack fitted on train and pseudo rows, test rows that are no pseudo rows)."""
     train, test = train_test(spark, sf)
     pick = SC.mean_score(scores(spark, sf).filter(F.col("split") == "test"), ["row_id"], out="p")
     pseudo = (pick.filter("p < 0.3 or p > 0.7").select("row_id", (F.col("p") > 0.5).cast("double").alias("label"))
               .join(test.drop("label"), "row_id"))
+    pseudo = STK.materialize(pseudo, "pseudo-rows")
     rest = test.join(pseudo.select("row_id"), "row_id", "left_anti")
-    out = STK.stack_with_pseudo(train.drop("fold", "weight"), pseudo, rest, {"lr": lr_factory()}, 5)
-    return out
+    return LY.fit_layered_stack(train, BASE, METAS, FEATS, pseudo, k=5, class_weight="neg_pos"), rest
+
+
+@query("ev09_stack_with_pseudo_rows")
+def ev09(spark, sf):
+    """Out-of-fold scores of train and pseudo rows by fold, and the scores of the other test rows."""
+    model, rest = _pseudo_stack(spark, sf)
+    cols = ["row_id", "origin", "fold", "label", "proba", "pred"]
+    tested = model.transform(rest.withColumn("origin", F.lit("test")).withColumn("fold", F.lit(None).cast("int")))
+    return model.out_of_fold().select(cols).unionByName(tested.select(cols))
+
+
+@query("ev09_f1_by_origin")
+def ev09_f1(spark, sf):
+    return _pseudo_stack(spark, sf)[0].f1_by_origin()
 
 
 @query("ev15_validation_curve")
@@ -375,18 +407,22 @@ def ev20(spark, sf):
 def _self_train(spark, sf, **kw):
     """Self-training on the embeddings, whose label the vectors carry: two members, soft vote."""
     train, test = _scaled_vectors(spark, sf)
-    model = lambda name: (lambda: M.make_estimator(name, weight="weight"))
-    return STK.self_training(train, test, {"lr": model("logistic"), "rf": model("random_forest")}, k=3, **kw)
+    model = lambda name, **p: (lambda: M.make_estimator(name, p, weight="weight"))
+    return STK.self_training(train, test, {"lr": model("logistic", reg=0.001), "nb": model("naive_bayes")}, k=3, **kw)
+
+
+#: Both classes grow over several steps on these vectors; a step without F1 gain does not end the run at once.
+PL02 = {"max_steps": 4, "pos_base": 0.8, "growth": 1.05, "neg_threshold": 0.2, "ratio": 4, "patience": 3}
 
 
 @query("pl02_self_training_added_rows")
 def pl02(spark, sf):
-    return _self_train(spark, sf, max_steps=3, pos_base=0.8, growth=1.05, neg_threshold=0.2, ratio=4)[0]
+    return _self_train(spark, sf, **PL02)[0]
 
 
 @query("pl08_self_training_step_log")
 def pl08(spark, sf):
-    return _self_train(spark, sf, max_steps=3, pos_base=0.8, growth=1.05, neg_threshold=0.2, ratio=4)[1]
+    return _self_train(spark, sf, **PL02)[1]
 
 
 @query("pl05_pool_self_training")
@@ -397,7 +433,7 @@ def pl05(spark, sf):
     added, _ = STK.self_training(train, test, {"lr": model}, k=3, max_steps=3, pos_schedule=[0.8, 0.75, 0.7], neg_threshold=0.25,
                                  ratio=5, patience=2)
     rest = test.join(added.select("row_id"), "row_id", "left_anti")
-    more = train.unionByName(added.join(test.drop("label"), "row_id").select(train.columns))
+    more = train.unionByName(added.drop("step").join(test.drop("label"), "row_id").select(train.columns))
     return rounded(STK.before_after({"before": train, "after": more}, rest, model))
 
 

@@ -122,12 +122,6 @@ def test_f6_subset_search(spark):
         assert approx(got[k], v)
 
 
-def test_subset_search_refuses_too_many_models(spark):
-    df = spark.createDataFrame([(1,) + (0.5,) * 17], "y int, " + ", ".join(f"m{i} double" for i in range(17)))
-    with pytest.raises(ValueError):
-        SC.subset_search(df, "y", [f"m{i}" for i in range(17)])
-
-
 @pytest.fixture()
 def f7(spark):
     return spark.createDataFrame([("a", .95), ("b", .50), ("c", .09), ("d", .01), ("e", .05), ("f", .02), ("g", .97)],
