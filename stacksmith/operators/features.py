@@ -253,3 +253,15 @@ class ProjectFeatures:
             F.col("launched_at").alias("f04__datetime"),
             *self.year_quarter.columns(S.year_quarter(S.ntz_from_epoch("created_at"))),
             F.col("disable_communication").alias("f05__disable_communication"))
+
+
+def standardised_arrays(fit: DataFrame, col: str, *frames: DataFrame) -> list[DataFrame]:
+    """fe07 on array columns: each frame with ``col`` standardised by the means and population deviations of ``fit``.
+
+    The statistics are one row a dimension; a dimension without variance is centred only.
+    """
+    stats = (fit.select(F.posexplode(col).alias("i", "x")).groupBy("i")
+             .agg(F.avg(F.col("x").cast("double")).alias("m"), F.stddev_pop(F.col("x").cast("double")).alias("s")).orderBy("i").collect())
+    table = F.array(*[F.struct(F.lit(r["m"]).alias("m"), F.lit(r["s"] or 1.0).alias("s")) for r in stats])
+    scaled = F.zip_with(F.col(col), table, lambda x, t: (x.cast("double") - t["m"]) / t["s"])
+    return [f.withColumn(col, scaled) for f in frames]

@@ -327,6 +327,44 @@ def tfidf_terms(docs: DataFrame, key: str = "row_id", text: str = "text") -> Dat
     return weighted.join(norm, key).select(key, "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("weight"))
 
 
+#: Width of the dense text vectors, and bits that one digest of a term gives.
+DENSE, DIGEST = 384, 128
+
+
+def dense_text_vectors(docs: DataFrame, key: str = "row_id", text: str = "text", dims: int = DENSE, seed: str = "dense") -> DataFrame:
+    """fe14: (key, vec), one L2-normalised vector of ``dims`` floats a document (``dims``: a multiple of 128).
+
+    Seeded random indexing of the TF-IDF weights: bit j of the term's digests
+    gives the sign with which its weight enters component j, so cosines of the
+    vectors estimate those of the full TF-IDF vectors within about
+    1 / sqrt(dims), no vocabulary is fitted or sent, and equal texts have equal
+    vectors.  A document's terms meet in one row; Arrow batches are projected
+    with numpy.  A text without words has the zero vector.
+    """
+    import numpy as np
+    import pyarrow as pa
+    if dims % DIGEST:
+        raise ValueError(f"dims must be a multiple of {DIGEST}")
+    terms = tfidf_terms(docs, key, text)
+    bits = F.concat(*[F.unhex(F.md5(F.concat(F.lit(f"{seed}:{i}:"), F.col("term")))) for i in range(dims // DIGEST)])
+    # Sorted by term: the sums do not depend on the order of the shuffle.
+    rows = terms.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "weight", bits.alias("bits")))).alias("t"))
+    rows = docs.select(key).distinct().join(rows, key, "left").select(key, F.col("t.weight").alias("w"), F.col("t.bits").alias("b"))
+
+    def project(batches):
+        for batch in batches:
+            out = np.zeros((len(batch), dims), np.float32)
+            for i, (w, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if w:
+                    signs = np.unpackbits(np.frombuffer(b"".join(b), np.uint8)).reshape(len(w), dims)
+                    v = np.array(w) @ (signs * 2.0 - 1.0)
+                    out[i] = v / (np.linalg.norm(v) or 1.0)
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dims)
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=[key, "vec"])
+
+    return rows.mapInArrow(project, f"{key} {docs.schema[key].dataType.simpleString()}, vec array<float>")
+
+
 def dense_from_array(col: str, out: str = "features") -> Column:
     return array_to_vector(F.col(col)).alias(out)
 

@@ -69,9 +69,9 @@ def prefix_sum(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str]
     # 1) running sum inside each bucket: the only shuffle of the full data
     within = Window.partitionBy(*group_cols, "_bkt").orderBy(*_cols(order_cols)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    w = b.select("*", *[F.sum(c).over(within).alias(f"_in_{c}") for c in sum_cols])
-    # 2) bucket totals from the windowed rows (already partitioned by bucket:
-    #    no new exchange), then offsets over the bucket table in two levels
+    # written once: the result and both levels of the offsets read it, so the input is scanned and shuffled once
+    w = cut(b.select("*", *[F.sum(c).over(within).alias(f"_in_{c}") for c in sum_cols]), "prefix")
+    # 2) bucket totals, then offsets over the bucket table in two levels
     totals = w.groupBy(*group_cols, "_bkt").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
     offsets = _bucket_offsets(totals, group_cols, sum_cols, F.sum)
     # 3) add the offsets back (the big side keeps its partitioning)
@@ -195,7 +195,7 @@ def prefix_max(df: DataFrame, order_cols: Sequence[str], col: str, bucket: Colum
     b = df.withColumn("_bkt", bucket)
     within = Window.partitionBy(*g, "_bkt").orderBy(*_cols(order_cols)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    w = b.withColumn("_in", F.max(col).over(within))
+    w = cut(b.withColumn("_in", F.max(col).over(within)), "prefix-max")
     totals = w.groupBy(*g, "_bkt").agg(F.max(col).alias("_tot_v"))
     offsets = _bucket_offsets(totals, g, ["v"], F.max)
     return (w.join(offsets, [*g, "_bkt"], "inner")

@@ -175,19 +175,23 @@ def membership_weights(subsets: DataFrame, models: Sequence[str], top_k: int) ->
 def auc(df: DataFrame, label: str, proba: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """ag12: ROC-AUC with ties (a tie counts one half), per group.
 
-    Scores collapse to (group, score, pos, neg); the count of negatives
-    strictly below each score is a bucketed running sum, so no task sees
-    more than one score bucket.
+    Scores collapse to (group, score, pos, neg).  Inside a bucket a window
+    counts the negatives below each score; a bucket then is one row, and the
+    negatives of the buckets before it are a running sum over at most 4 097
+    rows a group, so no offset is joined back to the scores.
     """
     g = list(group_cols)
     per = (df.groupBy(*g, F.col(proba).alias("_v"))
              .agg(F.sum((F.col(label) == 1).cast("long")).alias("_pos"),
                   F.sum((F.col(label) == 0).cast("long")).alias("_neg")))
-    cum = prefix_sum(per, ["_v"], ["_neg"], unit_bucket("_v"), g)
-    below = F.col("_neg_cum") - F.col("_neg")
-    agg = cum.groupBy(*g).agg(
-        F.sum(F.col("_pos") * (below + F.col("_neg") * 0.5)).alias("_num"),
+    lower = Window.partitionBy(*g, "_bkt").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = per.withColumn("_bkt", unit_bucket("_v")).withColumn("_below", F.coalesce(F.sum("_neg").over(lower), F.lit(0)))
+    buckets = inside.groupBy(*g, "_bkt").agg(
+        F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") * 0.5)).alias("_num"),
         F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
+    before = F.coalesce(F.sum("_N").over(Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    agg = buckets.withColumn("_num", F.col("_num") + F.col("_P") * before).groupBy(*g).agg(
+        F.sum("_num").alias("_num"), F.sum("_P").alias("_P"), F.sum("_N").alias("_N"))
     return agg.select(*g, (F.col("_num") / (F.col("_P") * F.col("_N"))).alias("auc"))
 
 

@@ -203,6 +203,12 @@ def fe14(spark, sf):
     return M.tfidf_terms(d).select("row_id", "term", F.round("weight", 6).alias("weight"))
 
 
+@query("fe14_dense_text_vectors")
+def fe14_dense(spark, sf):
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return M.dense_text_vectors(d)
+
+
 def _doc_clusters(spark, sf, k=6):
     """KMeans on the text vectors of all documents, labelled or not."""
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
@@ -475,9 +481,34 @@ def jn09(spark, sf):
     return knn_join(q, r, K_NEIGHBOURS).select("qid", "rid", F.col("rank").cast("int").alias("rank"))
 
 
-@query("ml07_knn_classifier", _KNN_BASE + f"SELECT qid, round(avg(label), 6) AS proba FROM ranked WHERE rk <= {K_NEIGHBOURS} GROUP BY qid")
+_KNN_SCALED = f"""
+WITH e AS (SELECT vec_id, embedding, CAST(label >= 5 AS DOUBLE) AS label, {seeded_key_sql(SEED, 'vec_id')} AS sk,
+             row_number() OVER (PARTITION BY label >= 5 ORDER BY {seeded_key_sql(SEED, 'vec_id')}, vec_id)
+               <= round(count(*) OVER (PARTITION BY label >= 5) * 0.25) AS is_holdout
+           FROM embeddings),
+ sizes AS (SELECT label, count(*) AS n FROM e WHERE NOT is_holdout GROUP BY 1),
+ u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sk, vec_id) AS rk FROM e WHERE NOT is_holdout)
+       WHERE rk <= (SELECT min(n) FROM sizes)),
+ dims AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s
+          FROM (SELECT generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM u) GROUP BY 1),
+ st AS (SELECT list(m ORDER BY i) AS m, list(CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY i) AS s FROM dims),
+ sc AS (SELECT vec_id, label, is_holdout, list_transform(list_zip(embedding, m, s), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) / x[3]) AS v
+        FROM (SELECT vec_id, label, is_holdout, embedding FROM u UNION ALL SELECT vec_id, label, is_holdout, embedding FROM e WHERE is_holdout), st),
+ pairs AS (
+   SELECT q.vec_id AS qid, r.vec_id AS rid, r.label,
+          list_reduce(list_transform(list_zip(q.v, r.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda a, b: a + b) AS d2
+   FROM (SELECT * FROM sc WHERE is_holdout) q, (SELECT * FROM sc WHERE NOT is_holdout) r),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, rid) AS rk FROM pairs)
+SELECT qid, round(avg(label), 6) AS proba FROM ranked WHERE rk <= {K_NEIGHBOURS} GROUP BY qid"""
+
+
+@query("ml07_knn_classifier", _KNN_SCALED)
 def ml07(spark, sf):
+    """Neighbours among undersampled reference rows, all vectors scaled by those rows."""
+    from stacksmith.operators.features import standardised_arrays
     q, r = _knn_sides(spark, sf)
+    r = STK.materialize(undersample(r, SEED, "label", "rid"), "balanced")
+    q, r = standardised_arrays(r, "vec", q, r)
     return knn_classify(q, r, K_NEIGHBOURS).select("qid", F.round("proba", 6).alias("proba"))
 
 

@@ -228,3 +228,30 @@ def test_settings_leave_a_cluster_alone():
     from stacksmith.session import default_conf
     for key in ("spark.driver.host", "spark.driver.memory", "spark.sql.shuffle.partitions", "spark.driver.bindAddress"):
         assert key not in default_conf("yarn") and key not in default_conf("local-cluster[2,1,1024]") and key in default_conf("local[4]")
+
+
+def test_dense_text_vectors_against_plain_numpy(spark):
+    import hashlib
+    import math
+    import re
+    texts = ["the cat sat", "the cat sat", "The dog, the dog! ran", "", None, "cat " * 500 + "mat", "é ß 中文 a_b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    got = {r.row_id: np.array(r.vec) for r in M.dense_text_vectors(df).collect()}
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    for i, w in enumerate(words):
+        v = np.zeros(384)
+        for t in sorted(set(w)):
+            weight = w.count(t) * math.log((len(texts) + 1) / (sum(t in x for x in words) + 1))
+            bits = b"".join(hashlib.md5(f"dense:{j}:{t}".encode()).digest() for j in range(3))
+            v += weight * (np.unpackbits(np.frombuffer(bits, np.uint8)) * 2.0 - 1.0)
+        want = v / np.linalg.norm(v) if w else v
+        assert got[i].shape == (384,) and np.abs(got[i] - want).max() < 1e-6
+    assert (got[0] == got[1]).all() and not got[3].any() and not got[4].any()
+
+
+def test_standardised_arrays(spark):
+    from stacksmith.operators.features import standardised_arrays
+    fit = spark.createDataFrame([([1.0, 5.0],), ([3.0, 5.0],)], "v array<float>")
+    other = spark.createDataFrame([([2.0, 6.0],)], "v array<float>")
+    a, b = standardised_arrays(fit, "v", fit, other)
+    assert sorted(r.v for r in a.collect()) == [[-1.0, 0.0], [1.0, 0.0]] and b.collect()[0].v == [0.0, 1.0]
