@@ -255,3 +255,22 @@ def test_standardised_arrays(spark):
     other = spark.createDataFrame([([2.0, 6.0],)], "v array<float>")
     a, b = standardised_arrays(fit, "v", fit, other)
     assert sorted(r.v for r in a.collect()) == [[-1.0, 0.0], [1.0, 0.0]] and b.collect()[0].v == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("k, block", [(3, 16), (40, 16), (500, 64)])
+def test_knn_blocks_do_not_change_the_result(spark, k, block):
+    rng = np.random.default_rng(k)
+    ref, qs = rng.normal(size=(300, 12)).round(1), rng.normal(size=(50, 12)).round(1)
+    ref[50:150] = ref[7]
+    qs[5] = ref[7]
+    rdf = spark.createDataFrame([(f"r{i:03d}", [float(x) for x in v], float(i % 2)) for i, v in enumerate(ref)], "rid string, vec array<double>, label double")
+    qdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(qs)], "qid long, vec array<double>")
+    got = {}
+    for r in knn_join(qdf, rdf, k, n_pivots=5, block=block, keep_ref=("label",)).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.rid, r.label))
+    for qi, qv in enumerate(qs):
+        d2 = np.zeros(len(ref))
+        for j in range(12):
+            d2 += (qv[j] - ref[:, j]) * (qv[j] - ref[:, j])
+        want = sorted(range(300), key=lambda i: (d2[i], i))[:k]
+        assert sorted(got[qi]) == [(n + 1, f"r{i:03d}", float(i % 2)) for n, i in enumerate(want)]
