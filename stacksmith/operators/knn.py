@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from stacksmith.operators.rank import cut
 
 SLACK = 1e-9
-#: Rows of a block on either side.
-BLOCK = 2048
+#: Rows of a block on either side; pivots at most.
+BLOCK, PIVOTS = 2048, 16
 
 
 def sq_dist(a: Column, b: Column) -> Column:
@@ -88,14 +88,15 @@ def _nearest_in_block(k: int, names: list[str], kinds: pa.Schema):
 
 
 def knn_join(queries: DataFrame, reference: DataFrame, k: int, qkey: str = "qid", rkey: str = "rid",
-             vec: str = "vec", n_pivots: int = 16, seed: int = 42, keep_ref: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+             vec: str = "vec", n_pivots: int | None = None, seed: int = 42, keep_ref: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """For every query row, its k nearest reference rows: (qkey, rkey, rank, d2, *keep_ref).
 
-    ``vec`` is a numeric array of one length in both frames; reference ids are not null.
+    Without ``n_pivots``: one for each block that the reference rows fill, 2 to PIVOTS.  ``vec`` is a numeric array of one length in both frames; reference ids are not null.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     ref = reference.select(F.col(rkey).alias("_rkey"), F.col(vec).cast("array<double>").alias("_v"), *keep_ref)
     q = queries.select(F.col(qkey).alias("_qkey"), F.col(vec).cast("array<double>").alias("_v"))
+    n_pivots = n_pivots or max(2, min(PIVOTS, -(-ref.count() // block)))
     km = KMeans(k=n_pivots, seed=seed, featuresCol="_fv", predictionCol="cell", maxIter=10).fit(
         ref.select(array_to_vector("_v").alias("_fv")))
     centers = [[float(x) for x in c] for c in km.clusterCenters()]

@@ -28,30 +28,34 @@ def _normalised(df: DataFrame, start: str, end: str) -> DataFrame:
               .withColumn("_e", F.greatest(F.col(start), F.col(end))))
 
 
-#: Rows that one endpoint's counts are copied to, so that a value which many rows share is met by several tasks.
-SALTS = 8
+#: An endpoint value of more rows than this is hot: its counts are copied SALTS times, so that several tasks meet its rows.
+HOT_ROWS, SALTS = 1_000_000, 8
 
 
 def _endpoint_table(pts: DataFrame, bucket_width: float | None) -> DataFrame:
-    """Per distinct endpoint value v: starts_le(v), ends_le(v), starts_at(v), ends_at(v); written once, used for both ends."""
-    per_v = pts.groupBy("v").agg(F.sum("ns").cast("long").alias("ns"), F.sum("ne").cast("long").alias("ne"))
+    """Per distinct endpoint value v: starts_le(v), ends_le(v), starts_at(v), ends_at(v), rows; written once, used for both ends."""
+    per_v = pts.groupBy("v").agg(F.sum("ns").cast("long").alias("ns"), F.sum("ne").cast("long").alias("ne"), F.count("*").alias("n_rows"))
     bucket = fixed_bucket("v", bucket_width) if bucket_width else log_bucket("v")
     return cut(prefix_sum(per_v, ["v"], ["ns", "ne"], bucket), "endpoints")
 
 
-def _attach(rows: DataFrame, table: DataFrame, at: str, tag: str) -> DataFrame:
-    """Running counts at the exact value ``at`` (every probe value is in the table)."""
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(
-        copies.select("_salt", F.col("v").alias(at), F.col("ns_cum").alias(f"{tag}_ns_le"),
-                      F.col("ne_cum").alias(f"{tag}_ne_le"), F.col("ns").alias(f"{tag}_ns_at"),
-                      F.col("ne").alias(f"{tag}_ne_at")), [at, "_salt"], "left")
+def _attach(rows: DataFrame, table: DataFrame, at: str, tag: str, hot: DataFrame | None) -> DataFrame:
+    """Running counts at the exact value ``at`` (every probe value is in the table); only the values of ``hot`` are salted."""
+    found = table.select(F.col("v").alias(at), "n_rows", F.col("ns_cum").alias(f"{tag}_ns_le"), F.col("ne_cum").alias(f"{tag}_ne_le"),
+                         F.col("ns").alias(f"{tag}_ns_at"), F.col("ne").alias(f"{tag}_ne_at"))
+    if hot is None:
+        return rows.join(found.drop("n_rows"), at, "left")
+    marked = rows.join(hot.select(F.col("v").alias(at), F.lit(True).alias("_hot")), at, "left")
+    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n_rows") > HOT_ROWS, SALTS - 1).otherwise(0))))
+    return salted.join(copies.drop("n_rows"), [at, "_salt"], "left").drop("_salt", "_hot")
 
 
 def _counts(rows: DataFrame, table: DataFrame, closed: bool) -> DataFrame:
     # Running counts at each row's own end and start (exact value joins).
-    r = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    r = _attach(_attach(r, table, "_e", "se"), table, "_s", "ss")
+    hot = table.filter(F.col("n_rows") > HOT_ROWS)
+    hot = cut(hot.select("v"), "hot-endpoints") if hot.limit(1).count() else None
+    r = _attach(_attach(rows, table, "_e", "se", hot), table, "_s", "ss", hot)
     if closed:
         # #{s_j <= e_i} - #{e_j < s_i}
         starts = F.col("se_ns_le")

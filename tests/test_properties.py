@@ -274,3 +274,23 @@ def test_knn_blocks_do_not_change_the_result(spark, k, block):
             d2 += (qv[j] - ref[:, j]) * (qv[j] - ref[:, j])
         want = sorted(range(300), key=lambda i: (d2[i], i))[:k]
         assert sorted(got[qi]) == [(n + 1, f"r{i:03d}", float(i % 2)) for n, i in enumerate(want)]
+
+
+@pytest.mark.parametrize("closed", [True, False])
+@pytest.mark.parametrize("hot_rows", [10, 10 ** 6])
+def test_overlap_with_hot_endpoints(spark, monkeypatch, closed, hot_rows):
+    from stacksmith.operators import overlap
+    monkeypatch.setattr(overlap, "HOT_ROWS", hot_rows)
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 60, 300), rng.integers(0, 60, 300)
+    a[:120] = 20
+    b[60:200] = 40
+    df = spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(zip(a, b))], "id long, s long, e long")
+    got = {r.id: r.n_overlap for r in overlap.overlap_count(df, "s", "e", closed=closed).collect()}
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    for i in range(300):
+        if closed:
+            want = ((lo <= hi[i]) & (hi >= lo[i])).sum() - 1
+        else:
+            want = ((lo < hi[i]) & (hi > lo[i]) & (lo < hi)).sum() - 1 if lo[i] < hi[i] else 0
+        assert got[i] == want
