@@ -221,23 +221,32 @@ def thresholds(docs: DataFrame, rate: float = Q, table: list[int] | None = None)
     return out
 
 
-def find_secrets(docs: DataFrame, rate: float = Q) -> DataFrame:
-    """``docs`` with ``spans``: array of (start, kind_no, end), sorted; kind_no indexes KINDS."""
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it while ``docs`` has a column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def find_secrets(docs: DataFrame, rate: float = Q, out: str = "spans") -> DataFrame:
+    """``docs`` with ``out``: array of (start, kind_no, end), sorted; kind_no indexes KINDS.  A column of that name is replaced."""
+    text, base_at, random_at = (unused(docs, n) for n in ("__text", "__base", "__random"))
     table = evidence(ordinary(docs))
     cuts = thresholds(docs, rate, table)
-    docs = docs.withColumn("__text", text_col())
+    docs = docs.withColumn(text, text_col())
     tag = lambda found, kind: F.transform(found, lambda s: F.struct(
         s["start"].alias("start"), F.lit(kind).alias("kind_no"), s["end"].alias("end")))
-    base = F.concat(tag(F.expr(_matches("__text", ASSIGN, 1, ASSIGN_VALUE)), 0), tag(F.expr(_matches("__text", ACCESS)), 1),
-                    tag(F.expr(_matches("__text", HEX)), 2))
-    docs = docs.withColumn("__base", base)
+    base = F.concat(tag(F.expr(_matches(text, ASSIGN, 1, ASSIGN_VALUE)), 0), tag(F.expr(_matches(text, ACCESS)), 1),
+                    tag(F.expr(_matches(text, HEX)), 2))
+    docs = docs.withColumn(base_at, base)
     if not cuts:
-        return docs.withColumn("spans", F.array_sort("__base")).drop("__text", "__base")
+        return docs.withColumn(out, F.array_sort(base_at)).drop(text, base_at)
     least = F.create_map(*[F.lit(x) for s, b in sorted(cuts.items()) for x in (s, b)])
-    docs = docs.withColumn("__random", F.filter(_candidates("__text", table), lambda c: c["t"]["bin"] >= F.element_at(least, c["t"]["stratum"])))
-    random = F.filter("__random", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-                      & ~F.exists("__random", lambda r: (c["run"] == r["start"]) & (r["run"] < 0)))
-    return docs.withColumn("spans", F.array_sort(F.concat("__base", tag(random, 3)))).drop("__text", "__base", "__random")
+    docs = docs.withColumn(random_at, F.filter(_candidates(text, table), lambda c: c["t"]["bin"] >= F.element_at(least, c["t"]["stratum"])))
+    random = F.filter(random_at, lambda c: ~F.exists(base_at, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+                      & ~F.exists(random_at, lambda r: (c["run"] == r["start"]) & (r["run"] < 0)))
+    return docs.withColumn(out, F.array_sort(F.concat(base_at, tag(random, 3)))).drop(text, base_at, random_at)
 
 
 def span_strings(spans: Column, kinds: int) -> Column:
@@ -247,9 +256,9 @@ def span_strings(spans: Column, kinds: int) -> Column:
     return F.concat_ws(",", F.transform(some, lambda s: F.concat_ws(":", F.element_at(names, s["kind_no"] + 1), s["start"], s["end"])))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", spans: str = "spans") -> DataFrame:
     """``docs`` with every span of ``spans`` replaced in ``text``, overlapping ones as one; ``spans`` goes."""
-    done = F.expr("aggregate(spans, named_struct('at', 0, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct("
+    done = F.expr(f"aggregate(`{spans}`, named_struct('at', 0, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct("
                   f"'at', s.end, 'out', if(s.start < a.at, a.out, concat(a.out, substring(text, a.at + 1, s.start - a.at), '{mark}')))), "
                   "a -> concat(a.out, substring(text, a.at + 1)))")
-    return docs.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).drop("spans")
+    return docs.withColumn("text", F.when(F.size(spans) > 0, done).otherwise(F.col("text"))).drop(spans)

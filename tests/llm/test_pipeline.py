@@ -45,3 +45,11 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in packed.collect()} == set(before)
     last = C.run(spark, sf)
     assert sorted(map(tuple, last.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def test_secrets_stage_keeps_columns_whose_names_clash(spark):
+    schema = "doc_id long, text string, n_chars long, spans string, __text string, __base int, __random int, __masked string"
+    rows = [(1, "password=abcdefgh1 x", 20, "s", "t", 1, 2, "m"), (2, None, None, None, None, None, None, None), (3, "clean", 5, "s", "t", 1, 2, "m")]
+    got = {r.doc_id: r for r in C.secret_stage(spark, spark.createDataFrame(rows, schema), "").collect()}
+    assert got[1].text == "[SECRET] x" and got[1].n_chars == 10 and tuple(got[1])[3:] == rows[0][3:]
+    assert tuple(got[2]) == rows[1] and tuple(got[3]) == rows[2]
