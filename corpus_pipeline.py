@@ -45,12 +45,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: secrets are masked, no document goes; n_chars follows the masked text."""
     _small_batches(spark)
-    found = secrets.find_secrets(docs)
+    spans = secrets.unused(docs, "spans")
+    found = secrets.find_secrets(docs, out=spans)
     if "n_chars" in docs.columns:
-        found = found.withColumn("__masked", F.size("spans") > 0)
-        masked = secrets.redact(found)
-        return masked.withColumn("n_chars", F.when(F.col("__masked"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
-    return secrets.redact(found).select(docs.columns)
+        flag = secrets.unused(found, "__masked")
+        masked = secrets.redact(found.withColumn(flag, F.size(spans) > 0), spans=spans)
+        length = F.when(F.col(flag), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        return masked.withColumn("n_chars", length).select(docs.columns)
+    return secrets.redact(found, spans=spans).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
