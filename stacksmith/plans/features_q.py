@@ -193,3 +193,53 @@ SELECT {", ".join(cols)} FROM base""", "projects").replace(")\n, iv AS", "),\n i
 @query("fe17_feature_build", _fe17_sql())
 def fe17(spark, sf):
     return build_features(spark, sf)[0]
+
+
+def _sparse_sql() -> str:
+    cats = ["country", "currency", "customer"]
+    vocab = " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS value FROM (SELECT DISTINCT {c} FROM p WHERE split = 'train' AND {c} IS NOT NULL) t" for c in cats)
+    found = " UNION ALL ".join(f"SELECT p.row_id, x.at AS position, 1.0::DOUBLE AS value FROM p JOIN placed x ON x.c = '{c}' AND x.value = p.{c}" for c in cats)
+    return with_ctes(f"""
+, p AS (SELECT r.row_id, r.split, r.goal, r.country, r.currency, r.disable_communication, CAST(o.o_custkey AS VARCHAR) AS customer
+       FROM projects r JOIN orders o ON o.o_orderkey = r.row_id),
+ v AS (SELECT c, value, row_number() OVER (PARTITION BY c ORDER BY md5(value), value) - 1 AS idx FROM ({vocab}) u),
+ n AS (SELECT c, count(*) AS n FROM v GROUP BY c),
+ placed AS (SELECT v.c, v.value, CAST(2 + v.idx + (SELECT coalesce(sum(n.n), 0) FROM n WHERE n.c < v.c) AS INTEGER) AS at FROM v)
+SELECT row_id, CAST(0 AS INTEGER) AS position, goal AS value FROM p WHERE goal <> 0
+UNION ALL SELECT row_id, 1, 1.0 FROM p WHERE disable_communication
+UNION ALL {found}""", "projects")
+
+
+@query("fe17_sparse_features", _sparse_sql())
+def fe17_sparse(spark, sf):
+    """Numbers and the dummies of country, currency and customer as one sparse vector; returned entry by entry."""
+    from stacksmith.operators.rank import cut
+    from stacksmith.operators.sparse import SparseFeatures, entries
+    orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").cast("string").alias("customer"))
+    p = cut(projects(spark, sf).select("row_id", "split", "goal", "country", "currency", "disable_communication").join(orders, "row_id"), "sparse-input")
+    model = SparseFeatures.fit(p.filter(F.col("split") == "train"), ["goal", "disable_communication"],
+                               {c: F.col(c) for c in ("country", "currency", "customer")})
+    return model.transform(p).select("row_id", F.explode(entries("features")).alias("e")).select("row_id", "e.*")
+
+
+def _schema_sql() -> str:
+    names = {s: f"SELECT DISTINCT 'f04__year_quarter__' || {YQ_SQL} AS name FROM projects WHERE split = '{s}'" for s in ("train", "test")}
+    return with_ctes(f"""
+SELECT name, 'missing' AS difference, 'int' AS fitted_type, NULL::VARCHAR AS found_type FROM ({names['train']} EXCEPT {names['test']}) a
+UNION ALL SELECT name, 'extra', NULL, 'int' FROM ({names['test']} EXCEPT {names['train']}) b
+UNION ALL SELECT 'goal', 'retyped', 'double', 'string'""", "projects")
+
+
+@query("so05_schema_differences", _schema_sql())
+def so05_differences(spark, sf):
+    """The schema stored at fit against test rows one-hot by a vocabulary of their own, with a number read as text."""
+    from stacksmith.operators.rank import cut
+    from stacksmith.operators.schema import FittedSchema
+    from stacksmith.sources.store import fresh_path
+    p = cut(projects(spark, sf).select("row_id", "split", "goal", S.year_quarter(S.ntz_from_epoch("created_at")).alias("year_quarter")), "schema-input")
+    train, test = _train(p), p.filter(F.col("split") == "test")
+
+    def built(rows, goal):
+        return rows.select("row_id", goal, *FE.OneHot.fit(rows, "year_quarter", "f04").columns())
+    fitted = FittedSchema.fit(built(train, F.col("goal")), fresh_path(spark, "fitted-schema"))
+    return fitted.differences(built(test, F.col("goal").cast("string").alias("goal")))

@@ -8,6 +8,7 @@ from stacksmith.operators.features import OneHot, align_columns
 from stacksmith.plans.eda import goal_usd, GOAL_USD_SQL
 from stacksmith.plans.inputs import USD_RATES, projects, scores, with_ctes
 from stacksmith.plans.registry import query
+from stacksmith.sources import runs as RU
 from stacksmith.sources import store as ST
 from stacksmith.sources.tables import load
 
@@ -72,7 +73,7 @@ def io05(spark, sf):
     path = ST.write_json_lookup(spark, USD_RATES, ST.fresh_path(spark, "rates-json"))
     rates = ST.read_json_lookup(spark, path, "currency", "usd_rate")
     p = projects(spark, sf).select("row_id", "currency")
-    return (p.join(F.broadcast(rates), "currency", "left")
+    return (p.join(rates, "currency", "left")
              .select("row_id", "currency", F.coalesce("usd_rate", F.lit(1.0)).alias("usd_rate")))
 
 
@@ -159,7 +160,91 @@ def io12(spark, sf):
     return store.wide(["m1", "m2", "m3"])
 
 
-@query("io13_meta_store_reuse")
+def _blend_runs(spark, sf):
+    """One run per weight method: a blend of all base models, with its members' weights and importances."""
+    from stacksmith.operators import scores as SC
+    from stacksmith.operators.rank import cut
+    from stacksmith.plans.scoring_q import WEIGHT_METHODS, oof
+    rows = cut(oof(spark, sf).select("row_id", "model_id", "proba", "final_status"), "blend-input")
+    f1 = cut(SC.f1_table(rows, "final_status", "proba", ["model_id"]).select("model_id", "f1"), "blend-f1")
+    weights = None
+    for m in WEIGHT_METHODS:
+        w = SC.model_weights(f1, m).select(F.lit(m).alias("method"), "model_id", "weight")
+        weights = w if weights is None else weights.unionByName(w)
+    weights = cut(weights, "blend-weights")
+    pick = F.array(*[F.struct(F.lit(m).alias("method")) for m in WEIGHT_METHODS])
+    blend = (rows.withColumn("m", F.explode(pick)).select("row_id", "model_id", "proba", "final_status", "m.method").join(weights, ["method", "model_id"])
+             .groupBy("method", "row_id").agg((F.sum(F.col("weight") * F.col("proba")) / F.sum("weight")).alias("p"), F.max("final_status").alias("y")))
+    report = SC.f1_table(blend, "y", "p", ["method"]).select("method", "f1", "precision", "recall")
+    strength = rows.groupBy("model_id").agg(F.abs(F.corr("proba", F.col("final_status").cast("double"))).alias("importance"))
+    members = weights.join(strength, "model_id").groupBy("method").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("model_id").alias("feature"), "importance"))).alias("importances"),
+        F.sort_array(F.collect_list(F.struct(F.col("model_id").alias("member"), "weight"))).alias("weights"))
+    return report.join(members, "method").select(
+        F.concat(F.lit("run-"), "method").alias("run_id"), F.lit("blend").alias("model_id"),
+        F.create_map(F.lit("use_rank"), F.col("method") == "rank", F.lit("blend_all"), F.lit(True)).alias("flags"),
+        F.create_map(F.lit("method"), F.col("method"), F.lit("threshold"), F.lit("0.5")).alias("params"),
+        F.create_map(F.lit("f1"), F.col("f1"), F.lit("precision"), F.col("precision"), F.lit("recall"), F.col("recall")).alias("metrics"),
+        "importances", "weights")
+
+
+def _run_facts_sql() -> str:
+    from stacksmith.functions.metrics import confusion_sql, f1_sql
+    raw = {"naive": "f1", "power": "pow(f1, 4)", "softmax": "exp(f1)",
+           "minmax": "pow(CASE WHEN max(f1) OVER () > min(f1) OVER () THEN (f1 - min(f1) OVER ()) / (max(f1) OVER () - min(f1) OVER ()) ELSE 0.0 END + 1e-8, 4)",
+           "rank": "CAST(row_number() OVER (ORDER BY f1, model_id) AS DOUBLE)"}
+    weights = " UNION ALL ".join(f"SELECT '{m}' AS method, model_id, CASE WHEN sum(r) OVER () > 0 THEN r / sum(r) OVER () ELSE 1.0 / count(*) OVER () END AS weight "
+                                 f"FROM (SELECT model_id, {e} AS r FROM f) x" for m, e in raw.items())
+    return with_ctes(f"""
+, o AS (SELECT row_id, model_id, proba, final_status FROM scores WHERE split = 'train'),
+ f AS (SELECT model_id, {f1_sql()} AS f1 FROM (SELECT model_id, {confusion_sql("final_status", "CAST(proba > 0.5 AS INTEGER)")} FROM o GROUP BY model_id) c),
+ w AS ({weights}),
+ b AS (SELECT method, row_id, sum(weight * proba) / sum(weight) AS p, max(final_status) AS y FROM o JOIN w USING (model_id) GROUP BY 1, 2),
+ c AS (SELECT method, {confusion_sql("y", "CAST(p > 0.5 AS INTEGER)")} FROM b GROUP BY 1),
+ s AS (SELECT model_id, abs(corr(proba, CAST(final_status AS DOUBLE))) AS importance FROM o GROUP BY 1),
+ m AS (SELECT DISTINCT method FROM w)
+SELECT 'run-' || method AS run_id, section, name, round(value, 6) AS value FROM (
+  SELECT method, 'flag' AS section, 'use_rank' AS name, CASE WHEN method = 'rank' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM m
+  UNION ALL SELECT method, 'flag', 'blend_all', 1.0 FROM m
+  UNION ALL SELECT method, 'metric', 'f1', {f1_sql()} FROM c
+  UNION ALL SELECT method, 'metric', 'precision', CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp * 1.0 / (tp + fp) END FROM c
+  UNION ALL SELECT method, 'metric', 'recall', CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp * 1.0 / (tp + fn) END FROM c
+  UNION ALL SELECT method, 'importance', model_id, importance FROM m, s
+  UNION ALL SELECT method, 'weight', model_id, weight FROM w) t""", "scores")
+
+
+@query("io10_run_records", _run_facts_sql())
+def io10_records(spark, sf):
+    """All runs are written, then one is written again: its record is replaced, not doubled."""
+    from stacksmith.operators.rank import cut
+    runs = cut(_blend_runs(spark, sf), "runs")
+    store = RU.RunStore(spark, ST.fresh_path(spark, "run-store"))
+    store.put(runs)
+    store.put(runs.filter("run_id = 'run-power'"))
+    return store.facts().select("run_id", "section", "name", F.round("value", 6).alias("value"))
+
+
+@query("io13_fingerprint_reuse", with_ctes("""
+SELECT row_id, 0.5::DOUBLE AS threshold, CAST(proba > 0.5 AS INTEGER) AS vote, 2 AS fits FROM scores WHERE split = 'train' AND model_id = 'm4'
+UNION ALL
+SELECT row_id, 0.6::DOUBLE, CAST(proba > 0.6 AS INTEGER), 2 FROM scores WHERE split = 'train' AND model_id = 'm4'""", "scores"))
+def io13_reuse(spark, sf):
+    """The same rows and parameters are computed once, in whatever order the rows come; another parameter is computed anew."""
+    from stacksmith.operators.rank import cut
+    rows = cut(scores(spark, sf).filter((F.col("split") == "train") & (F.col("model_id") == "m4")).select("row_id", "proba"), "reuse-input")
+    store = RU.ResultStore(spark, ST.fresh_path(spark, "results"))
+    fits = []
+
+    def votes(df, params):
+        fits.append(params)
+        return df.select("row_id", F.lit(params["threshold"]).alias("threshold"), (F.col("proba") > params["threshold"]).cast("int").alias("vote"))
+    store.get_or_compute("votes", rows, {"threshold": 0.5}, votes)
+    again = store.get_or_compute("votes", rows.repartition("row_id"), {"threshold": 0.5}, votes)
+    other = store.get_or_compute("votes", rows, {"threshold": 0.6}, votes)
+    return again.unionByName(other).withColumn("fits", F.lit(len(fits)))
+
+
+@query("io13_meta_store_reuse", with_ctes("SELECT row_id, split, proba, model_id FROM scores WHERE split = 'train' AND model_id = 'm4'", "scores"))
 def io13(spark, sf):
     s = scores(spark, sf).filter(F.col("split") == "train").select("row_id", "split", "model_id", "proba")
     store = ST.MetaStore(spark, ST.fresh_path(spark, "meta"))

@@ -12,6 +12,7 @@ from stacksmith.operators import layered as LY
 from stacksmith.operators import models as M
 from stacksmith.operators import scores as SC
 from stacksmith.operators import stacking as STK
+from stacksmith.operators import wrapped  # noqa: F401  (registers its families)
 from stacksmith.operators.profile import rate_table
 from stacksmith.operators.sampling import stratified_holdout, stratified_kfold, undersample
 from stacksmith.plans.eda import goal_usd
@@ -120,6 +121,15 @@ def ml10(spark, sf):
     return M.predict_subspace(members, weights, test, keep=["label"])
 
 
+@query("ml09_wrapped_models_out_of_fold")
+def wrapped(spark, sf):
+    """Out-of-fold scores of the families made of several models; each is fitted, saved and scored as one estimator."""
+    train, test = train_test(spark, sf)
+    parts = [STK.oof_scores(train, test, name, lambda: M.scaled_pipeline(FEATS, M.make_estimator(name, params, weight="weight")), 2)
+             for name, params in (("cluster_then_classify", {"k": 3}), ("random_subspace", {"members": 3}), ("soft_voting", {}))]
+    return STK.union_all(parts)
+
+
 def _members(spark, sf):
     train, test = train_test(spark, sf)
     fits = {}
@@ -377,8 +387,8 @@ def ev16(spark, sf):
 @query("ev17_random_search_discrete")
 def ev17(spark, sf):
     train, _ = train_test(spark, sf)
-    draws = STK.draw_discrete({"logistic": {"reg": [0.001, 0.01, 0.1]},
-                               "naive_bayes": {},
+    draws = STK.draw_discrete({"cluster_then_classify": {"k": [2, 3, 4], "model": ["logistic", "naive_bayes"]},
+                               "random_subspace": {"members": [3, 4], "power": [1.0, 4.0]},
                                "random_forest": {"max_depth": [3, 5], "n_estimators": [10]}}, 3, SEED)
     return STK.run_experiments(train, FEATS, draws, 5)
 
