@@ -178,10 +178,11 @@ def _scan(phrases: dict[str, str], templates: list[tuple[str, float, str]]):
                     norm = b" " + b" ".join(tokens) + b" "
                     at, labels, matches = [], set(), []
                     for pattern, label in base:
-                        found = [norm.count(b" ", 0, m.start()) for m in pattern.finditer(norm)]
-                        at += found
-                        if found:
+                        if found := [m.start() for m in pattern.finditer(norm)]:
+                            at += found
                             labels.add(label)
+                    if at:  # blanks before a place: the words before it
+                        at = np.searchsorted(np.flatnonzero(np.frombuffer(norm, np.uint8) == 32), at).tolist()
                     method, text = set(), None
                     for label, _, literal, automaton in compiled:
                         if literal not in norm:
