@@ -5,7 +5,12 @@ and the longest one that fits decides.  URLs that a rule decides are the
 labelled rows; the trees learn from them and decide the rest.  The labelled
 sample is the LABELLED distinct URLs with the smallest hashes, weighted by how
 often they occur; counts of labels by host suffix come from all labelled rows,
-in a table of SUFFIXES hashed entries.
+in a table of SUFFIXES hashed entries by FOLDS folds of hosts.
+
+A labelled row's suffix rate comes from the hosts of the other folds, so no row
+tells its own label.  One labelled url in HIDE is shown with the overall rate, as
+a url of an unlabelled suffix is: the trees learn to judge such urls by their
+other features and the share of blocked ones.
 
 Features: lengths of url, host and path, path depth, host labels, digit ratio,
 hyphens, byte entropy, query parameters, percent signs, fragment, and the
@@ -33,6 +38,7 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 LABELLED = 20_000
 SUFFIXES = 4096
+FOLDS, HIDE = 5, 5
 TREES, DEPTH, RATE, BINS, L2 = 40, 4, 0.2, 64, 1.0
 
 
@@ -144,6 +150,32 @@ def _judge(model):
     return run
 
 
+def suffix_rates(counts: np.ndarray, overall: float) -> np.ndarray:
+    """Share of blocked rows by suffix, drawn towards the overall share; ``counts`` (suffix, (rows, blocked rows))."""
+    return (counts[..., 1] + 10 * overall) / (counts[..., 0] + 10)
+
+
+def fit_trees(known: DataFrame, labelled: int = LABELLED) -> tuple[Trees, np.ndarray]:
+    """(trees, suffix rates) from labelled rows of url, host, path, label and suffix."""
+    fold = F.pmod(F.xxhash64("host", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    blocked = (F.col("label") == "block").cast("int")
+    counts = np.zeros((SUFFIXES, FOLDS, 2))
+    for suffix, f, n, b in known.groupBy("suffix", fold.alias("fold")).agg(F.count("*"), F.sum(blocked)).collect():  # at most SUFFIXES * FOLDS rows
+        counts[suffix, f] = n, b
+    total = counts.sum(axis=1)
+    overall = total[:, 1].sum() / max(1.0, total[:, 0].sum())
+    distinct = known.groupBy("url").agg(*[F.first(c).alias(c) for c in ("host", "path", "label", "suffix")], F.count("*").alias("n"))
+    hidden = F.pmod(F.xxhash64("url", F.lit("hide")), F.lit(HIDE)) == 0
+    sample = sorted(hashed_sample(distinct.withColumn("fold", fold).withColumn("hidden", hidden), labelled, "url").collect())
+    if not sample:
+        return Trees(np.empty((0, 12)), np.empty(0), np.empty(0)), suffix_rates(total, overall)
+    columns = [pa.array([r[c] for r in sample], pa.string()) for c in ("url", "host", "path")]
+    suffix, own = np.array([r.suffix for r in sample]), np.array([r.fold for r in sample])
+    others = suffix_rates(total[suffix] - counts[suffix, own], overall)
+    x = features(*columns, np.where([r.hidden for r in sample], overall, others))
+    return Trees(x, np.array([r.label == "block" for r in sample], float), np.log1p(np.array([r.n for r in sample], float))), suffix_rates(total, overall)
+
+
 def filter_urls(pages: DataFrame, rules=RULES, labelled: int = LABELLED) -> DataFrame:
     """One row per page: page_id, url, host, path, rule, score (of being blocked), verdict."""
     spark = pages.sparkSession
@@ -152,21 +184,7 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: int = LABELLED) -> Data
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     rows = (rows.withColumn("rule", rule).withColumn("label", verdict)
             .withColumn("suffix", F.pmod(F.xxhash64(F.substring_index("host", ".", -1)), F.lit(SUFFIXES)).cast("int")))
-    known = rows.filter("label is not null")
-    blocked = (F.col("label") == "block").cast("int")
-    counts = np.zeros((SUFFIXES, 2))
-    for suffix, n, b in known.groupBy("suffix").agg(F.count("*"), F.sum(blocked)).collect():  # at most SUFFIXES rows
-        counts[suffix] = n, b
-    overall = counts[:, 1].sum() / max(1.0, counts[:, 0].sum())
-    rates = (counts[:, 1] + 10 * overall) / (counts[:, 0] + 10)
-    distinct = known.groupBy("url").agg(*[F.first(c).alias(c) for c in ("host", "path", "label", "suffix")], F.count("*").alias("n"))
-    sample = sorted(hashed_sample(distinct, labelled, "url").collect())
-    if sample:
-        columns = [pa.array([r[c] for r in sample], pa.string()) for c in ("url", "host", "path")]
-        x = features(*columns, rates[[r.suffix for r in sample]])
-        trees = Trees(x, np.array([r.label == "block" for r in sample], float), np.log1p(np.array([r.n for r in sample], float)))
-    else:
-        trees = Trees(np.empty((0, 12)), np.empty(0), np.empty(0))
+    trees, rates = fit_trees(rows.filter("label is not null"), labelled)
     judged = rows.mapInArrow(_judge(spark.sparkContext.broadcast((trees, rates))),
                              "page_id long, url string, host string, path string, rule string, label string, score double")
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
