@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from stacksmith.llm import licenses, urls
 
-RULES = (("allow", "com", "/"), ("block", "net", "/"))
+# The three suffixes are made of the same letters, so that no other feature tells them apart.
+RULES = (("allow", "com", "/"), ("block", "cmo", "/"))
 
 
 def _verdicts(spark, n_com, n_net):
     name = lambda i: f"http://h{100 + 7 * i % 900}"  # noqa: E731  (one length, so that only the suffix tells)
-    hosts = [f"{name(i)}.com/{i % 7}" for i in range(n_com)] + [f"{name(i)}.net/{i % 7}" for i in range(n_net)]
-    new = [f"{name(i)}.org/{i % 7}" for i in range(200)]
+    hosts = [f"{name(i)}.com/{i % 7}" for i in range(n_com)] + [f"{name(i)}.cmo/{i % 7}" for i in range(n_net)]
+    new = [f"{name(i)}.ocm/{i % 7}" for i in range(200)]
     pages = spark.createDataFrame(list(enumerate(hosts + new)), "page_id long, url string")
     rows = urls.filter_urls(pages, RULES).filter("rule is null").collect()
     assert len(rows) == 200
