@@ -32,6 +32,8 @@ CAPACITY = 2048
 END_ID = 0
 #: A worker's table of known parts, and the ids it has room for.
 SLOTS, POOL = 1 << 20, 8_000_000
+#: Copies of a piece that one task makes at a time.
+COPIES = 4096
 RANK_BUCKETS = 1024
 
 _PART = ~np.isin(np.arange(256), (10, 32))
@@ -276,20 +278,28 @@ def _place(table):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to a table of pieces (doc_id, piece, length, and any more columns)."""
+    """Add sequence_id and offset to a table of pieces (doc_id, piece, length, and any more columns but maps).
+
+    Equal pieces are one row with a count until they get their places, so neither a repeated id nor a
+    repeated piece gathers in one task, and a task that runs again gives the same ranks.
+    """
     spark = pieces.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(RANK_BUCKETS))
-    rows = pieces.withColumn("__bucket", bucket)
-    counts = rows.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
+    cols = pieces.columns
+    kinds = pieces.groupBy(*cols).agg(F.count("*").alias("__copies"))
+    rows = written(kinds.withColumn("__bucket", F.pmod(F.xxhash64(*cols), F.lit(RANK_BUCKETS))), "piece-kinds")
+    counts = rows.groupBy("length", "__bucket").agg(F.sum("__copies").alias("__n"))
     totals = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("__n")).collect()}  # at most ``capacity`` rows
     table = spark.sparkContext.broadcast(places(plan_lengths(totals, capacity)))
-    # Both windows are bounded: RANK_BUCKETS rows a length, and one bucket of one length.
+    # Both windows are bounded: RANK_BUCKETS rows a length, and the kinds in one bucket of one length.
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("__n"))
-    order = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "start")
-    ranked = (rows.withColumn("__nth", F.row_number().over(order) - 1)
-              .join(before.drop("__n"), ["length", "__bucket"])
-              .withColumn("rank", F.col("__before") + F.col("__nth"))
-              .select(*pieces.columns, "rank"))
+    order = Window.partitionBy("length", "__bucket").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
+    first = (rows.withColumn("__nth", F.sum("__copies").over(order) - F.col("__copies")).join(before.drop("__n"), ["length", "__bucket"])
+             .withColumn("__first", F.col("__before") + F.col("__nth")))
+    # Copies come back in runs of COPIES, dealt anew, so that no task makes all of a frequent piece.
+    runs = first.select(*cols, "__copies", "__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1, F.lit(COPIES).cast("long"))).alias("__run"))
+    runs = runs.repartition(F.col("__first") + F.col("__run"))
+    last = F.least(F.col("__run") + COPIES, F.col("__copies")) - 1
+    ranked = runs.select(*cols, F.explode(F.sequence(F.col("__first") + F.col("__run"), F.col("__first") + last)).alias("rank"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.mapInArrow(_place(table), f"{schema}, sequence_id long, offset long")
 
