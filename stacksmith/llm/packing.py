@@ -297,7 +297,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
              .withColumn("__first", F.col("__before") + F.col("__nth")))
     # Copies come back in runs of COPIES, dealt anew, so that no task makes all of a frequent piece.
     runs = first.select(*cols, "__copies", "__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1, F.lit(COPIES).cast("long"))).alias("__run"))
-    runs = runs.repartition(F.col("__first") + F.col("__run"))
+    runs = runs.repartition("length", "__first", "__run")
     last = F.least(F.col("__run") + COPIES, F.col("__copies")) - 1
     ranked = runs.select(*cols, F.explode(F.sequence(F.col("__first") + F.col("__run"), F.col("__first") + last)).alias("rank"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
