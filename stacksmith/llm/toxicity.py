@@ -1,20 +1,25 @@
 """Toxicity from the nearest labelled examples by TF-IDF cosine.
 
 Examples are a documented sample: at most EXAMPLES labelled training rows a
-class, smallest id hash first; each class keeps its weight in all training
-rows.  Terms are the words, and the word beginnings of BEGINNINGS bytes (inflected forms
-share them), whose presence goes with the label beyond chance
-(chi-squared, corrected for the number of terms tested, and at least LIFT-fold
-odds; TERMS at most) among
-examples, of which one a label stays of each group of near copies (runs of RUN words, Jaccard similarity NEAR);
-document frequencies of those terms come from all documents.  Examples with
-equal vectors are one entry.  A block-max inverted index over the entries gives
-an upper bound for each block of BLOCK entries; blocks are scored exactly in the
-order of their bounds until no bound reaches the neighbours found, so the
-neighbours are exact.  Entries vote with weight 1 / (distance + SOFT), ties of
-the last similarity included.  Leave-one-out votes of the examples, made
-monotone, calibrate the score; a document without any term gets the calibrated
-rate of the examples without one.
+class, smallest id hash first, of which one a label stays of each group of near
+copies (runs of RUN words, Jaccard similarity NEAR).  Their words tell which
+terms, words or word beginnings of BEGINNINGS bytes (inflected forms share
+them), go with the label beyond chance (chi-squared, corrected for the number of
+terms tested, and at least LIFT-fold odds).  At most INDEXED examples a class,
+smallest id hash first, are indexed; each class keeps its weight in all training
+rows.  A vector holds every word of the indexed examples and every term that
+goes with the label: (1 + log count) * idf, with document frequencies of all
+documents, times ORDINARY for terms that do not go with the label; cosines are
+exact.  Words in no indexed example are no part of a vector; a text with a term that
+goes with the label has its number of words besides.
+
+Examples with equal vectors are one entry.  A block-max inverted index over the
+entries gives an upper bound for each block of BLOCK entries; blocks are scored
+exactly in the order of their bounds until no bound reaches the neighbours
+found, so the neighbours are exact.  Entries vote with weight 1 / (distance +
+SOFT), ties of the last similarity included.  Leave-one-out votes of the
+examples, made monotone, calibrate the score; a document without any term gets
+the calibrated rate of the examples without one.
 
 Scores use the text alone.  Null text: empty.  Labels other than 0 and 1, null
 ids and labels of held-out ids are ignored; several labels of one id: the
@@ -23,6 +28,7 @@ largest; several texts of one id: one of them is the example, once.  Equal rows
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -38,8 +44,12 @@ from stacksmith.llm.shared import hashed_sample, text_col, written
 #: Labelled training rows of each class at most.
 EXAMPLES = 10_000
 BEGINNINGS = (4, 5, 6)
-#: Terms at most, the chance that any term is kept by accident, and how much it must change the label's odds.
-TERMS, ALPHA, LIFT = 4096, 0.01, 4.0
+#: Examples of each class in the index at most.
+INDEXED = 1000
+#: The chance that any term goes with the label by accident, and how much it must change the label's odds.
+ALPHA, LIFT = 0.01, 4.0
+#: Weight of a term that does not go with the label, beside 1 of one that does.
+ORDINARY = 0.05
 NEIGHBOURS = 25
 BLOCK = 128
 #: Jaccard similarity of the runs of RUN words from which examples are near copies.
@@ -53,8 +63,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD
 
 
-def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, rows, word rows, word hashes, term rows, term hashes, hashes of the terms' beginnings), slice by slice.
+def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, word rows, term rows, term hashes, hashes of the terms' beginnings), slice by slice.
 
     Terms are words and their beginnings; the longest shorter beginning of a term is its parent, 0 without one.
     """
@@ -69,7 +79,7 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
             terms.append(beginning)
             parents.append(parent[long])
             parent[long] = beginning
-        yield lo, hi - lo, doc, h, *(np.concatenate(x) for x in ([doc, *docs], [h, *terms], [parent, *parents]))
+        yield lo, hi - lo, doc, *(np.concatenate(x) for x in ([doc, *docs], [h, *terms], [parent, *parents]))
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +94,7 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, toxic, terms, parents) of each example: its distinct terms."""
     for batch in batches:
-        for lo, m, _, _, term_doc, term, parent in _terms(batch.column(2)):
+        for lo, m, _, term_doc, term, parent in _terms(batch.column(2)):
             row, word, _ = _distinct(term_doc, term)
             at = np.argsort(term, kind="stable")
             parent = parent[at[np.searchsorted(term[at], word)]] if len(word) else word
@@ -124,36 +134,66 @@ def _outermost(terms: dict[int, tuple[int, float]]) -> list[int]:
     return [x for t in under.get(0, ()) for x in best(t)[1]]
 
 
-def _known(known: np.ndarray, n: int, words: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, term, count) of the chosen terms in each of n rows.
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h) of each word of the examples, once a batch; beginnings are none."""
+    for batch in batches:
+        for _, _, buf, offs in T.slices(batch.column(2)):
+            starts, ends, _ = T.words(buf, offs, T.ALNUM)
+            yield pa.record_batch([pa.array(np.unique(T.word_hashes(buf, starts, ends)).view(np.int64))], names=["h"])
+
 
-    Rows with any get one term more, ``len(known)``: all their words, counted in
-    half powers of two, so that one hit in a long text is not one in a short text.
+class Vocabulary:
+    """Numbers of terms by their hashes.
+
+    Rows with any term that goes with the label get one term more, the last: all their words,
+    counted in half powers of two, so that one hit in a long text is not one in a short text.
     """
-    none = np.empty(0, np.int64)
-    if not len(known) or not len(h):
-        return np.zeros(n + 1, np.int64), none, none
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    hit = known[at] == h
-    doc, at, count = _distinct(doc[hit], at[hit])
-    some = np.unique(doc)
-    size = np.exp2(np.round(2 * np.log2(np.bincount(words, minlength=n)[some])) / 2).astype(np.int64)
-    doc, at, count = (np.concatenate(x) for x in ((doc, some), (at, np.full(len(some), len(known))), (count, size)))
-    order = np.lexsort((at, doc))
-    return np.searchsorted(doc[order], np.arange(n + 1)), at[order], count[order]
-
-
-def _term_rows(terms):
-    """(doc_id, text_key, terms, counts) of every document, restricted to the chosen terms."""
+
+    def __init__(self, hashes: np.ndarray, labelled: int) -> None:
+        """hashes: in the order of their numbers, the ``labelled`` first ones go with the label."""
+        self.number, self.labelled = np.argsort(hashes), labelled
+        self.hashes = hashes[self.number]
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def rows(self, n: int, words: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, term, count): the terms of row i of n, ascending, are those from first[i] to first[i + 1]."""
+        if not len(self) or not len(h):
+            return np.zeros(n + 1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self) - 1)
+        hit = self.hashes[at] == h
+        doc, term, count = _distinct(doc[hit], self.number[at[hit]])
+        some = np.unique(doc[term < self.labelled])
+        if len(some):
+            size = np.exp2(np.round(2 * np.log2(np.bincount(words, minlength=n)[some])) / 2).astype(np.int64)
+            last = np.searchsorted(doc, some, "right")
+            doc, term, count = (np.insert(a, last, b) for a, b in ((doc, some), (term, len(self)), (count, size)))
+        return np.searchsorted(doc, np.arange(n + 1)), term, count
+
+
+def _term_rows(vocabulary):
+    """(doc_id, toxic, terms, counts) of every example."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = terms.value
         for batch in batches:
-            for lo, m, words, _, doc, h, _ in _terms(batch.column(2)):
-                first, at, n = _known(known, m, words, doc, h)
-                offsets = pa.array(first.astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (at, n)]
+            for lo, m, words, doc, h, _ in _terms(batch.column(2)):
+                first, *columns = vocabulary.value.rows(m, words, doc, h)
+                lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x.astype(np.int32))) for x in columns]
                 yield pa.record_batch([batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), *lists],
-                                      names=["doc_id", "text_key", "terms", "counts"])
+                                      names=["doc_id", "toxic", "terms", "counts"])
+    return run
+
+
+def _frequencies(vocabulary):
+    """(term, n): documents of the partition that hold a term; under -1 all of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, df = 0, np.zeros(len(vocabulary.value) + 1, np.int64)
+        for batch in batches:
+            for _, m, words, doc, h, _ in _terms(batch.column(0)):
+                total += m
+                df += np.bincount(vocabulary.value.rows(m, words, doc, h)[1], minlength=len(df))
+        some = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], names=["term", "n"])
     return run
 
 
@@ -192,15 +232,14 @@ class Index:
             if not group:
                 break
             at, width = at + width, 2 * width
-            sims = np.zeros((len(group), BLOCK))
-            for t, v in zip(terms.tolist(), values.tolist()):
-                for i, b in enumerate(group):
-                    lo, hi = self.starts[t * self.n_blocks + b], self.starts[t * self.n_blocks + b + 1]
-                    if lo < hi:
-                        sims[i, self.rows[lo:hi] - b * BLOCK] += v * self.values[lo:hi]
-            i, some = np.nonzero(sims > 0)
-            found_e = np.concatenate([found_e, np.array(group)[i] * BLOCK + some])
-            found_s = np.concatenate([found_s, sims[i, some]])
+            # All postings of the terms in these blocks, as one array.
+            cells = (terms[:, None] * self.n_blocks + np.array(group)).ravel()
+            first, size = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
+            at_posting = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            rows = self.rows[at_posting]
+            sims = np.bincount(rows, np.repeat(np.repeat(values, len(group)), size) * self.values[at_posting])
+            some = np.flatnonzero(sims > 0)
+            found_e, found_s = np.concatenate([found_e, some]), np.concatenate([found_s, sims[some]])
             order = np.argsort(-found_s, kind="stable")
             size = self.sizes[found_e[order]].copy()
             if without >= 0:
@@ -302,11 +341,11 @@ class Model:
         v = (1 + np.log(counts)) * self.idf[terms]
         return v / np.linalg.norm(v)
 
-    def score(self, terms: tuple[int, ...], counts: tuple[int, ...]) -> tuple[float, list[tuple[int, float]]]:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
         """Calibrated score in [0, 1] and (example id, similarity) of up to three neighbours."""
-        if not terms or self.index is None:
+        if not len(terms) or self.index is None:
             return self.empty, []
-        near, sims = self.index.nearest(np.array(terms), self.vector(np.array(terms), np.array(counts)))
+        near, sims = self.index.nearest(terms, self.vector(terms, counts))
         raw = self.index.vote(near, sims)
         if math.isnan(raw):
             return self.prior, []
@@ -316,17 +355,29 @@ class Model:
         return min(1.0, max(0.0, step + 1e-6 * (raw - 0.5))), evidence
 
 
-def _scored(model):
+class Judge:
+    """Scores of texts; equal vectors are scored once as long as they are remembered."""
+
+    def __init__(self, model: Model, vocabulary: Vocabulary) -> None:
+        self.model, self.vocabulary, self.memo = model, vocabulary, {}
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[float, list[tuple[int, float]]]]:
+        for _, m, words, doc, h, _ in _terms(column):
+            first, terms, counts = self.vocabulary.rows(m, words, doc, h)
+            for a, b in zip(first.tolist(), first[1:].tolist()):
+                key = hashlib.blake2b(terms[a:b].tobytes() + counts[a:b].tobytes(), digest_size=16).digest()
+                if key not in self.memo:
+                    if len(self.memo) > MEMO:
+                        self.memo.clear()
+                    self.memo[key] = self.model.score(terms[a:b], counts[a:b])
+                yield self.memo[key]
+
+
+def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memo = model.value, {}
+        judge = Judge(*shared.value)
         for batch in batches:
-            out = []
-            for key in zip(map(tuple, batch.column("terms").to_pylist()), map(tuple, batch.column("counts").to_pylist())):
-                if key not in memo:
-                    if len(memo) > MEMO:
-                        memo.clear()
-                    memo[key] = m.score(*key)
-                out.append(memo[key])
+            out = list(judge(batch.column("text")))
             near = pa.array([[{"doc_id": d, "similarity": s} for d, s in e] for _, e in out],
                             pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])))
             yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array([s for s, _ in out], pa.float64()), near],
@@ -334,79 +385,78 @@ def _scored(model):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> tuple[Model, np.ndarray, DataFrame]:
-    """(model, hashes of its terms, term rows of all documents)."""
+def _label_terms(found: DataFrame) -> list[int]:
+    """Hashes of the terms that go with the label among examples (toxic, terms, parents), surest first."""
+    words = written(found.select("toxic", F.explode(F.arrays_zip("terms", "parents")).alias("z")).groupBy(F.col("z.terms").alias("h"))
+                    .agg(F.first("z.parents").alias("parent"), F.sum("toxic").cast("double").alias("t"), F.count("*").cast("double").alias("n")).filter("n >= 3"), "words")
+    used = {r[0]: r[1] for r in found.groupBy("toxic").count().collect()}
+    n0, n1 = used.get(0, 0), used.get(1, 0)
+    if not n0 or not n1:
+        return []
+    n = float(n0 + n1)
+    chi = F.expr(f"{n} * pow(t * ({n0} - (n - t)) - (n - t) * ({n1} - t), 2) / ({float(n0)} * {n1} * n * ({n} - n))")
+    tested = max(1, words.count())
+    odds = F.expr(f"(t + 0.5) * ({n0} - (n - t) + 0.5) / ((n - t + 0.5) * ({n1} - t + 0.5))")
+    # Words of at most 2 * EXAMPLES texts that pass a test for all of them.
+    rows = (words.filter(F.col("n") < n).withColumn("chi", chi).filter(F.col("chi") > 2 * math.log(tested / ALPHA))
+            .filter((odds >= LIFT) | (odds <= 1 / LIFT)).collect())
+    terms = {r.h: (r.parent, r.chi) for r in rows}
+    return sorted(_outermost(terms), key=lambda h: (-terms[h][1], h))
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, indexed: int = INDEXED) -> tuple[Model, Vocabulary, DataFrame]:
+    """(model, its vocabulary, doc_id, text_key and text of all documents)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_col()).alias("text_key"), text_col().alias("text"))
     train = (labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id is not null and toxic in (0, 1)")
              .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     size = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
-    picked = None
-    for label in (0, 1):
-        part = hashed_sample(train.filter(F.col("toxic") == label), examples, "doc_id")
-        picked = part if picked is None else picked.union(part)
-    picked = F.broadcast(written(picked, "examples"))  # 2 * ``examples`` rows at most
+
+    def of_each_label(rows: DataFrame, n: int) -> DataFrame:
+        return hashed_sample(rows.filter("toxic = 0"), n, "doc_id").union(hashed_sample(rows.filter("toxic = 1"), n, "doc_id"))
+
+    picked = F.broadcast(written(of_each_label(train, examples), "examples"))  # 2 * ``examples`` rows at most
     # A labelled id is one example, however often it is repeated: its text with the smallest hash.
     texts_of = written(texts.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", "text_key").alias("text")), "examples-texts")
-    found = written(texts_of.select("doc_id", "toxic", "text").mapInArrow(
+    kept = F.broadcast(_one_of_each(texts_of))  # 2 * ``examples`` rows at most, as all of these
+    found = written(texts_of.select("doc_id", "toxic", "text").join(kept, "doc_id").mapInArrow(
         _example_words, "doc_id long, toxic int, terms array<long>, parents array<long>"), "example-words")
-    found = found.join(F.broadcast(_one_of_each(texts_of)), "doc_id")  # 2 * ``examples`` rows at most, as all of these
-    words = written(found.select("toxic", F.explode(F.arrays_zip("terms", "parents")).alias("z")).groupBy(F.col("z.terms").alias("h"))
-                    .agg(F.first("z.parents").alias("parent"), F.sum("toxic").cast("double").alias("t"), F.count("*").cast("double").alias("n")).filter("n >= 3"), "words")
-    used = {r[0]: r[1] for r in found.groupBy("toxic").count().collect()}
-    n0, n1 = used.get(0, 0), used.get(1, 0)
-    chosen = np.empty(0, np.uint64)
-    if n0 and n1:
-        n = float(n0 + n1)
-        chi = F.expr(f"{n} * pow(t * ({n0} - (n - t)) - (n - t) * ({n1} - t), 2) / ({float(n0)} * {n1} * n * ({n} - n))")
-        tested = max(1, words.count())
-        odds = F.expr(f"(t + 0.5) * ({n0} - (n - t) + 0.5) / ((n - t + 0.5) * ({n1} - t + 0.5))")
-        rows = (words.filter(F.col("n") < n).withColumn("chi", chi).filter(F.col("chi") > 2 * math.log(tested / ALPHA))
-                .filter((odds >= LIFT) | (odds <= 1 / LIFT))
-                .orderBy(F.desc("chi"), "h").limit(terms).collect())
-        chosen = np.sort(np.array(_outermost({r.h: (r.parent, r.chi) for r in rows}), np.int64).view(np.uint64))
-    table = written(texts.mapInArrow(_term_rows(spark.sparkContext.broadcast(chosen)),
-                                     "doc_id long, text_key long, terms array<int>, counts array<int>"), "term-rows")
-    total = table.count()
-    df = np.zeros(len(chosen) + 1)
-    for t, c in table.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        df[t] = c
-    idf = np.log((1 + total) / (1 + df)) + 1
-    idf[-1] = 1.0  # every text has words
-    vectors = texts_of.select("doc_id", F.col("toxic").cast("long").alias("text_key"), "text").mapInArrow(
-        _term_rows(spark.sparkContext.broadcast(chosen)), table.schema)
-    vectors = vectors.toArrow().sort_by("doc_id")  # the label in place of the key
+    label_terms = _label_terms(found)
+    # Near copies are no evidence of a word's label, but neighbours like any other example.
+    entries = written(texts_of.join(F.broadcast(of_each_label(texts_of.select("doc_id", "toxic"), indexed)), ["doc_id", "toxic"])
+                      .select("doc_id", "toxic", "text"), "indexed-texts")  # 2 * ``indexed`` rows at most
+    known = entries.mapInArrow(_words, "h long").distinct().toArrow().column("h").to_numpy()
+    chosen = np.array(label_terms, np.int64)
+    vocabulary = Vocabulary(np.concatenate([chosen, np.setdiff1d(known, chosen)]).view(np.uint64), len(chosen))
+    shared = spark.sparkContext.broadcast(vocabulary)
+    counts = texts.select("text").mapInArrow(_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (counts.column(c).to_numpy() for c in ("term", "n"))
+    df, total = np.zeros(len(vocabulary) + 1), n[term < 0].sum()
+    df[term[term >= 0]] = n[term >= 0]
+    weight = np.log((1 + total) / (1 + df)) + 1
+    weight[len(chosen):] *= ORDINARY
+    weight[-1] = 1.0  # every text has words
+    vectors = entries.mapInArrow(_term_rows(shared), "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
     rows = Rows(*(vectors[c].combine_chunks() for c in vectors.column_names))
-    weight = tuple(size.get(c, 0) / max(1, int((rows.labels == c).sum())) for c in (0, 1))
-    return Model(idf, rows, weight), chosen, table
+    behind = tuple(size.get(c, 0) / max(1, int((rows.labels == c).sum())) for c in (0, 1))
+    return Model(weight, rows, behind), vocabulary, texts
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, indexed: int = INDEXED) -> DataFrame:
     """One row per document: doc_id, text_key, score in [0, 1], evidence (nearest examples with similarity)."""
-    model, _, table = fit(docs, labels, examples, terms)
-    return table.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)),
+    model, vocabulary, texts = fit(docs, labels, examples, indexed)
+    return texts.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast((model, vocabulary))),
                             "doc_id long, text_key long, score double, evidence array<struct<doc_id:bigint,similarity:double>>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; texts are judged where they are, without a shuffle."""
-    model, chosen, _ = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((model, chosen))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)[:2])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (m, known), memo = shared.value, {}
+        judge = Judge(*shared.value)
         for batch in batches:
-            keep = []
-            for _, n, words, _, doc, h, _ in _terms(batch.column(at)):
-                first, terms, counts = _known(known, n, words, doc, h)
-                for a, b in zip(first.tolist(), first[1:].tolist()):
-                    key = tuple(terms[a:b].tolist()), tuple(counts[a:b].tolist())
-                    if key not in memo:
-                        if len(memo) > MEMO:
-                            memo.clear()
-                        memo[key] = m.score(*key)[0] < threshold
-                    keep.append(memo[key])
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([score < threshold for score, _ in judge(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
