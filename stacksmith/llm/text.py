@@ -93,14 +93,24 @@ def words(buf: np.ndarray, offs: np.ndarray, rule: np.ndarray,
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offs, starts, "right") - 1
 
 
+def byte_sums(buf: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Prefix sums of a polynomial over the (lower-cased) bytes, for ``span_hashes``."""
+    p, _ = _power(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(((LOWER[buf] if lower else buf).astype(np.uint64) + np.uint64(1)) * p[:len(buf)], out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of the bytes behind ``sums``."""
+    return mix((sums[ends] - sums[starts]) * _power(len(sums))[1][starts])
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hash of each (lower-cased) word, from prefix sums of a polynomial over the bytes."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    p, inv = _power(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(((LOWER[buf] if lower else buf).astype(np.uint64) + np.uint64(1)) * p[:len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inv[starts])
+    return span_hashes(byte_sums(buf, lower), starts, ends)
 
 
 def shingle_hashes(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -52,6 +52,8 @@ ALPHA, LIFT = 0.01, 4.0
 ORDINARY = 0.05
 NEIGHBOURS = 25
 BLOCK = 128
+#: Postings of a term in at least this share of the entries are kept as whole blocks.
+DENSE = 1 / 8
 #: Jaccard similarity of the runs of RUN words from which examples are near copies.
 RUN, NEAR = 5, 0.8
 SOFT = 0.05
@@ -70,11 +72,12 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
     """
     for lo, hi, buf, offs in T.slices(column):
         starts, ends, doc = T.words(buf, offs, T.ALNUM)
-        h = T.word_hashes(buf, starts, ends)
+        sums = T.byte_sums(buf)
+        h = T.span_hashes(sums, starts, ends)
         parent, docs, terms, parents = np.zeros(len(h), np.uint64), [], [], []
         for n in BEGINNINGS:
             long = np.flatnonzero(ends - starts > n)
-            beginning = T.mix(T.word_hashes(buf, starts[long], starts[long] + n) + np.uint64(n))
+            beginning = T.mix(T.span_hashes(sums, starts[long], starts[long] + n) + np.uint64(n))
             docs.append(doc[long])
             terms.append(beginning)
             parents.append(parent[long])
@@ -153,17 +156,25 @@ class Vocabulary:
         """hashes: in the order of their numbers, the ``labelled`` first ones go with the label."""
         self.number, self.labelled = np.argsort(hashes), labelled
         self.hashes = hashes[self.number]
+        label = self.number < labelled
+        self.known, self.known_label = (self.hashes, self.number), (self.hashes[label], self.number[label])
 
     def __len__(self) -> int:
         return len(self.hashes)
 
     def rows(self, n: int, words: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, term, count): the terms of row i of n, ascending, are those from first[i] to first[i + 1]."""
-        if not len(self) or not len(h):
-            return np.zeros(n + 1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self) - 1)
-        hit = self.hashes[at] == h
-        doc, term, count = _distinct(doc[hit], self.number[at[hit]])
+        # Beginnings are terms only if they go with the label.
+        keys = [np.empty(0, np.int64)]
+        for (hashes, number), part in ((self.known, slice(len(words))), (self.known_label, slice(len(words), None))):
+            if len(hashes) and len(h[part]):
+                at = np.minimum(np.searchsorted(hashes, h[part]), len(hashes) - 1)
+                hit = np.flatnonzero(hashes[at] == h[part])
+                keys.append(doc[part][hit] * (len(self) + 1) + number[at[hit]])
+        keys = np.sort(np.concatenate(keys))
+        at = np.flatnonzero(np.diff(keys, prepend=-1))
+        count = np.diff(np.append(at, len(keys)))
+        doc, term = np.divmod(keys[at], len(self) + 1)
         some = np.unique(doc[term < self.labelled])
         if len(some):
             size = np.exp2(np.round(2 * np.log2(np.bincount(words, minlength=n)[some])) / 2).astype(np.int64)
@@ -215,10 +226,17 @@ class Index:
         self.rows, self.values = row[by], value[by]
         self.n_blocks = -(-len(entries) // BLOCK)
         # Where the postings of a term in a block begin.
-        self.starts = np.searchsorted(term[by] * self.n_blocks + self.rows // BLOCK, np.arange(n_terms * self.n_blocks + 1))
-        self.most = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.most, (term, row // BLOCK), value)
+        self.starts = np.searchsorted(term[by] * self.n_blocks + self.rows // BLOCK, np.arange(n_terms * self.n_blocks + 1)).astype(np.int32)
+        # Rounded up, so that a bound stays one.
+        self.most = np.zeros((n_terms, self.n_blocks), np.float32)
+        np.maximum.at(self.most, (term, row // BLOCK), np.nextafter(value.astype(np.float32), np.float32(2)))
         self.sizes = weights[self.order, 2]
+        often = np.flatnonzero(np.bincount(term, minlength=n_terms) >= DENSE * len(entries))
+        self.dense_row = np.full(n_terms, -1, np.int32)
+        self.dense_row[often] = np.arange(len(often))
+        dense = self.dense_row[term] >= 0
+        self.dense = np.zeros((len(often), self.n_blocks, BLOCK))
+        self.dense.reshape(len(often), self.n_blocks * BLOCK)[self.dense_row[term[dense]], row[dense]] = value[dense]
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(entries, similarities) of the nearest entries that hold k examples, with ties of the last; similarity above 0."""
@@ -226,20 +244,30 @@ class Index:
         blocks = np.argsort(-bounds, kind="stable")
         blocks = blocks[bounds[blocks] > 0].tolist()
         found_e, found_s, enough, at, width = np.empty(0, np.int64), np.empty(0), 0.0, 0, 4
+        dense = self.dense_row[terms]
+        rare, often, rare_values, often_values = terms[dense < 0], dense[dense >= 0], values[dense < 0], values[dense >= 0]
         while at < len(blocks):
-            # A few blocks a step, best bounds first; a bound that cannot reach the neighbours found ends the search.
+            # A few blocks, best bounds first, then all others; a bound that cannot reach the neighbours found ends the search.
             group = [b for b in blocks[at:at + width] if bounds[b] >= enough - 1e-12]
             if not group:
                 break
-            at, width = at + width, 2 * width
-            # All postings of the terms in these blocks, as one array.
-            cells = (terms[:, None] * self.n_blocks + np.array(group)).ravel()
-            first, size = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
+            at, width = at + width, len(blocks)
+            # All postings of the rarer terms in these blocks, as one array; then the whole blocks of the others.
+            cells = (rare[:, None] * self.n_blocks + np.array(group)).ravel()
+            first = self.starts[cells]
+            size = self.starts[cells + 1] - first
             at_posting = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-            rows = self.rows[at_posting]
-            sims = np.bincount(rows, np.repeat(np.repeat(values, len(group)), size) * self.values[at_posting])
+            sims = np.bincount(self.rows[at_posting], np.repeat(rare_values, size.reshape(len(rare), len(group)).sum(axis=1)) * self.values[at_posting],
+                               minlength=self.n_blocks * BLOCK).astype(float, copy=False)
+            if len(often):
+                whole = self.dense[np.ix_(often, group)].reshape(len(often), -1)
+                sims.reshape(self.n_blocks, BLOCK)[group] += (often_values @ whole).reshape(len(group), BLOCK)
             some = np.flatnonzero(sims > 0)
             found_e, found_s = np.concatenate([found_e, some]), np.concatenate([found_s, sims[some]])
+            if len(found_s) > k + 1:
+                # Each entry is an example at least, but for the one left out.
+                near = np.flatnonzero(found_s >= np.partition(found_s, -k - 1)[-k - 1] - 1e-12)
+                found_e, found_s = found_e[near], found_s[near]
             order = np.argsort(-found_s, kind="stable")
             size = self.sizes[found_e[order]].copy()
             if without >= 0:
