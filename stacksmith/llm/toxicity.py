@@ -94,17 +94,18 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return doc[first], h[first], np.diff(np.append(first, len(h)))
 
 
-def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toxic, terms, parents) of each example: its distinct terms."""
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, parent, t, n) of each term of examples (doc_id, toxic, text): toxic ones and all that hold it, slice by slice."""
     for batch in batches:
-        for lo, m, _, term_doc, term, parent in _terms(batch.column(2)):
-            row, word, _ = _distinct(term_doc, term)
+        toxic = batch.column(1).to_numpy()
+        for lo, m, _, doc, term, parent in _terms(batch.column(2)):
+            row, held, _ = _distinct(doc, term)
+            h, number = np.unique(held, return_inverse=True)
             at = np.argsort(term, kind="stable")
-            parent = parent[at[np.searchsorted(term[at], word)]] if len(word) else word
-            words, above = (pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(m + 1)).astype(np.int32)), pa.array(x.view(np.int64)))
-                            for x in (word, parent))
-            yield pa.record_batch([batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), words, above],
-                                  names=["doc_id", "toxic", "terms", "parents"])
+            parent = parent[at[np.searchsorted(term[at], h)]] if len(h) else h
+            n = np.bincount(number, minlength=len(h))
+            t = np.bincount(number, toxic[lo:lo + m][row], minlength=len(h)).astype(np.int64)
+            yield pa.record_batch([pa.array(x.view(np.int64)) for x in (h, parent, t, n)], names=["h", "parent", "t", "n"])
 
 
 def _one_of_each(texts: DataFrame) -> DataFrame:
@@ -413,11 +414,11 @@ def _scored(shared):
     return run
 
 
-def _label_terms(found: DataFrame) -> list[int]:
-    """Hashes of the terms that go with the label among examples (toxic, terms, parents), surest first."""
-    words = written(found.select("toxic", F.explode(F.arrays_zip("terms", "parents")).alias("z")).groupBy(F.col("z.terms").alias("h"))
-                    .agg(F.first("z.parents").alias("parent"), F.sum("toxic").cast("double").alias("t"), F.count("*").cast("double").alias("n")).filter("n >= 3"), "words")
-    used = {r[0]: r[1] for r in found.groupBy("toxic").count().collect()}
+def _label_terms(examples: DataFrame) -> list[int]:
+    """Hashes of the terms that go with the label among ``examples`` (doc_id, toxic, text), surest first."""
+    words = written(examples.mapInArrow(_example_terms, "h long, parent long, t long, n long").groupBy("h")
+                    .agg(F.first("parent").alias("parent"), F.sum("t").cast("double").alias("t"), F.sum("n").cast("double").alias("n")).filter("n >= 3"), "words")
+    used = {r[0]: r[1] for r in examples.groupBy("toxic").count().collect()}
     n0, n1 = used.get(0, 0), used.get(1, 0)
     if not n0 or not n1:
         return []
@@ -447,9 +448,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, indexed: i
     # A labelled id is one example, however often it is repeated: its text with the smallest hash.
     texts_of = written(texts.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", "text_key").alias("text")), "examples-texts")
     kept = F.broadcast(_one_of_each(texts_of))  # 2 * ``examples`` rows at most, as all of these
-    found = written(texts_of.select("doc_id", "toxic", "text").join(kept, "doc_id").mapInArrow(
-        _example_words, "doc_id long, toxic int, terms array<long>, parents array<long>"), "example-words")
-    label_terms = _label_terms(found)
+    label_terms = _label_terms(texts_of.select("doc_id", "toxic", "text").join(kept, "doc_id"))
     # Near copies are no evidence of a word's label, but neighbours like any other example.
     entries = written(texts_of.join(F.broadcast(of_each_label(texts_of.select("doc_id", "toxic"), indexed)), ["doc_id", "toxic"])
                       .select("doc_id", "toxic", "text"), "indexed-texts")  # 2 * ``indexed`` rows at most
