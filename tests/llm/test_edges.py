@@ -418,3 +418,21 @@ def test_reply_trees(spark):
     assert every == {("t", 6): (1, ["orphan"]), ("t", 5): (2, ["q", "a1", "u", "end"]), ("t", 3): (3, ["q", "a2"]), ("s", 1): (1, ["only"])}
     chain = spark.createDataFrame([("c", i, i - 1 if i else None, 1.0, "user", str(i)) for i in range(700)], df.schema)
     assert [t.text for t in chat.format_trees(chain).select(chat.read_back(F.col("formatted")).alias("r")).first().r] == [str(i) for i in range(700)]
+
+
+def test_language_model_learns_every_training_text(spark, make_docs):
+    """A corpus of one short text many times: a sample of windows may miss it, the model must not."""
+    text = "the red fox sees one blue bird near old stone walls " * 20
+    got = lm.score_texts(make_docs([(i, text) for i in range(150)]), tokenizer()).select("held_out", "score").distinct().collect()
+    scores = {r.held_out: r.score for r in got}
+    ids = np.append(lm.encoder(tokenizer())(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0], lm.END).astype(np.uint32)
+    classes = lm.Classes(np.bincount(ids, minlength=lm.VOCABULARY) * 128)
+    untrained = lm.Scorer(lm.initial(classes), classes)([ids])[0]
+    assert scores[True] == scores[False] > 0.5 * untrained
+
+
+def test_language_model_rounds_hold_every_text_once(spark):
+    texts = spark.createDataFrame([((i * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63, 4, bytes([i])) for i in range(90)], "h long, n long, ids binary")
+    for shard, times in ((20, 1), (1000, lm.ROUNDS)):
+        seen = [bytes(r.ids) for part, _ in lm.rounds(texts, shard) for r in part.collect()]
+        assert sorted(seen) == sorted([bytes([i]) for i in range(90)] * times)
