@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import json
 import random
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorSlicer
@@ -34,6 +36,16 @@ class _Common(HasFeaturesCol, HasLabelCol, HasProbabilityCol, HasWeightCol, HasS
     def _member(self, name: str, params: dict, features: str) -> Estimator:
         return make_estimator(name, params, features=features, label=self.getLabelCol(), weight=self._weight())
 
+    @contextmanager
+    def _kept(self, df: DataFrame, *more: str) -> Iterator[DataFrame]:
+        """What members read of ``df``, kept on the executors while they are fitted: each fit makes several passes."""
+        names = dict.fromkeys([self.getFeaturesCol(), self.getLabelCol(), *filter(None, [self._weight()]), *more])
+        rows = df.select(*[F.col(f"`{c}`") for c in names]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield rows
+        finally:
+            rows.unpersist()
+
 
 class _Writer(MLWriter):
     def __init__(self, model: "_Members") -> None:
@@ -121,12 +133,12 @@ class ClusterClassifier(Estimator, _Common, _Json, DefaultParamsReadable, Defaul
     def _fit(self, df: DataFrame) -> "ClusterClassifierModel":
         tag, label = _tag(), self.getLabelCol()
         km = KMeans(k=self.getOrDefault("k"), seed=self.getSeed(), featuresCol=self.getFeaturesCol(), predictionCol=f"{tag}c").fit(df)
-        rows = km.transform(df)
-        sizes = {r[0]: (r[1], r[2]) for r in rows.groupBy(f"{tag}c").agg(F.count(F.lit(1)), F.sum(label)).collect()}
-        n, n1 = (sum(v[i] for v in sizes.values()) for i in (0, 1))
-        params, name = json.loads(self.getOrDefault("modelParams")), self.getOrDefault("model")
-        fitted = sorted(c for c, (m, m1) in sizes.items() if 0 < m1 < m)
-        models = [self._member(name, params, self.getFeaturesCol()).fit(rows.filter(F.col(f"{tag}c") == c).drop(f"{tag}c")) for c in fitted]
+        with self._kept(km.transform(df), f"{tag}c") as rows:
+            sizes = {r[0]: (r[1], r[2]) for r in rows.groupBy(f"{tag}c").agg(F.count(F.lit(1)), F.sum(label)).collect()}
+            n, n1 = (sum(v[i] for v in sizes.values()) for i in (0, 1))
+            params, name = json.loads(self.getOrDefault("modelParams")), self.getOrDefault("model")
+            fitted = sorted(c for c, (m, m1) in sizes.items() if 0 < m1 < m)
+            models = [self._member(name, params, self.getFeaturesCol()).fit(rows.filter(F.col(f"{tag}c") == c).drop(f"{tag}c")) for c in fitted]
         return ClusterClassifierModel([km, *models], {"fitted": fitted, "prior": n1 / n if n else 0.0})._of(self)
 
 
@@ -173,14 +185,15 @@ class SubspaceClassifier(Estimator, _Common, _Json, DefaultParamsReadable, Defau
         most = min(self.getOrDefault("most"), size)
         picks = [sorted(rng.sample(range(size), rng.randint(min(self.getOrDefault("least"), most), most))) for _ in range(self.getOrDefault("members"))]
         held = F.pmod(F.xxhash64(F.lit(self.getSeed()), F.to_json(F.struct(F.col(features)))), F.lit(5)) == 0
-        own, valid = df.filter(~held), df.filter(held)
-        params, name = json.loads(self.getOrDefault("modelParams")), self.getOrDefault("model")
-        models = [self._member(name, params, f"{tag}x").fit(VectorSlicer(inputCol=features, outputCol=f"{tag}x", indices=p).transform(own)) for p in picks]
-        fitted = SubspaceClassifierModel(models, {"picks": picks, "weights": [1.0] * len(picks)})._of(self)
-        scored = fitted.scored(valid, tag)
-        names = [f"{tag}p{i}" for i in range(len(picks))]
-        long = scored.select(F.col(label).alias("y"), F.posexplode(F.array(*names)).alias("i", "p"))
-        f1 = {r["i"]: r["f1"] for r in binary_report(long, "y", "p", ["i"]).collect()}
+        with self._kept(df.withColumn(f"{tag}h", held), f"{tag}h") as rows:
+            own, valid = (rows.filter(c).drop(f"{tag}h") for c in (~F.col(f"{tag}h"), F.col(f"{tag}h")))
+            params, name = json.loads(self.getOrDefault("modelParams")), self.getOrDefault("model")
+            models = [self._member(name, params, f"{tag}x").fit(VectorSlicer(inputCol=features, outputCol=f"{tag}x", indices=p).transform(own)) for p in picks]
+            fitted = SubspaceClassifierModel(models, {"picks": picks, "weights": [1.0] * len(picks)})._of(self)
+            scored = fitted.scored(valid, tag)
+            names = [f"{tag}p{i}" for i in range(len(picks))]
+            long = scored.select(F.col(label).alias("y"), F.posexplode(F.array(*names)).alias("i", "p"))
+            f1 = {r["i"]: r["f1"] for r in binary_report(long, "y", "p", ["i"]).collect()}
         weights = [max(0.0, f1.get(i, 0.0)) ** self.getOrDefault("power") for i in range(len(picks))]
         if sum(weights) > 0:
             fitted.state["weights"] = [w / sum(weights) for w in weights]
