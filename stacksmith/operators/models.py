@@ -124,7 +124,7 @@ def score(model, df: DataFrame, keep: Sequence[str], out: str = "proba") -> Data
 def importances(model, names: Sequence[str]) -> DataFrame:
     """Feature importance table (trees: featureImportances; linear: |coef|)."""
     from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.active()  # the default one in a thread of its own
     m = model.stages[-1] if hasattr(model, "stages") else model
     if hasattr(m, "featureImportances"):
         vals = m.featureImportances.toArray().tolist()
@@ -316,15 +316,19 @@ def tfidf_terms(docs: DataFrame, key: str = "row_id", text: str = "text") -> Dat
 
     Term and document counts are partial aggregates; the document frequencies
     come back in an equi-join on the term, so no vocabulary reaches the driver.
+    The counts are written once and read by both; the norm is a sum over the
+    key's rows, so the weights are made and shuffled once.
     """
+    from stacksmith.operators.rank import cut
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD_GAPS), lambda w: w != "")
-    tf = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = cut(docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "term-counts")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n_docs"))
     weighted = (tf.join(df, "term").withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
+                .filter(F.col(key).isNotNull())
                 .select(key, "term", (F.col("tf") * F.log((F.col("n_docs") + 1) / (F.col("df") + 1))).alias("w")))
-    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, key).select(key, "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("weight"))
+    normed = weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key))))
+    return normed.select(key, "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("weight"))
 
 
 #: Width of the dense text vectors, and bits that one digest of a term gives.
@@ -354,10 +358,10 @@ def dense_text_vectors(docs: DataFrame, key: str = "row_id", text: str = "text",
     def project(batches):
         for batch in batches:
             out = np.zeros((len(batch), dims), np.float32)
-            for i, (w, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                if w:
-                    signs = np.unpackbits(np.frombuffer(b"".join(b), np.uint8)).reshape(len(w), dims)
-                    v = np.array(w) @ (signs * 2.0 - 1.0)
+            for i, (w, b) in enumerate(zip(batch.column(1), batch.column(2))):
+                if w.is_valid and len(w):
+                    signs = np.unpackbits(np.frombuffer(b"".join(b.values.to_pylist()), np.uint8)).reshape(len(w), dims)
+                    v = w.values.to_numpy(zero_copy_only=False) @ (signs * 2.0 - 1.0)
                     out[i] = v / (np.linalg.norm(v) or 1.0)
             offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dims)
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=[key, "vec"])
