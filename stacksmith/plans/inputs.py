@@ -155,17 +155,20 @@ def _proba_sql(model: str, strength: float, fold: str, row: str, label: str) ->
             f"CAST({1.0 - strength} AS DOUBLE) * {u}, 6)")
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scores(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
     """Long score table ``(row_id, split, model_id, fold, proba, final_status)``.
 
     Train rows carry their out-of-fold score (one row per model); test rows
-    one score per fold model.
+    one score per fold model.  With ``split`` only that part is built.
     """
     p = projects(spark, sf_dir).select("row_id", "split", "final_status")
-    train = with_folds(p.filter(F.col("split") == "train"))
-    test = (p.filter(F.col("split") == "test")
-            .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(N_FOLDS - 1)))))
-    rows = train.unionByName(test)
+    parts = []
+    if split != "test":
+        parts.append(with_folds(p.filter(F.col("split") == "train")))
+    if split != "train":
+        parts.append(p.filter(F.col("split") == "test")
+                     .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(N_FOLDS - 1)))))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     models = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s"))
                        for m, s in MODEL_STRENGTH.items()])
     out = rows.withColumn("_ms", F.explode(models))
