@@ -224,8 +224,8 @@ class ProjectFeatures:
                 + ["f04__after_date", "f04__datetime"] + self.year_quarter.names()
                 + ["f05__disable_communication"])
 
-    def transform(self, df: DataFrame, is_train: bool | Column) -> DataFrame:
-        """``is_train``: bool for the whole frame, or a boolean column when train
+    def transform(self, df: DataFrame, is_train: bool | Column, keep: Sequence[str] = ()) -> DataFrame:
+        """The features, and the columns ``keep`` of ``df``.  ``is_train``: bool for the whole frame, or a boolean column when train
         and test rows are transformed together (one concurrency pass: every
         row is counted against the training intervals; a training row's own
         interval is then taken off)."""
@@ -244,7 +244,7 @@ class ProjectFeatures:
                  for i in range(7) for j in range(i + 1, 7)]
         prods += [(F.col("goal").cast("double") * dbl[i]).alias(f"f02__product__goal_X_{short[i]}") for i in range(7)]
         return base.select(
-            "row_id", "final_status",
+            "row_id", "final_status", *keep,
             F.col("f07__concurrent_projects"), F.round("f01__goal", 6).alias("f01__goal"),
             S.ratio(F.col("launched_at") - F.col("created_at"), F.col("deadline") - F.col("created_at")).alias("f01__ADratio"),
             *diffs, *prods,

@@ -60,13 +60,19 @@ class FoldedLayer:
     def column(self, model_id: str) -> str:
         return f"{model_id}__{self.name}"
 
-    def fit(self, rows: DataFrame) -> DataFrame:
-        """Fit on ``rows`` (label, weight, fold, origin, features); returns them with the out-of-fold score columns, written."""
+    def fit(self, rows: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+        """Fit on ``rows`` (label, weight, fold, origin, features); returns them with the out-of-fold score columns, written.
+
+        ``keep``: the columns of ``rows`` to return; label, fold and origin must be among them.
+        """
         keys = [(m, i) for m in self.factories for i in range(self.k)]
         fits = [lambda m=m, i=i: self.factories[m](self.cols).fit(rows.filter(F.col("fold") != i)) for m, i in keys]
         self.models = dict(zip(keys, in_parallel(rows.sparkSession, fits, self.slots)))
         parts = [_score_columns(rows.filter(F.col("fold") == i), {self.column(m): self.models[m, i] for m in self.factories}) for i in range(self.k)]
-        scored = cut(reduce(DataFrame.unionByName, parts), f"oof-{self.name}")
+        scored = reduce(DataFrame.unionByName, parts)
+        if keep is not None:
+            scored = scored.select(*keep, *[self.column(m) for m in self.factories])
+        scored = cut(scored, f"oof-{self.name}")
         own = scored.filter(F.col("origin") == "train")
         for m in self.factories:
             table = SC.f1_table(own, "label", self.column(m), ["fold"]).select("fold", "f1").collect()  # a row a fold
