@@ -43,13 +43,23 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 # ---------------------------------------------------------------- ev01 / ev02 / ev03
 
+def _fold_fits(data: DataFrame, make_model: ModelFactory, k: int, fold_col: str) -> list[Callable]:
+    """One fit a fold, on the rows of the others."""
+    return [lambda i=i: make_model().fit(data.filter(F.col(fold_col) != i)) for i in range(k)]
+
+
 def oof_scores(data: DataFrame, test: DataFrame | None, model_id: str, make_model: ModelFactory,
-               k: int, fold_col: str = "fold", key: str = "row_id", label: str = "label") -> DataFrame:
+               k: int, fold_col: str = "fold", key: str = "row_id", label: str = "label", slots: int = SLOTS) -> DataFrame:
     """ev01: for each fold i fit on fold != i, score fold i (out of fold) and
-    every test row.  Returns the long score table (materialised)."""
+    every test row; ``slots`` fits at a time.  Returns the long score table (materialised)."""
+    models = in_parallel(data.sparkSession, _fold_fits(data, make_model, k, fold_col), slots)
+    return _fold_scores(models, data, test, model_id, fold_col, key, label)
+
+
+def _fold_scores(models: Sequence, data: DataFrame, test: DataFrame | None, model_id: str, fold_col: str = "fold", key: str = "row_id",
+                 label: str = "label") -> DataFrame:
     parts = []
-    for i in range(k):
-        m = make_model().fit(data.filter(F.col(fold_col) != i))
+    for i, m in enumerate(models):
         parts.append(M.score(m, data.filter(F.col(fold_col) == i), [key, label])
                      .select(key, F.lit("train").alias("split"), F.lit(i).alias("fold"), "proba", label))
         if test is not None:
@@ -77,8 +87,8 @@ def meta_wide(long: DataFrame, models: Sequence[str], split: str, key: str = "ro
               label: str = "label") -> DataFrame:
     """Pivot one split of a long score table to ``{model}__proba_pos`` columns."""
     s = long.filter(F.col("split") == split)
-    s = SC.mean_score(s, [key, label, "model_id"], out="proba")   # OOF rows have one fold; test rows k
-    w = s.groupBy(key, label).pivot("model_id", list(models)).agg(F.first("proba"))
+    # OOF rows have one fold; test rows k, whose mean is taken in the same aggregation
+    w = s.groupBy(key, label).pivot("model_id", list(models)).agg(F.avg("proba"))
     return w.select(key, label, *[F.col(m).alias(f"{m}__proba_pos") for m in models])
 
 
@@ -90,7 +100,7 @@ def stack_v1(data: DataFrame, feature_cols: Sequence[str], base: dict[str, Model
     fitted on folds 0-2 and validated on folds 3-4."""
     longs = [oof_scores(data, None, mid, f, k) for mid, f in base.items()]
     wide = meta_wide(union_all(longs), list(base), "train").drop("label")
-    both = data.join(wide, "row_id")
+    both = materialize(data.join(wide, "row_id"), "stack-v1")  # read by every pass of the meta fit
     cols = list(feature_cols) + [f"{m}__proba_pos" for m in base]
     meta = M.scaled_pipeline(cols, M.make_estimator(meta_name)).fit(both.filter(F.col("fold") < 3))
     return M.score(meta, both.filter(F.col("fold") >= 3), ["row_id", "label"])
@@ -102,7 +112,7 @@ def stack_v2(train: DataFrame, holdout: DataFrame, feature_cols: Sequence[str],
     PCA of the base scores fitted on the training part only (fe12); meta
     model on features + PCs; returns hold-out predictions."""
     long = union_all([oof_scores(train, holdout, mid, f, k) for mid, f in base.items()])
-    tr = train.join(meta_wide(long, list(base), "train").drop("label"), "row_id")
+    tr = materialize(train.join(meta_wide(long, list(base), "train").drop("label"), "row_id"), "stack-v2")
     ho = holdout.join(meta_wide(long, list(base), "test").drop("label"), "row_id")
     meta_cols = [f"{m}__proba_pos" for m in base]
     from pyspark.ml.feature import VectorAssembler
@@ -111,25 +121,29 @@ def stack_v2(train: DataFrame, holdout: DataFrame, feature_cols: Sequence[str],
     expand = lambda d: pca.transform(va.transform(d)).select(
         "*", *[F.element_at(M.vector_to_array("_pcs"), i + 1).alias(f"MetaFeatsPC_{i + 1}") for i in range(n_pcs)]
     ).drop("_meta", "_pcs", "_centred")
-    tr, ho = expand(tr), expand(ho)
+    tr = materialize(expand(tr), "stack-v2-components")  # read by every pass of the meta fit
+    ho = expand(ho)
     cols = list(feature_cols) + [f"MetaFeatsPC_{i + 1}" for i in range(n_pcs)]
     meta = M.scaled_pipeline(cols, M.make_estimator(meta_name)).fit(tr)
     return M.score(meta, ho, ["row_id", "label"])
 
 
 def top_k_feature_member(data: DataFrame, test: DataFrame, feature_cols: Sequence[str], k_feats: int,
-                         folds: int = 5) -> tuple[DataFrame, dict[int, list[str]]]:
+                         folds: int = 5, slots: int = SLOTS) -> tuple[DataFrame, dict[int, list[str]]]:
     """ev08: an extra OOF member on the top-k features by tree importance (wn08).
 
     The importances of fold i come from the rows outside fold i, so held-out
-    labels never choose the features.  Returns (scores, features by fold)."""
-    parts, chosen = [], {}
-    for i in range(folds):
+    labels never choose the features; ``slots`` folds at a time.  Returns (scores, features by fold)."""
+    def one(i: int) -> tuple[list[str], object]:
         fit = data.filter(F.col("fold") != i)
         trees = M.scaled_pipeline(feature_cols, M.make_estimator("gbt", {"n_estimators": 10})).fit(fit)
         best = M.importances(trees, feature_cols).orderBy(F.desc("importance"), "feature").limit(k_feats)
-        chosen[i] = [r["feature"] for r in best.collect()]   # k column names
-        m = M.scaled_pipeline(chosen[i], M.make_estimator("logistic")).fit(fit)
+        names = [r["feature"] for r in best.collect()]   # k column names
+        return names, M.scaled_pipeline(names, M.make_estimator("logistic")).fit(fit)
+
+    parts, chosen = [], {}
+    for i, (names, m) in enumerate(in_parallel(data.sparkSession, [lambda i=i: one(i) for i in range(folds)], slots)):
+        chosen[i] = names
         for split, rows in (("train", data.filter(F.col("fold") == i)), ("test", test)):
             parts.append(M.score(m, rows, ["row_id", "label"]).select("row_id", F.lit(split).alias("split"), F.lit(i).alias("fold"), "proba", "label"))
     return materialize(union_all(parts).withColumn("model_id", F.lit(f"top{k_feats}")), f"oof-top{k_feats}"), chosen
@@ -242,13 +256,17 @@ def draw_discrete(choices: dict[str, dict[str, Sequence]], n: int, seed: int = 4
 def run_experiments(data: DataFrame, feature_cols: Sequence[str], experiments: Sequence[tuple[str, dict]],
                     k: int = 5, metric: str = "f1", slots: int = SLOTS) -> DataFrame:
     """ev16-ev18: cross-validated score per (model, setting); one row each,
-    ranked.  Each run is a set of Spark jobs, ``slots`` runs at a time."""
+    ranked.  Each fit is a set of Spark jobs, ``slots`` fits of any run and fold at a time."""
     spark = data.sparkSession
 
+    def factory(name: str, params: dict) -> ModelFactory:
+        return lambda: M.scaled_pipeline(feature_cols, M.make_estimator(name, params, weight="weight", n_features=len(feature_cols)))
+
+    fits = [f for name, params in experiments for f in _fold_fits(data, factory(name, params), k, "fold")]
+    models = in_parallel(spark, fits, slots)
+
     def one(run: int, name: str, params: dict) -> tuple:
-        factory = lambda: M.scaled_pipeline(
-            feature_cols, M.make_estimator(name, params, weight="weight", n_features=len(feature_cols)))
-        oof = oof_scores(data, None, f"run{run}", factory, k)
+        oof = _fold_scores(models[run * k:(run + 1) * k], data, None, f"run{run}")
         score = evaluate(oof.filter(F.col("split") == "train"), metric)
         return f"run{run}", name, {kk: str(v) for kk, v in params.items()}, float(score)
 
@@ -324,7 +342,7 @@ def _self_training_step(own: DataFrame, test: DataFrame, added: DataFrame, membe
     more = added.drop("step").join(test.drop("label"), "row_id").withColumn("fold", F.lit(-1)).withColumn("origin", F.lit("pseudo"))
     cur = materialize(M.class_weights(own.unionByName(more.select(*own.columns)), "label", "balanced", "weight"), "step-rows")
     pool = materialize(test.join(added.select("row_id"), "row_id", "left_anti").withColumn("label", F.lit(0.0)), "step-pool")
-    longs = in_parallel(spark, [lambda m=m, f=f: oof_scores(cur, pool, m, f, k) for m, f in members.items()], slots)
+    longs = in_parallel(spark, [lambda m=m, f=f: oof_scores(cur, pool, m, f, k, slots=1) for m, f in members.items()], slots)
     long = union_all(longs)
     # Pseudo rows are in no fold, so the scored training rows are the original ones.
     f1 = evaluate(SC.mean_score(long.filter(F.col("split") == "train"), ["row_id", "label"], out="proba"))
