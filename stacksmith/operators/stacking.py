@@ -56,6 +56,13 @@ def oof_scores(data: DataFrame, test: DataFrame | None, model_id: str, make_mode
     return _fold_scores(models, data, test, model_id, fold_col, key, label)
 
 
+def oof_family(data: DataFrame, test: DataFrame | None, makers: dict[str, ModelFactory], k: int, fold_col: str = "fold", slots: int = SLOTS) -> DataFrame:
+    """ev01 for several models: the fits of all models and folds share the ``slots``."""
+    fits = [fit for make in makers.values() for fit in _fold_fits(data, make, k, fold_col)]
+    models = in_parallel(data.sparkSession, fits, slots)
+    return union_all([_fold_scores(models[n * k:(n + 1) * k], data, test, name, fold_col) for n, name in enumerate(makers)])
+
+
 def _fold_scores(models: Sequence, data: DataFrame, test: DataFrame | None, model_id: str, fold_col: str = "fold", key: str = "row_id",
                  label: str = "label") -> DataFrame:
     parts = []

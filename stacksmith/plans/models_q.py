@@ -16,7 +16,7 @@ from stacksmith.operators import wrapped  # noqa: F401  (registers its families)
 from stacksmith.operators.profile import rate_table
 from stacksmith.operators.sampling import stratified_holdout, stratified_kfold, undersample
 from stacksmith.plans.eda import goal_usd
-from stacksmith.plans.inputs import MODEL_STRENGTH, SEED, scores, with_ctes
+from stacksmith.plans.inputs import MODEL_STRENGTH, N_FOLDS, SEED, scores, with_ctes
 from stacksmith.plans.registry import query
 from stacksmith.sources import store as ST
 from stacksmith.sources.tables import load
@@ -41,7 +41,7 @@ def model_frame(spark, sf):
 def train_test(spark, sf, weights: str = "balanced"):
     # One join of the tables for both parts, and the folds move narrow rows that are already written.
     m = STK.materialize(model_frame(spark, sf), "model-frame")
-    train = stratified_kfold(m.filter(F.col("split") == "train"), 5, SEED, "label")
+    train = stratified_kfold(m.filter(F.col("split") == "train"), N_FOLDS, SEED, "label")
     train = M.class_weights(train, "label", weights, "weight")
     test = m.filter(F.col("split") == "test")
     # Every fit and score re-reads these: cut the join/rank lineage once
@@ -124,11 +124,13 @@ def ml10(spark, sf):
 
 @query("ml09_wrapped_models_out_of_fold")
 def wrapped(spark, sf):
-    """Out-of-fold scores of the families made of several models; each is fitted, saved and scored as one estimator."""
+    """Out-of-fold scores of the families made of several models; each is fitted, saved and scored as one estimator.
+
+    Every fold of the training rows is held out once; families have the members their estimators name.
+    """
     train, test = train_test(spark, sf)
-    parts = [STK.oof_scores(train, test, name, lambda: M.scaled_pipeline(FEATS, M.make_estimator(name, params, weight="weight")), 2)
-             for name, params in (("cluster_then_classify", {"k": 3}), ("random_subspace", {"members": 3}), ("soft_voting", {}))]
-    return STK.union_all(parts)
+    names = ("cluster_then_classify", "random_subspace", "soft_voting")
+    return STK.oof_family(train, test, {name: lambda name=name: M.scaled_pipeline(FEATS, M.make_estimator(name, weight="weight")) for name in names}, N_FOLDS)
 
 
 def _members(spark, sf):
