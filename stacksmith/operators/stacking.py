@@ -19,6 +19,7 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stacksmith.operators import boosted as B
 from stacksmith.operators import models as M
 from stacksmith.operators import scores as SC
 from stacksmith.operators.parallel import SLOTS, in_parallel
@@ -140,11 +141,13 @@ def top_k_feature_member(data: DataFrame, test: DataFrame, feature_cols: Sequenc
     """ev08: an extra OOF member on the top-k features by tree importance (wn08).
 
     The importances of fold i come from the rows outside fold i, so held-out
-    labels never choose the features; ``slots`` folds at a time.  Returns (scores, features by fold)."""
+    labels never choose the features; the trees of all folds grow together, the
+    members are fitted ``slots`` at a time.  Returns (scores, features by fold)."""
+    trees = B.fit_folds(data, feature_cols, folds, {"n_estimators": 10}, slots=slots)
+
     def one(i: int) -> tuple[list[str], object]:
         fit = data.filter(F.col("fold") != i)
-        trees = M.scaled_pipeline(feature_cols, M.make_estimator("gbt", {"n_estimators": 10})).fit(fit)
-        best = M.importances(trees, feature_cols).orderBy(F.desc("importance"), "feature").limit(k_feats)
+        best = M.importances(trees[i], feature_cols).orderBy(F.desc("importance"), "feature").limit(k_feats)
         names = [r["feature"] for r in best.collect()]   # k column names
         return names, M.scaled_pipeline(names, M.make_estimator("logistic")).fit(fit)
 
