@@ -25,6 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stacksmith.operators import boosted as B
 from stacksmith.operators import models as M
 from stacksmith.operators import scores as SC
 from stacksmith.operators.parallel import SLOTS, in_parallel
@@ -41,6 +42,19 @@ def model_on(name: str, params: dict | None = None) -> ModelOn:
     return lambda cols: M.scaled_pipeline(cols, M.make_estimator(name, params, weight="weight", n_features=len(cols)))
 
 
+class FoldedTrees:
+    """Boosted trees whose folds a layer fits together (``boosted``); called, the registered estimator as of ``model_on``."""
+
+    def __init__(self, params: dict | None = None) -> None:
+        self.params = params
+
+    def __call__(self, cols: Sequence[str]) -> Estimator:
+        return model_on("gbt", self.params)(cols)
+
+    def fit_folds(self, rows: DataFrame, cols: Sequence[str], k: int, slots: int) -> list:
+        return B.fit_folds(rows, cols, k, self.params, "weight", slots=slots)
+
+
 def _score_columns(df: DataFrame, fitted: dict[str, object]) -> DataFrame:
     """``df`` with the positive probability of every fitted model in the column it is named by."""
     for column, model in fitted.items():
@@ -65,11 +79,21 @@ class FoldedLayer:
 
         ``keep``: the columns of ``rows`` to return; label, fold and origin must be among them.
         """
-        keys = [(m, i) for m in self.factories for i in range(self.k)]
+        alone = [m for m, make in self.factories.items() if not isinstance(make, FoldedTrees)]
+        keys = [(m, i) for m in alone for i in range(self.k)]
         fits = [lambda m=m, i=i: self.factories[m](self.cols).fit(rows.filter(F.col("fold") != i)) for m, i in keys]
-        self.models = dict(zip(keys, in_parallel(rows.sparkSession, fits, self.slots)))
-        parts = [_score_columns(rows.filter(F.col("fold") == i), {self.column(m): self.models[m, i] for m in self.factories}) for i in range(self.k)]
+        found = dict(zip(keys, in_parallel(rows.sparkSession, fits, self.slots)))
+        for m in self.factories:
+            if m not in alone:
+                found |= {(m, i): model for i, model in enumerate(self.factories[m].fit_folds(rows, self.cols, self.k, self.slots))}
+        self.models = {(m, i): found[m, i] for m in self.factories for i in range(self.k)}
+        together = [m for m in self.factories if isinstance(self.models[m, 0], B.FoldTrees)]
+        apart = [m for m in self.factories if m not in together]
+        # One pass where no model needs the folds apart.
+        parts = [_score_columns(rows.filter(F.col("fold") == i), {self.column(m): self.models[m, i] for m in apart}) for i in range(self.k)] if apart else [rows]
         scored = reduce(DataFrame.unionByName, parts)
+        for m in together:
+            scored = scored.withColumn(self.column(m), B.out_of_fold([self.models[m, i] for i in range(self.k)], F.col("fold"), self.cols))
         if keep is not None:
             scored = scored.select(*keep, *[self.column(m) for m in self.factories])
         scored = cut(scored, f"oof-{self.name}")

@@ -195,7 +195,7 @@ def wn08(spark, sf):
     folded = stratified_kfold(p.withColumn("label", F.col("final_status").cast("double")), 5, SEED, "label")
     folded = M.class_weights(folded.withColumn("origin", F.lit("train")), "label", "neg_pos", "weight")
     rows = STK.materialize(features.transform(folded, True, own).select("row_id", *own, *numbers), "features")
-    layer = LY.FoldedLayer("base", names, {"gbt": LY.model_on("gbt", {"n_estimators": 10})}, 5, 1e-6, LY.SLOTS)
+    layer = LY.FoldedLayer("base", names, {"gbt": LY.FoldedTrees({"n_estimators": 10})}, 5, 1e-6, LY.SLOTS)
     layer.fit(rows, ["row_id", "label", "fold", "origin"])
     return LY.top_features(LY.importance_table(spark, [layer]), "base", "gbt", 100)
 
